@@ -1,0 +1,6 @@
+"""Named queries over the sample tables, each with its SQL counterpart where SQL can say it."""
+
+from . import market, trading  # noqa: F401
+from .base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
