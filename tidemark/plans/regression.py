@@ -22,27 +22,32 @@ from pyspark.sql import types as T
 from ..functions.maths import as_col, no_nulls, sigmoid
 from ..session import written
 
-# What a loss asks of a fit: (prediction, target) -> (row weight, working target).
-Weighting = Callable[[Column, Column], tuple[Column, Column]]
+# What a loss asks of a fit: (prediction, target, scale, step) -> (row weight,
+# working target). ``scale`` is the residual RMS of the squared-error start.
+Weighting = Callable[[Column, Column, Column, int], tuple[Column, Column]]
 
 
 def huber_weighting(delta: float = 1.0) -> Weighting:
-    def rule(eta: Column, y: Column) -> tuple[Column, Column]:
+    def rule(eta: Column, y: Column, scale: Column, step: int) -> tuple[Column, Column]:
         off = F.abs(y - eta)
         return F.when(off <= delta, F.lit(1.0)).otherwise(F.lit(delta) / off), y
 
     return rule
 
 
-def l1_weighting(floor: float = 1e-6) -> Weighting:
-    def rule(eta: Column, y: Column) -> tuple[Column, Column]:
-        return F.lit(1.0) / F.greatest(F.abs(y - eta), F.lit(floor)), y
+def l1_weighting(start: float = 0.3, shrink: float = 0.6, floor: float = 1e-7) -> Weighting:
+    """Inverse absolute residual; residuals below a share of the scale count as
+    that share, which shrinks with every step."""
+
+    def rule(eta: Column, y: Column, scale: Column, step: int) -> tuple[Column, Column]:
+        least = F.greatest(scale * F.lit(max(start * shrink**step, floor)), F.lit(1e-12))
+        return F.lit(1.0) / F.greatest(F.abs(y - eta), least), y
 
     return rule
 
 
 def logistic_weighting() -> Weighting:
-    def rule(eta: Column, y: Column) -> tuple[Column, Column]:
+    def rule(eta: Column, y: Column, scale: Column, step: int) -> tuple[Column, Column]:
         p = sigmoid(eta)
         weight = F.greatest(p * (F.lit(1.0) - p), F.lit(1e-9))
         return weight, eta + (y - p) / weight
@@ -50,6 +55,11 @@ def logistic_weighting() -> Weighting:
     return rule
 
 
+# Steps allowed, and how far each goes towards its solution (beyond it for l1,
+# whose plain steps are slow).
+STEPS = {"huber": (15, 1.0), "l1": (16, 1.6), "logistic": (12, 1.0)}
+
+
 def feature_subsets(pool: Sequence[str], largest: int) -> list[tuple[str, ...]]:
     """Every subset of 1..largest features, in the pool's order."""
     return [s for k in range(1, largest + 1) for s in combinations(pool, k)]
@@ -90,8 +100,8 @@ def _unpack(table: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def _least_squares(full: np.ndarray, chosen: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and bias for the chosen columns, for a stack of moment matrices."""
+def _least_squares(full: np.ndarray, chosen: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights, bias and residual RMS for the chosen columns, for a stack of moment matrices."""
     n = full[:, 0, 0]
     mean = full[:, 0, :] / n[:, None]
     centred = full - n[:, None, None] * mean[:, :, None] * mean[:, None, :]
@@ -99,7 +109,8 @@ def _least_squares(full: np.ndarray, chosen: list[int]) -> tuple[np.ndarray, np.
     xx = centred[:, cols[:, None], cols[None, :]]
     xy = centred[:, cols, -1]
     weights = np.einsum("bij,bj->bi", np.linalg.pinv(xx, rcond=1e-12, hermitian=True), xy)
-    return weights, mean[:, -1] - np.einsum("bi,bi->b", weights, mean[:, cols])
+    left = np.maximum(centred[:, -1, -1] - np.einsum("bi,bi->b", weights, xy), 0.0)
+    return weights, mean[:, -1] - np.einsum("bi,bi->b", weights, mean[:, cols]), np.sqrt(left / n)
 
 
 def solve(
@@ -111,8 +122,8 @@ def solve(
 ) -> DataFrame:
     """Coefficient table from a moment table.
 
-    Gives ``by, model_id, features, weights, bias, n_train``: one row per group
-    and subset, or, with ``own_model``, per group for the subset its
+    Gives ``by, model_id, features, weights, bias, n_train, rms`` (total weight
+    and residual deviation): one row per group and subset, or, with ``own_model``, per group for the subset its
     ``model_id`` names.
     """
     p = len(features)
@@ -128,16 +139,18 @@ def solve(
             T.StructField("weights", T.ArrayType(T.DoubleType())),
             T.StructField("bias", T.DoubleType()),
             T.StructField("n_train", T.DoubleType()),
+            T.StructField("rms", T.DoubleType()),
         ]
     )
 
     def fit(rows: pd.DataFrame, model: int) -> pd.DataFrame:
         full = _unpack(rows[names].to_numpy(dtype=float), p + 2)
-        part, bias = _least_squares(full, places[model])
+        part, bias, rms = _least_squares(full, places[model])
         weights = np.zeros((len(rows), p))
         weights[:, [c - 1 for c in places[model]]] = part
         return rows[keys].assign(
-            model_id=np.int32(model), features=labels[model], weights=list(weights), bias=bias, n_train=full[:, 0, 0]
+            model_id=np.int32(model), features=labels[model], weights=list(weights), bias=bias,
+            n_train=full[:, 0, 0], rms=rms,
         )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -177,45 +190,56 @@ def fit_linear(
     subsets: Sequence[Sequence[str]] | None = None,
     loss: str | Weighting = "mse",
     iterations: int | None = None,
-    tolerance: float = 1e-7,
+    tolerance: float = 1e-6,
 ) -> DataFrame:
     """Fit every subset for every group. ``loss``: mse, huber, l1, logistic, or a weighting rule.
 
     ``mse`` is one aggregation and stays lazy. The others start from it and
     refit with new row weights until no coefficient moves by more than
     ``tolerance`` (or ``iterations`` is reached); all groups and subsets take
-    each step together, and each step's coefficients are a written table.
+    each step together, and each step's coefficients are a written table. The
+    fits always use all rows; only coefficients pass between steps.
     """
     subsets = [tuple(s) for s in (subsets or [tuple(features)])]
     by = list(by)
     if loss == "mse":
         return solve(moments(df, features, target, by), list(features), subsets, by)
-    rules = {"huber": huber_weighting(), "l1": l1_weighting(), "logistic": logistic_weighting()}
-    rule = rules[loss] if isinstance(loss, str) else loss
-    limit = iterations or {"huber": 15, "l1": 40, "logistic": 12}.get(loss if isinstance(loss, str) else "", 25)
+    named = loss if isinstance(loss, str) else None
+    rule = {"huber": huber_weighting, "l1": l1_weighting, "logistic": logistic_weighting}[named]() if named else loss
+    limit, reach = STEPS.get(named, (25, 1.0))
 
     rows = written(
         df.select(*by, *features, F.col(target).cast("double").alias("_target")).where(no_nulls([*features, "_target"])),
         "fit-rows",
     )
     # Squared error is the start; for the logistic loss this is Newton's first step.
-    start = F.col("_target") * 4 - 2 if loss == "logistic" else F.col("_target")
+    start = F.col("_target") * 4 - 2 if named == "logistic" else F.col("_target")
     fitted = written(solve(moments(rows, features, start, by), list(features), subsets, by), "fit-step")
     keys = [*by, "model_id"]
-    for _ in range(limit):
-        scored = score(rows, fitted, features, by, "_eta")
-        weight, response = rule(F.col("_eta"), F.col("_target"))
+    result = fitted.columns
+    for step in range(iterations or limit):
+        before = fitted.select(*keys, F.col("weights").alias("_w"), F.col("bias").alias("_b"), F.col("rms").alias("_scale"))
+        models = fitted.select(*keys, "features", "weights", "bias", F.col("rms").alias("_scale"))
+        scored = rows.join(models, by).withColumn("_eta", linear_prediction(features))
+        weight, response = rule(F.col("_eta"), F.col("_target"), F.col("_scale"), step)
         sums = moments(scored, features, response, keys, weight)
-        step = written(solve(sums, list(features), subsets, keys, own_model=True), "fit-step")
-        old = fitted.select(*keys, F.col("weights").alias("_w"), F.col("bias").alias("_b"))
-        moved = F.greatest(
-            F.abs(F.col("bias") - F.col("_b")),
-            F.array_max(F.zip_with("weights", "_w", lambda a, b: F.abs(a - b))),
+        found = solve(sums, list(features), subsets, keys, own_model=True).join(before, keys)
+        moves = F.zip_with("weights", "_w", lambda new, old: (new - old) * F.lit(reach))
+        shift = (F.col("bias") - F.col("_b")) * F.lit(reach)
+        found = found.withColumns(
+            {
+                "weights": F.zip_with("_w", moves, lambda old, move: old + move),
+                "bias": F.col("_b") + shift,
+                "rms": F.col("_scale"),
+                "_moved": F.greatest(F.abs(shift), F.array_max(F.transform(moves, F.abs))),
+            }
         )
-        largest = step.join(old, keys).agg(F.max(moved)).first()[0]
-        fitted = step
-        if largest is None or largest <= tolerance:
-            break
+        fitted = written(found.select(*result, "_moved"), "fit-step")
+        if step < 2 or step % 4 == 3:  # looking costs a small job, so not after every step
+            largest = fitted.agg(F.max("_moved")).first()[0]
+            if largest is None or largest <= tolerance:
+                break
+    fitted = fitted.select(*result)
     return fitted
 
 

@@ -28,6 +28,7 @@ MODELS = T.StructType(
         T.StructField("weights", T.ArrayType(T.DoubleType())),
         T.StructField("bias", T.DoubleType()),
         T.StructField("n_train", T.DoubleType()),
+        T.StructField("rms", T.DoubleType()),
     ]
 )
 ORDERS = T.StructType(
