@@ -50,8 +50,8 @@ def test_calendar_bars(spark):
 
 
 def test_a_bar_across_inputs_is_one_bar(trades):
-    a = trades(("a", "2024-01-01 23:00:00", 1, 5))
-    b = trades(("a", "2024-01-02 01:00:00", 2, 8))
+    a = trades(("a", "2024-01-02 23:00:00", 1, 5))
+    b = trades(("a", "2024-01-03 01:00:00", 2, 8))
     assert bars.resample(a.unionByName(b), "2d", F.count(F.lit(1)).alias("n")).first().n == 2
 
 
@@ -61,6 +61,7 @@ def test_medians_are_exact(trades, n):
     df = trades(*[("a", "2024-01-01 00:00:01", i, p) for i, p in enumerate(prices)])
     assert bars.median_bars(df, "1h").first().median == statistics.median(prices)
     assert bars.median_bars(df, "1h", method="nearest").first().median == statistics.median_high(prices)
+    assert bars.median_bars(df, "1h", blocks=3).first().median == statistics.median(prices)
     with pytest.raises(ValueError):
         bars.median_bars(df, "1h", method="guess")
 
@@ -73,6 +74,12 @@ def test_coarsening_equals_direct_bars(trades):
     assert a == b
 
 
+def test_a_ladder_equals_separate_bars(trades):
+    rows = trades(*[("a", f"2024-01-01 {h:02d}:{m:02d}:00", h * 60 + m, (h * 7 + m) % 11 + 1) for h in range(24) for m in (1, 40)])
+    for every, table in bars.bar_ladder(rows, ["1h", "6h", "1d"]).items():
+        assert sorted(map(tuple, table.collect())) == sorted(map(tuple, bars.ohlc(rows, every).collect()))
+
+
 def test_one_price_reads_one_price(trades):
     df = trades(("a", "2024-01-01 00:00:01", 1, 5), ("a", "2024-01-01 00:00:02", 2, 7))
     assert bars.one_price(df, "1h", "low").columns == ["symbol", "datetime", "low"]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.classify import roc_auc, roc_points
 from tidemark.operators.features import add_log_return_features
 from tidemark.operators.metrics import trade_results
-from tidemark.operators.ordered import Timeline, quantile_blocks, with_lags, with_last_values, with_position, with_running
+from tidemark.operators.ordered import Timeline, even_blocks, with_lags, with_last_values, with_position, with_running
 from tidemark.operators.split import with_split
 
 ORDER = ("datetime", "id")
@@ -83,17 +83,18 @@ def test_partitioning_does_not_matter(ticks):
     same(with_lags(ticks.repartition(1), line, lags), with_lags(ticks.repartition(16), line, lags))
 
 
-def test_quantile_blocks_are_even_and_ordered(spark, ticks):
-    filled = ticks.where("price is not null")
-    blocks = quantile_blocks(filled, ["symbol"], "price", 8)
-    sizes = [r["count"] for r in blocks.where("symbol = 'HOT'").groupBy("_qblock").count().collect()]
-    assert len(sizes) == 8 and max(sizes) < 2 * min(sizes)
-    line = Timeline(("symbol",), ("price", "id"), block_column="_qblock")
-    plain = Timeline(("symbol",), ("price", "id"))
-    same(
-        with_running(filled, plain, {"total": "price"}),
-        with_running(blocks, line, {"total": "price"}).drop("_qblock"),
-    )
+def test_even_blocks_cut_bursts_and_equal_times(spark, ticks):
+    """A third of the rows share one instant; no block is much larger than its share."""
+    marked, line = even_blocks(ticks, PLAIN, 12)
+    sizes = [r["count"] for r in marked.where("symbol = 'HOT'").groupBy("_even").count().collect()]
+    assert len(sizes) == 12 and max(sizes) < 1.5 * min(sizes)
+    thin, thin_line = even_blocks(ticks, PLAIN, 12, sample_rows=200)
+    for rows, which in ((marked, line), (thin, thin_line)):
+        lags, sums = {"one": ("price", 1), "five": ("price", 5)}, {"total": F.col("id") * 1.0}
+        plain = with_position(with_running(with_lags(ticks, PLAIN, lags), PLAIN, sums), PLAIN)
+        same(plain, with_position(with_running(with_lags(rows, which, lags), which, sums), which).drop("_even"))
+    with pytest.raises(ValueError):
+        even_blocks(ticks, Timeline(("symbol",), ("-id",)), 4)
 
 
 def test_roc_under_blocks(spark, ticks):

@@ -112,7 +112,7 @@ def trades(spark):
 def test_store_round_trip_ranges_and_rewrites(spark, tmp_path, trades):
     path = str(tmp_path / "store")
     store.write_trades(trades([1, 1, 2, 3, 5]), path)
-    store.write_trades(trades([2, 2, 2]), path, files_per_partition=3)
+    store.write_trades(trades([2, 2, 2]), path)
     counts = {r.date.day: r["count"] for r in store.read_trades(spark, path).groupBy("date").count().collect()}
     assert counts == {1: 2, 2: 3, 3: 1, 5: 1}
     part = store.read_trades(spark, path, "BTC", "2024-01-02", dt.date(2024, 1, 3))

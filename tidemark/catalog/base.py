@@ -116,6 +116,11 @@ LINES = """lines AS (
 LINE_KEY = "(datetime, l_orderkey, l_linenumber, l_partkey, l_suppkey)"
 
 
+# A log return exists between two positive prices only.
+SAFE_LOG = """CASE WHEN price > 0 AND lag(price) OVER (PARTITION BY symbol ORDER BY datetime, id) > 0
+        THEN ln(price / lag(price) OVER (PARTITION BY symbol ORDER BY datetime, id)) END"""
+
+
 def bucket(every: str) -> str:
     return f"time_bucket(INTERVAL '{every}', datetime)"
 

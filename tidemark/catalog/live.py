@@ -9,7 +9,7 @@ from ..sources.sample_tables import as_trades, table
 from ..streaming import bars as live_bars
 from ..streaming import state, ticks
 from ..streaming.run import latest_rows, read_stream, run_to_table
-from .base import BIAS, R, RS, TRADES, WEIGHTS, bucket, ohlc_sql, query, r6, rounded
+from .base import BIAS, R, RS, SAFE_LOG, TRADES, WEIGHTS, bucket, ohlc_sql, query, r6, rounded
 
 DELAY = "10 minutes"
 
@@ -43,7 +43,7 @@ def stream_last(spark, sf):
 
 
 NAMES = lag_names("log_return", 3)
-TICK_LAGS = f"""{TRADES}, r AS (SELECT symbol, datetime, id, ln(price / lag(price) OVER (PARTITION BY symbol ORDER BY datetime, id)) AS r FROM trades),
+TICK_LAGS = f"""{TRADES}, r AS (SELECT symbol, datetime, id, {SAFE_LOG} AS r FROM trades),
   v AS (SELECT symbol, datetime, id, r AS log_return_lag_1, lag(r, 1) OVER w AS log_return_lag_2, lag(r, 2) OVER w AS log_return_lag_3
     FROM r WINDOW w AS (PARTITION BY symbol ORDER BY datetime, id))"""
 

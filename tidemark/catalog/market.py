@@ -13,7 +13,7 @@ from ..sources import store
 from ..sources.exchanges import fee_schedule, with_fees
 from ..sources.sample_tables import LINE_ORDER, event_trades, line_trades, portfolio_values, table
 from .base import (
-    BIAS, LAGS, LINE_KEY, LINES, R, RS, TRADES, WEIGHTS, bars_sql, bucket, feats_sql, ohlc_sql, query, r6, rounded,
+    BIAS, LAGS, LINE_KEY, LINES, R, RS, SAFE_LOG, TRADES, WEIGHTS, bars_sql, bucket, feats_sql, ohlc_sql, query, r6, rounded,
     rows_sql, study_bars, study_features, study_rows,
 )
 
@@ -145,7 +145,7 @@ def log_returns_lags(spark, sf):
 @query(
     "tick_log_returns",
     f"""WITH {TRADES}, r AS (SELECT symbol, datetime, id,
-      ln(price / lag(price) OVER (PARTITION BY symbol ORDER BY datetime, id)) AS price_log_return FROM trades)
+      {SAFE_LOG} AS price_log_return FROM trades)
     SELECT symbol, id, {R('price_log_return')},
       {R('lag(price_log_return, 1) OVER (PARTITION BY symbol ORDER BY datetime, id)', 'price_log_return_lag_1')},
       {R('lag(price_log_return, 2) OVER (PARTITION BY symbol ORDER BY datetime, id)', 'price_log_return_lag_2')} FROM r""",
@@ -587,7 +587,7 @@ def ticker_text(spark, sf):
 
 @query(
     "maths",
-    f"""SELECT event_id, {R('ln(value)', 'ln_value')}, {R('exp(-value / 100)', 'exp_value')}, {R('sqrt(value)', 'root')},
+    f"""SELECT event_id, {R('CASE WHEN value > 0 THEN ln(value) END', 'ln_value')}, {R('exp(-value / 100)', 'exp_value')}, {R('sqrt(value)', 'root')},
       {R('pow(value, 2)', 'square', 4)}, CAST(sign(value - 50) AS DOUBLE) AS side, {R('abs(value - 50)', 'distance')},
       {R('1 / (1 + exp(-(value - 50) / 100))', 'sigmoid')}, {R('tanh(value / 100)', 'tanh')},
       {R('greatest(value - 50, 0)', 'relu')}, {R('exp(value / 100) / (exp(value / 100) + exp(1))', 'softmax')},

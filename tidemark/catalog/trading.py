@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions.intervals import sharpe_annualization_factor
 from ..functions.maths import sigmoid
-from ..operators import backtest, classify, features, ledger, metrics, ordered
+from ..operators import backtest, bars, classify, features, ledger, metrics, ordered
 from ..operators.ordered import Timeline
 from ..plans import nets, research
-from ..sources.sample_tables import LINE_ORDER, line_trades, table
+from ..sources.sample_tables import LINE_ORDER, event_trades, line_trades, table
 from .base import (
     CAPITAL, FIGURES, LAGS, LINES, MAKER, R, RESULTS, RS, SIGNALS, TAKER, WEIGHTS, BIAS, Y_HAT, bars_sql, feats_sql,
     figures, figures_sql, query, r6, rounded, rows_sql, study_bars, study_features, study_results, study_rows, study_trades,
@@ -318,7 +318,14 @@ def _frame_sql(tag: str, every: str, periods: int) -> str:
     f"""SELECT symbol, "interval", no_trades, {RS(*FIGURES)} FROM ({' UNION ALL '.join(_frame_sql(t, e, p) for t, (e, p) in FRAMES.items())})""",
 )
 def timeframe_compare(spark, sf):
-    tables = {every: study_bars(spark, sf, every) for every in FRAMES}
+    opened, high, low, _ = bars.ohlc_aggs()
+    first = (opened, high, low, F.sum("price").alias("paid"), F.count(F.lit(1)).alias("n"))
+    later = (
+        F.min_by("open", "datetime").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
+        F.sum("paid").alias("paid"), F.sum("n").alias("n"),
+    )
+    tables = bars.bar_ladder(event_trades(spark, sf), list(FRAMES), *first, coarser=later)
+    tables = {every: table.withColumn("close", F.col("paid") / F.col("n")) for every, table in tables.items()}
     return figures(research.compare_timeframes(tables, WEIGHTS, BIAS), "symbol", "interval")
 
 
@@ -366,10 +373,11 @@ def random_baseline(spark, sf):
       {R('flow_sum - max(flow_sum) OVER (PARTITION BY symbol ORDER BY datetime, l_orderkey, l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING)', 'below_peak')} FROM c""",
 )
 def ordered_scan_equity(spark, sf):
-    """Running sum, running maximum and drawdown over every line, in time blocks."""
+    """Running sum, running maximum and drawdown over every line, in even blocks:
+    six symbols, and many lines on the same day."""
     rows = line_trades(spark, sf)
     flow = F.when(F.col("l_partkey") % 2 == 0, F.col("qty")).otherwise(-F.col("qty"))
-    line = Timeline(("symbol",), LINE_ORDER, "30d")
+    rows, line = ordered.even_blocks(rows, Timeline(("symbol",), LINE_ORDER), 32)
     out = ordered.with_running(rows, line, {"flow_sum": flow}, {"peak": "flow_sum"}, {"top_price": "price"})
     return out.select(
         "symbol", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", r6("flow_sum").alias("flow_sum"),

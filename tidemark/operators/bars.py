@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.intervals import bar_start, period_end
+from ..session import written
+from .ordered import Timeline, even_blocks, with_running
 
 ORDER = ("datetime", "id")
 
@@ -73,13 +75,16 @@ def median_bars(
     method: str = "linear",
     name: str = "median",
     time: str = "datetime",
+    blocks: int | None = None,
 ) -> DataFrame:
     """Median price per bar.
 
     ``linear`` and ``nearest`` are exact. They first count equal prices (a
     pre-aggregated shuffle, as many rows as distinct prices) and then walk the
-    counts, so no bar's trades are ever held in one buffer. ``nearest`` takes
-    the upper middle of an even count. ``approx`` is a mergeable sketch.
+    counts, so no bar's trades are ever held in one buffer. Prices on a tick
+    grid have few distinct values per bar; for prices that do not, ``blocks``
+    walks each bar in that many pieces. ``nearest`` takes the upper middle of an
+    even count. ``approx`` is a mergeable sketch.
     """
     if method == "approx":
         return resample(df, every, F.percentile_approx(price, 0.5).alias(name), keys=keys, time=time)
@@ -92,10 +97,16 @@ def median_bars(
         .groupBy(*bar, F.col(price).alias("_p"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    whole = Window.partitionBy(*bar)
-    walked = counts.withColumns(
-        {"_upto": F.sum("_n").over(whole.orderBy("_p")), "_all": F.sum("_n").over(whole)}
-    )
+    if blocks:
+        counts, line = even_blocks(written(counts, "price-counts"), Timeline(tuple(bar), ("_p",)), blocks)
+    else:
+        line = Timeline(tuple(bar), ("_p",))
+    walked = with_running(counts, line, sums={"_upto": "_n"})
+    if blocks:
+        totals = counts.groupBy(*bar).agg(F.sum("_n").alias("_all"))
+        walked = walked.join(totals, bar)
+    else:
+        walked = walked.withColumn("_all", F.sum("_n").over(Window.partitionBy(*bar)))
     # 1-based ranks of the two middle rows; equal for an odd count.
     lower, upper = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
     holds = lambda rank: (F.col("_upto") >= rank) & (F.col("_upto") - F.col("_n") < rank)
@@ -132,6 +143,23 @@ def calendar_stats(
     return out.withColumn(time, period_end(time, every)) if end_label else out
 
 
+def bar_ladder(
+    trades: DataFrame, intervals: Sequence[str], *aggs: Column, coarser: Sequence[Column] = (),
+    keys: Sequence[str] = ("symbol",), time: str = "datetime",
+) -> dict[str, DataFrame]:
+    """Bars of several lengths from one reading of the trades.
+
+    The first interval is built from trades and written; the others, multiples
+    of it, are aggregated from those bars. OHLC by default; otherwise ``aggs``
+    makes the first table and ``coarser`` combines its rows.
+    """
+    base = written(resample(trades, intervals[0], *(aggs or ohlc_aggs()), keys=keys, time=time), "bars")
+    out = {intervals[0]: base}
+    for every in intervals[1:]:
+        out[every] = resample(base, every, *coarser, keys=keys, time=time) if coarser else coarsen(base, every, keys, time=time)
+    return out
+
+
 def prefix_columns(df: DataFrame, prefix: str, keep: Sequence[str] = ()) -> DataFrame:
     """Prefix every column name except those in ``keep``."""
     return df.toDF(*[c if c in keep else f"{prefix}_{c}" for c in df.columns])

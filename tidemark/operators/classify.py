@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.maths import ratio
-from .ordered import Timeline, quantile_blocks, with_running
+from ..session import written
+from .ordered import Timeline, even_blocks, with_running
 
 
 def confusion_matrix(df: DataFrame, actual: str, predicted: str, keys: Sequence[str] = ("symbol",)) -> DataFrame:
@@ -42,22 +43,22 @@ def class_metrics(matrix: DataFrame) -> DataFrame:
 def _running_by_score(df: DataFrame, actual: str, score: str, keys: Sequence[str], blocks: int | None) -> DataFrame:
     """Per distinct score, best first: positives and negatives at it and up to it.
 
-    Equal scores are counted before anything is ordered. The distinct scores of
-    a group are then walked in ``blocks`` pieces of about equal size.
+    Equal scores are counted before anything is ordered, and the counts written
+    once. The distinct scores of a group are then walked in ``blocks`` pieces of
+    about equal size.
     """
     a = F.col(actual) == 1
-    counts = (
+    counts = written(
         df.where(F.col(score).isNotNull())
         .groupBy(*keys, F.col(score).alias("threshold"))
         .agg(F.count_if(a).alias("_pos"), F.count_if(~a).alias("_neg"))
-        .withColumn("_down", -F.col("threshold"))
+        .withColumn("_down", -F.col("threshold")),
+        "score-counts",
     )
     line = Timeline(tuple(keys), ("_down",))
-    if blocks:
-        counts = quantile_blocks(counts, keys, "_down", blocks)
-        line = Timeline(tuple(keys), ("_down",), block_column="_qblock")
-    out = with_running(counts, line, sums={"tp": "_pos", "fp": "_neg"})
-    totals = counts.groupBy(*keys).agg(F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N"))
+    rows, line = even_blocks(counts, line, blocks) if blocks else (counts, line)
+    out = with_running(rows, line, sums={"tp": "_pos", "fp": "_neg"})
+    totals = written(counts.groupBy(*keys).agg(F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N")), "score-totals")
     return out.join(totals, list(keys))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.maths import as_col, log_ratio, no_nulls, ratio
+from ..session import written
 from .ordered import BARS, Timeline, with_lags, with_running
 
 
@@ -93,12 +94,14 @@ def standardise(
 ) -> DataFrame:
     """``{c}_scaled``: centred and divided by the population deviation of the train rows.
 
-    A constant column is only centred. The statistics are one row per series.
+    A constant column is only centred. The statistics, one row per series, are
+    written first: the join back to the rows is then planned on their real size.
     """
     rows = df.where(as_col(train))
     stats = rows.groupBy(*keys).agg(
         *[F.avg(c).alias(f"_mean_{c}") for c in columns], *[F.stddev_pop(c).alias(f"_std_{c}") for c in columns]
     )
+    stats = written(stats, "train-statistics")
     out = df.join(stats, list(keys), "left")
     scale = {c: F.when(F.col(f"_std_{c}") > 0, F.col(f"_std_{c}")).otherwise(F.lit(1.0)) for c in columns}
     out = out.withColumns({f"{c}_scaled": (F.col(c) - F.col(f"_mean_{c}")) / scale[c] for c in columns})

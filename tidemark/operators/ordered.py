@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions.intervals import bar_start, interval_micros
 from ..functions.maths import as_col
+from ..session import written
 
 BLOCK = "_block"
 # Longest series one plain window should get: bars per series in a decade.
@@ -250,20 +251,30 @@ def with_last_values(df: DataFrame, line: Timeline, value: str | Column, n: int)
     ).drop("_now", "_at", *(f"_lag{i}" for i in range(1, n + 1)))
 
 
-def quantile_blocks(df: DataFrame, keys: Sequence[str], value: str, blocks: int = 64, accuracy: int = 10_000) -> DataFrame:
-    """Add an integer block column holding about equal shares of each series along ``value``.
+def even_blocks(
+    df: DataFrame, line: Timeline, blocks: int = 64, sample_rows: int = 100_000, seed: int = 17
+) -> tuple[DataFrame, Timeline]:
+    """Cut each series into about equal shares of its rows, wherever they lie.
 
-    For orders that are not spread evenly (scores, bursts of trades). The cut
-    points are written once, so every branch of a plan sees the same blocks.
+    Time blocks are cheap, but a burst puts many rows into one. Here the cut
+    points come from a sample of the whole order (ties included), so a single
+    instant holding a third of all rows is cut as well. The sample only places
+    the cuts; every row is kept. The cuts are written once, so that all branches
+    of a plan see the same blocks. Returns the rows with a block column and the
+    line to use with them.
     """
-    from ..session import written
-
-    shares = [i / blocks for i in range(1, blocks)]
-    cuts = written(
-        df.groupBy(*keys).agg(F.percentile_approx(value, shares, accuracy).alias("_cuts")), "quantile-cuts"
-    )
-    return (
-        df.join(cuts, list(keys), "left")
-        .withColumn("_qblock", F.size(F.filter("_cuts", lambda c: c < F.col(value))))
-        .drop("_cuts")
-    )
+    if any(o.startswith("-") for o in line.order):
+        raise ValueError("even blocks need an ascending order")
+    place = F.struct(*line.order)
+    share = min(1.0, sample_rows / max(df.count(), 1))
+    drawn = df.select(*line.keys, place.alias("_o"))
+    drawn = drawn.sample(share, seed) if share < 1 else drawn
+    w = Window.partitionBy(*line.keys)
+    piece = F.floor((F.col("_i") - 1) * blocks / F.col("_n"))
+    ranked = drawn.withColumns({"_i": F.row_number().over(w.orderBy("_o")), "_n": F.count(F.lit(1)).over(w)})
+    firsts = ranked.groupBy(*line.keys, piece.alias("_piece")).agg(F.min("_o").alias("_o")).where(F.col("_piece") > 0)
+    cuts = written(firsts.groupBy(*line.keys).agg(F.array_sort(F.collect_list("_o")).alias("_cuts")), "cut-points")
+    marked = df.join(cuts, list(line.keys), "left")
+    passed = F.size(F.filter("_cuts", lambda c: c <= place))
+    marked = marked.withColumn("_even", F.when(F.col("_cuts").isNotNull(), passed).otherwise(0)).drop("_cuts")
+    return marked, replace(line, block=None, block_column="_even")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.maths import as_col, ratio, safe_corr
+from ..session import written
 from .bars import ORDER, one_price
 from .features import drop_null_rows, lag_names
 
@@ -117,6 +118,9 @@ def describe(df: DataFrame, col: str, keys: Sequence[str] = ("symbol",)) -> Data
 
 
 def _bounds(df: DataFrame, col: str, keys: Sequence[str]) -> DataFrame:
+    """One row per group. Callers write it before joining it back to the rows, so
+    that the join is planned on its real size: broadcast while small, and no
+    shuffle of the rows."""
     return df.groupBy(*keys).agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"))
 
 
@@ -129,7 +133,7 @@ def histogram(df: DataFrame, col: str, bins: int = 100, keys: Sequence[str] = ("
     if bins < 1:
         raise ValueError("a histogram needs at least one bin")
     rows = df.where(F.col(col).isNotNull())
-    out = rows.join(_bounds(rows, col, keys), list(keys))
+    out = rows.join(written(_bounds(rows, col, keys), "bounds"), list(keys))
     width = (F.col("_hi") - F.col("_lo")) / bins
     index = F.coalesce(F.floor(ratio(F.col(col) - F.col("_lo"), width)), F.lit(0)).cast("int")
     placed = out.withColumn("bin", F.least(index, F.lit(bins - 1)))
@@ -173,7 +177,7 @@ def kernel_density(
         scale = scale.join(kde_bandwidth(rows, col, keys).withColumnRenamed("bandwidth", "_h"), list(keys))
     else:
         scale = scale.withColumn("_h", F.lit(float(bandwidth)))
-    spaced = rows.join(scale, list(keys))
+    spaced = rows.join(written(scale, "bounds"), list(keys))
 
     def at(i: int) -> Column:
         return F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (i / (points - 1))

@@ -36,7 +36,7 @@ def _evaluate(
     by: list[str], loss: str | Weighting,
 ) -> DataFrame:
     if loss == "mse":
-        models = solve(fold_sums, list(features), [tuple(features)], by)
+        models = written(solve(fold_sums, list(features), [tuple(features)], by), "models")
     else:
         models = fit_linear(train, list(features), target, by, loss=loss)
     return expected_return(score(test, models, features, by), target, by)
@@ -138,14 +138,14 @@ def walk_forward(
     wanted = (F.col("window_no") >= 0) & (F.col("window_no") < folds) & whole
     train = rows.withColumn("window_no", F.col("fold_block")).where(wanted)
     sums = written(moments(train, pool, target, [*by, "_late"]), "fold-sums")
-    trial = solve(sums.where(~F.col("_late")), pool, settings, by)
+    trial = written(solve(sums.where(~F.col("_late")), pool, settings, by), "models")
     judged = score(train.where("_late"), trial, pool, by).groupBy(*by, "model_id").agg(
         F.avg(direction("y_hat") * F.col(target)).alias("_ev")
     )
     rank = F.struct(F.col("_ev"), (-F.col("model_id")).alias("_first"))
     best = judged.groupBy(*by).agg(F.max_by("model_id", rank).alias("model_id"))
     both = sums.groupBy(*by).agg(*[F.sum(n).alias(n) for n in moment_names(len(pool))])
-    refit = solve(both, pool, settings, by).join(best, [*by, "model_id"])
+    refit = written(solve(both, pool, settings, by).join(best, [*by, "model_id"]), "models")
     test = rows.withColumn("window_no", F.col("fold_block") - 1).where(wanted)
     return score(test, refit, pool, by).groupBy(*by, "model_id", "features").agg(
         F.avg(direction("y_hat") * F.col(target)).alias("ev")

@@ -175,8 +175,9 @@ def score(df: DataFrame, coefficients: DataFrame, features: Sequence[str], by: S
     """Attach each group's models to its rows (one copy per model) and predict.
 
     The coefficient table has one row per group and model. No hint is given:
-    Spark broadcasts it while its real size is small and otherwise joins by
-    shuffle, splitting a hot group's rows.
+    read from a written table its real size is known, so Spark broadcasts it
+    while it is small and otherwise joins by shuffle, splitting a hot group's
+    rows.
     """
     models = coefficients.select(*by, "model_id", "features", "weights", "bias")
     return df.join(models, list(by)).withColumn(name, linear_prediction(features))

@@ -49,7 +49,7 @@ def learn_model_trades(
 ) -> DataFrame:
     """Fit on the first part of each series and give the trades of the rest."""
     rows = written(split_rows(df, features, target, test_size, line), "study-rows")
-    models = fit_linear(rows.where("is_train"), features, target, line.keys, loss=loss)
+    models = written(fit_linear(rows.where("is_train"), features, target, line.keys, loss=loss), "models")
     tested = score(rows.where(~F.col("is_train")), models, features, line.keys)
     return trade_results(tested, target, "y_hat", line).drop("row_no", "n_rows", "is_train", "model_id", "weights", "bias", "features")
 

@@ -26,20 +26,15 @@ def as_day(day: Day) -> dt.date:
     return day if isinstance(day, dt.date) else dt.date.fromisoformat(day)
 
 
-def write_trades(trades: DataFrame, path: str, files_per_partition: int = 1) -> None:
+def write_trades(trades: DataFrame, path: str) -> None:
     """Write symbol-days, replacing only the partitions present in ``trades``.
 
-    Running it again with the same days gives the same table. Rows are spread
-    over tasks by partition and a slice of time, so a hot symbol's day is
-    written by ``files_per_partition`` tasks instead of one.
+    Running it again with the same days gives the same table. Rows are
+    rebalanced by partition: Spark splits a hot symbol's day over several tasks
+    and puts small ones together, by their measured sizes.
     """
     keys = ["exchange", "symbol", "date"]
-    slot = F.floor(
-        (F.hour("datetime") * 3600 + F.minute("datetime") * 60 + F.second("datetime"))
-        * files_per_partition / F.lit(86_400)
-    )
-    rows = trades.select(*TRADE_COLUMNS).withColumn("_slot", slot)
-    rows = rows.repartition(*keys, "_slot").sortWithinPartitions(*keys, "datetime", "id").drop("_slot")
+    rows = trades.select(*TRADE_COLUMNS).hint("rebalance", *keys).sortWithinPartitions(*keys, "datetime", "id")
     (
         rows.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

@@ -129,6 +129,8 @@ class TakerStrategy(SeriesProcessor):
         prices, balance, qty, entry = list(state[0]), state[1], state[2], state[3]
         fills = []
         for when, close in zip(events["datetime"], events["close"], strict=True):
+            if not close > 0:  # neither a return nor a fill exists at such a price
+                continue
             prices = [*prices, float(close)][-(len(self.weights) + 1):]
             if len(prices) <= len(self.weights):
                 continue
