@@ -57,7 +57,7 @@ def logistic_weighting() -> Weighting:
 
 # Steps allowed, and how far each goes towards its solution (beyond it for l1,
 # whose plain steps are slow).
-STEPS = {"huber": (15, 1.0), "l1": (16, 1.6), "logistic": (12, 1.0)}
+STEPS = {"huber": (15, 1.0), "l1": (12, 1.6), "logistic": (12, 1.0)}
 
 
 def feature_subsets(pool: Sequence[str], largest: int) -> list[tuple[str, ...]]:
@@ -77,12 +77,16 @@ def moments(
     weight: Column | None = None,
 ) -> DataFrame:
     """Weighted sums of products of ``1, x1..xp, y`` over complete rows, one row per group."""
-    rows = df.where(no_nulls(features)).withColumn("_y", as_col(target).cast("double")).where(F.col("_y").isNotNull())
-    terms = [F.lit(1.0), *[F.col(f).cast("double") for f in features], F.col("_y")]
     scale = weight if weight is not None else F.lit(1.0)
-    products = [scale * a * b for a, b in combinations_with_replacement(terms, 2)]
+    rows = df.select(
+        *by, *[F.col(f).cast("double").alias(f"_z{i}") for i, f in enumerate(features, 1)],
+        as_col(target).cast("double").alias("_zy"), scale.cast("double").alias("_wt"),
+    )
+    rows = rows.where(no_nulls([c for c in rows.columns if c.startswith("_z")]))
+    terms = ["1.0D", *[f"_z{i}" for i in range(1, len(features) + 1)], "_zy"]
+    products = [f"sum(_wt * {a} * {b})" for a, b in combinations_with_replacement(terms, 2)]
     names = moment_names(len(features))
-    return rows.groupBy(*by).agg(*[F.sum(e).alias(n) for e, n in zip(products, names, strict=True)])
+    return rows.groupBy(*by).agg(*[F.expr(e).alias(n) for e, n in zip(products, names, strict=True)])
 
 
 def cumulative_moments(table: DataFrame, p: int, keys: Sequence[str], along: str) -> DataFrame:
