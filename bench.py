@@ -18,7 +18,7 @@ HEADLINE = [
     "rolling_last_n", "chrono_split", "ordered_scan_equity", "autocorr_matrix", "pair_corr", "histogram", "kde_grid",
     "roc_auc", "trade_results", "performance_summary", "compounding", "leverage_sweep", "timeframe_compare",
     "fills_ledger", "ar3_fit", "subset_search", "cv_rolling", "cv_expanding", "cv_huber", "walk_forward", "nn_forward",
-    "stream_ohlc", "stream_lags", "flagship",
+    "tick_backtest", "stream_ohlc", "stream_lags", "flagship", "flagship_l1",
 ]
 
 

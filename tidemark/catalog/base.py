@@ -140,7 +140,8 @@ def bars_sql(every: str = "12 hours") -> str:
 
 def feats_sql(every: str = "12 hours") -> str:
     return f"""{bars_sql(every)}, returns AS (
-  SELECT *, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY datetime)) AS close_log_return FROM bars),
+  SELECT *, CASE WHEN close > 0 AND lag(close) OVER (PARTITION BY symbol ORDER BY datetime) > 0
+      THEN ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY datetime)) END AS close_log_return FROM bars),
 feats AS (
   SELECT *, lag(close_log_return, 1) OVER w AS close_log_return_lag_1,
          lag(close_log_return, 2) OVER w AS close_log_return_lag_2,
@@ -153,7 +154,8 @@ Y_HAT = "close_log_return_lag_1 * -0.5e0 + close_log_return_lag_2 * -0.1e0 + clo
 
 def rows_sql(every: str = "12 hours") -> str:
     return f"""{feats_sql(every)}, study AS (
-  SELECT *, {Y_HAT} AS y_hat FROM feats WHERE close_log_return_lag_3 IS NOT NULL)"""
+  SELECT *, {Y_HAT} AS y_hat FROM feats WHERE close_log_return IS NOT NULL AND close_log_return_lag_1 IS NOT NULL
+    AND close_log_return_lag_2 IS NOT NULL AND close_log_return_lag_3 IS NOT NULL)"""
 
 
 RESULTS = f"""{rows_sql()}, signed AS (

@@ -506,15 +506,17 @@ def prefixed_pairs(spark, sf):
 
 @query(
     "null_policy",
-    """WITH t AS (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS price,
-      CASE WHEN event_id % 7 = 0 THEN CAST('NaN' AS DOUBLE) ELSE value END AS other FROM events)
+    """WITH t AS (SELECT event_id, CASE WHEN value >= 5 THEN value END AS price,
+      CASE WHEN value > 480 THEN CAST('NaN' AS DOUBLE) ELSE value END AS other FROM events)
     SELECT event_id, price, isnan(other) AS other_is_nan, coalesce(nullif(price, price), 1) AS filled FROM t
     WHERE price IS NOT NULL AND other IS NOT NULL""",
 )
 def null_policy(spark, sf):
+    """Prices below 5 count as missing, above 480 as not a number: NULL rows go, NaN rows stay."""
+    value = F.col("value")
     rows = table(spark, sf, "events").select(
-        "event_id", F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("price"),
-        F.when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("value")).alias("other"),
+        "event_id", F.when(value >= 5, value).alias("price"),
+        F.when(value > 480, F.lit(float("nan"))).otherwise(value).alias("other"),
     )
     kept = features.drop_null_rows(rows, ["price", "other"])
     missing = F.nullif("price", "price")

@@ -289,8 +289,21 @@ def walk_forward(spark, sf):
     return rounded(out, "symbol", "window_no", "model_id", "features", "ev")
 
 
-@query("flagship")
+# The flagship study closes its bars at the last trade, not at the mean price.
+TRUE_CLOSE = LEARNED.replace("avg(price) AS close", "arg_max(price, (datetime, id)) AS close")
+
+
+@query(
+    "flagship",
+    f"""WITH {TRUE_CLOSE}, f AS ({figures_sql('results', 'symbol', 'sqrt(730)')})
+    SELECT symbol, '{','.join(LAGS)}' AS features, '{TARGET}' AS target, no_trades, {RS(*FIGURES)} FROM f""",
+)
 def flagship(spark, sf):
-    """Trades to out-of-sample figures on true closing prices, default (L1) loss."""
-    out = research.ar_study(event_trades(spark, sf), "12h", 3, loss="l1")
-    return figures(out, "symbol", "features", "target")
+    """Trades -> 12h bars -> lags -> AR(3) per symbol -> out-of-sample trades -> figures."""
+    return figures(research.ar_study(event_trades(spark, sf), "12h", 3), "symbol", "features", "target")
+
+
+@query("flagship_l1")
+def flagship_l1(spark, sf):
+    """The same study with the least-absolute-error loss."""
+    return figures(research.ar_study(event_trades(spark, sf), "12h", 3, loss="l1"), "symbol", "features", "target")

@@ -11,10 +11,11 @@ from ..operators.ordered import Timeline
 from ..plans import nets, research
 from ..sources.sample_tables import LINE_ORDER, event_trades, line_trades, table
 from .base import (
-    CAPITAL, FIGURES, LAGS, LINES, MAKER, R, RESULTS, RS, SIGNALS, TAKER, WEIGHTS, BIAS, Y_HAT, bars_sql, feats_sql,
+    CAPITAL, FIGURES, LAGS, LINES, MAKER, R, RESULTS, RS, SAFE_LOG, SIGNALS, TAKER, TRADES, WEIGHTS, BIAS,
     figures, figures_sql, query, r6, rounded, rows_sql, study_bars, study_features, study_results, study_rows, study_trades,
 )
 
+TICK_FIGURES = [n for n in FIGURES if n != "log_compound_return"]  # the multiple itself overflows over many ticks
 RUN = "OVER (PARTITION BY symbol ORDER BY datetime ROWS UNBOUNDED PRECEDING)"
 
 
@@ -385,6 +386,30 @@ def ordered_scan_equity(spark, sf):
     )
 
 
+TICK_RUN = "OVER (PARTITION BY symbol ORDER BY datetime, id ROWS UNBOUNDED PRECEDING)"
+
+
+@query(
+    "tick_backtest",
+    f"""WITH {TRADES}, r AS (SELECT symbol, datetime, id, {SAFE_LOG} AS y FROM trades),
+    l AS (SELECT *, lag(y) OVER (PARTITION BY symbol ORDER BY datetime, id) AS x FROM r),
+    signed AS (SELECT symbol, datetime, id, sign(-0.5e0 * x + 0.01e0) = sign(y) AS is_won, sign(-0.5e0 * x + 0.01e0) * y AS trade_log_return
+      FROM l WHERE x IS NOT NULL AND y IS NOT NULL),
+    curve AS (SELECT *, sum(trade_log_return) {TICK_RUN} AS equity_curve FROM signed),
+    results AS (SELECT *, equity_curve - max(equity_curve) {TICK_RUN} AS drawdown_log_return FROM curve),
+    f AS ({figures_sql('results', 'symbol', '1')})
+    SELECT symbol, no_trades, {', '.join(R(n, digits=5) for n in TICK_FIGURES)} FROM f""",
+)
+def tick_backtest(spark, sf):
+    """Features, signal, trades and figures of every tick, in time blocks throughout."""
+    line = Timeline.of_ticks("1d")
+    ticks = event_trades(spark, sf).select("symbol", "datetime", "id", "price")
+    rows = features.add_log_return_features(ticks, "price", 1, 1, line)
+    rows = features.drop_null_rows(rows).withColumn("y_hat", F.col("price_log_return_lag_1") * -0.5 + 0.01)
+    out = metrics.performance(metrics.trade_results(rows, "price_log_return", "y_hat", line))
+    return rounded(out, "symbol", "no_trades", *TICK_FIGURES, digits=5)
+
+
 # --- classification ---------------------------------------------------------------
 
 CONFUSION = """SELECT symbol, count(*) FILTER (WHERE up = 0 AND y_pred_binary = 0) AS tn, count(*) FILTER (WHERE up = 0 AND y_pred_binary = 1) AS fp,

@@ -26,7 +26,7 @@ def session(app: str = "tidemark", master: str | None = None, partitions: int =
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", os.environ.get("TIDEMARK_DRIVER_MEMORY", "6g"))
+        .config("spark.driver.memory", os.environ.get("TIDEMARK_DRIVER_MEMORY", "4g"))
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # no call-site capture per column
         .getOrCreate()
