@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.classify import roc_auc, roc_points
 from tidemark.operators.features import add_log_return_features
 from tidemark.operators.metrics import trade_results
-from tidemark.operators.ordered import Timeline, even_blocks, with_lags, with_last_values, with_position, with_running
+from tidemark.operators.ordered import Timeline, even_blocks, in_blocks, with_lags, with_last_values, with_position, with_running
 from tidemark.operators.split import with_split
 
 ORDER = ("datetime", "id")
@@ -77,6 +77,31 @@ def test_features_and_trades_under_blocks(ticks):
     assert (got["drawdown_log_return"] <= 1e-9).all()
 
 
+def test_blocks_given_once_are_shuffled_once(spark, ticks):
+    line = Timeline(("symbol",), ORDER, "1h")
+
+    def run(rows, which):
+        out = with_lags(rows, which, {"one": ("price", 1), "three": ("price", 3)})
+        out = with_running(out, which, {"total": F.coalesce("price", F.lit(0.0))}, {"peak": "total"})
+        return with_position(out, which)
+
+    rows, laid = in_blocks(ticks, line)
+    got = run(rows, laid)
+    same(run(ticks, line), got.drop("_block"))
+
+    def shuffles(df):
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            plan = df._jdf.queryExecution().executedPlan().toString().split("\n")
+        finally:
+            spark.conf.unset("spark.sql.adaptive.enabled")
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        return sum("Exchange hashpartitioning" in step and "_block" in step for step in plan)
+
+    assert shuffles(got.select("symbol", "total")) < shuffles(run(ticks, line).select("symbol", "total"))
+
+
 def test_partitioning_does_not_matter(ticks):
     line = Timeline(("symbol",), ORDER, "1h")
     lags = {"one": ("price", 1), "two": ("price", 2)}

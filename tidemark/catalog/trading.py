@@ -402,8 +402,8 @@ TICK_RUN = "OVER (PARTITION BY symbol ORDER BY datetime, id ROWS UNBOUNDED PRECE
 )
 def tick_backtest(spark, sf):
     """Features, signal, trades and figures of every tick, in time blocks throughout."""
-    line = Timeline.of_ticks("1d")
     ticks = event_trades(spark, sf).select("symbol", "datetime", "id", "price")
+    ticks, line = ordered.in_blocks(ticks, Timeline.of_ticks("1d"))
     rows = features.add_log_return_features(ticks, "price", 1, 1, line)
     rows = features.drop_null_rows(rows).withColumn("y_hat", F.col("price_log_return_lag_1") * -0.5 + 0.01)
     out = metrics.performance(metrics.trade_results(rows, "price_log_return", "y_hat", line))

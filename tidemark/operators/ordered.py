@@ -81,18 +81,33 @@ class Timeline:
             raise ValueError("a descending order has no rank")
         return F.col(self.order[0]) if len(self.order) == 1 else F.struct(*self.order)
 
+    @property
+    def block_name(self) -> str:
+        return self.block_column or BLOCK
+
+    def block_keys(self) -> list[str]:
+        return [*self.keys, self.block_name]
+
+    def columns(self) -> list[str]:
+        """Every column the line needs."""
+        return [*self.keys, *self.order_names(), *([self.block_column] if self.block_column else [])]
+
     def window(self, *, blocked: bool = False, reverse: bool = False):
-        keys = [*self.keys, BLOCK] if blocked else list(self.keys)
+        keys = self.block_keys() if blocked else list(self.keys)
         return Window.partitionBy(*keys).orderBy(*self.sort_columns(reverse))
 
     def with_block(self, df: DataFrame) -> DataFrame:
         if self.block_column is not None:
-            return df.withColumn(BLOCK, F.col(self.block_column))
+            return df
         return df.withColumn(BLOCK, F.unix_micros(bar_start(self.order[0], self.block)))
 
+    def without_block(self, df: DataFrame) -> DataFrame:
+        """Drop the block column again, unless the rows came with it."""
+        return df if self.block_column else df.drop(BLOCK)
+
     def carry_window(self):
         """Over the one-row-per-block table: everything before this block."""
-        return Window.partitionBy(*self.keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+        return Window.partitionBy(*self.keys).orderBy(self.block_name).rowsBetween(Window.unboundedPreceding, -1)
 
 
 BARS = Timeline()
@@ -108,7 +123,7 @@ def with_lags(df: DataFrame, line: Timeline, lags: Mapping[str, tuple[str | Colu
         return df.withColumns({name: F.lag(as_col(value), n).over(w) for name, (value, n) in lags.items()})
 
     depth = max(n for _, n in lags.values())
-    keys = [*line.keys, BLOCK]
+    keys = line.block_keys()
     w = line.window(blocked=True)
     values = {f"_v{i}": as_col(value) for i, (value, _) in enumerate(lags.values())}
     local = line.with_block(df).withColumns(values)
@@ -129,15 +144,15 @@ def with_lags(df: DataFrame, line: Timeline, lags: Mapping[str, tuple[str | Colu
         .groupBy(*keys)
         .agg(F.array_sort(F.collect_list(F.struct((-F.col("_rank")).alias("_rank"), *values))).alias("_tail"))
     )
-    before = Window.partitionBy(*line.keys).orderBy(BLOCK).rowsBetween(-depth, -1)
+    before = Window.partitionBy(*line.keys).orderBy(line.block_name).rowsBetween(-depth, -1)
     carry = tails.select(*keys, F.flatten(F.collect_list("_tail").over(before)).alias("_halo"))
     joined = numbered.join(carry, keys, "left")
     added = {}
     for i, (name, (_, n)) in enumerate(lags.items()):
         reach_back = F.try_element_at("_halo", (F.col("_rn") - F.lit(n + 1)).cast("int"))
         added[name] = F.when(F.col("_rn") > n, F.col(f"_l{i}")).otherwise(reach_back[f"_v{i}"])
-    return joined.withColumns(added).drop(
-        BLOCK, "_rn", "_halo", *values, *(f"_l{i}" for i in range(len(lags)))
+    return line.without_block(joined.withColumns(added)).drop(
+        "_rn", "_halo", *values, *(f"_l{i}" for i in range(len(lags)))
     )
 
 
@@ -165,7 +180,7 @@ def with_running(
         tops |= {n: F.last(as_col(v), ignorenulls=True).over(w) for n, v in latest.items()}
         return df.withColumns(tops) if tops else df
 
-    keys = [*line.keys, BLOCK]
+    keys = line.block_keys()
     w = line.window(blocked=True).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = line.with_block(df)
     values = {f"_s{n}": as_col(v) for n, v in sums.items()} | {f"_m{n}": as_col(v) for n, v in maxima.items()}
@@ -203,9 +218,9 @@ def with_running(
     result |= {n: F.greatest(f"_g{n}", F.col(f"_b{of}") + F.col(f"_p{n}")) for n, of in peaks.items()}
     result |= {n: F.greatest(f"_c{n}", f"_q{n}") for n in maxima}
     result |= {n: F.coalesce(f"_w{n}", f"_e{n}") for n in latest}
-    scratch = [BLOCK, *values, *carried, *(f"_r{n}" for n in sums)]
+    scratch = [*values, *carried, *(f"_r{n}" for n in sums)]
     scratch += [f"_p{n}" for n in peaks] + [f"_q{n}" for n in maxima] + [f"_w{n}" for n in latest]
-    return joined.withColumns(result).drop(*scratch)
+    return line.without_block(joined.withColumns(result)).drop(*scratch)
 
 
 def with_position(df: DataFrame, line: Timeline, index: str = "row_no", count: str | None = "n_rows") -> DataFrame:
@@ -215,7 +230,7 @@ def with_position(df: DataFrame, line: Timeline, index: str = "row_no", count: s
         if count:
             added[count] = F.count(F.lit(1)).over(Window.partitionBy(*line.keys))
         return df.withColumns(added)
-    keys = [*line.keys, BLOCK]
+    keys = line.block_keys()
     local = line.with_block(df)
     totals = local.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     carry = totals.select(
@@ -227,7 +242,7 @@ def with_position(df: DataFrame, line: Timeline, index: str = "row_no", count: s
     added = {index: F.col("_before") + F.col("_rn") - 1}
     if count:
         added[count] = F.col("_all")
-    return joined.withColumns(added).drop(BLOCK, "_rn", "_before", "_all")
+    return line.without_block(joined.withColumns(added)).drop("_rn", "_before", "_all")
 
 
 def with_last_values(df: DataFrame, line: Timeline, value: str | Column, n: int) -> DataFrame:
@@ -251,6 +266,17 @@ def with_last_values(df: DataFrame, line: Timeline, value: str | Column, n: int)
     ).drop("_now", "_at", *(f"_lag{i}" for i in range(1, n + 1)))
 
 
+def in_blocks(df: DataFrame, line: Timeline) -> tuple[DataFrame, Timeline]:
+    """Give the rows their time block once, for several operators in a row.
+
+    Each operator on the returned line finds the rows already laid out by
+    ``(series, block)``, so together they shuffle them once.
+    """
+    if line.block_column is not None or not line.blocked:
+        return df, line
+    return line.with_block(df), replace(line, block=None, block_column=BLOCK)
+
+
 def even_blocks(
     df: DataFrame, line: Timeline, blocks: int = 64, sample_rows: int = 100_000, seed: int = 17
 ) -> tuple[DataFrame, Timeline]:

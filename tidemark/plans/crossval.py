@@ -22,7 +22,7 @@ from .regression import Weighting, cumulative_moments, fit_linear, moment_names,
 
 
 def _rows(df: DataFrame, features: Sequence[str], target: str, line: Timeline) -> DataFrame:
-    columns = dict.fromkeys([*line.keys, *line.order, *features, target])
+    columns = dict.fromkeys([*line.columns(), *features, target])
     return drop_null_rows(df.select(*columns))
 
 

@@ -39,7 +39,7 @@ def split_rows(
     keep: Sequence[str] = (),
 ) -> DataFrame:
     """Complete rows with ``is_train``; only the columns a model study needs."""
-    columns = list(dict.fromkeys([*line.keys, *line.order, *features, target, *keep]))
+    columns = list(dict.fromkeys([*line.columns(), *features, target, *keep]))
     return with_split(drop_null_rows(df.select(*columns)), test_size, line)
 
 
