@@ -500,8 +500,7 @@ def prefixed_pairs(spark, sf):
     trades = event_trades(spark, sf)
     left = bars.prefixed_ohlc(trades.where("symbol = 'click'"), "12h", "click", keep=("datetime",))
     right = bars.prefixed_ohlc(trades.where("symbol = 'view'"), "12h", "view", keep=("datetime",))
-    both = bars.align(left, right).withColumnRenamed("click_open", "o").withColumnRenamed("o", "click_open")
-    return both.select("datetime", "click_open", "click_close", "view_open", "view_close")
+    return bars.align(left, right).select("datetime", "click_open", "click_close", "view_open", "view_close")
 
 
 @query(

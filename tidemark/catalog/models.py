@@ -11,7 +11,7 @@ from ..sources import store
 from ..sources.sample_tables import event_trades
 from ..session import scratch_path, written
 from .base import (
-    FIGURES, LAGS, R, RS, TRADES, feats_sql, figures, figures_sql, query, r6, rounded, rows_sql, study_features,
+    FIGURES, LAGS, R, RS, figures, figures_sql, query, r6, rounded, rows_sql, study_features,
 )
 
 TARGET = "close_log_return"

@@ -284,8 +284,8 @@ def even_blocks(
 
     Time blocks are cheap, but a burst puts many rows into one. Here the cut
     points come from a sample of the whole order (ties included), so a single
-    instant holding a third of all rows is cut as well. The sample only places
-    the cuts; every row is kept. The cuts are written once, so that all branches
+    instant holding a third of all rows is cut as well. Costs a count and a
+    sampled read. The sample only places the cuts; every row is kept. The cuts are written once, so that all branches
     of a plan see the same blocks. Returns the rows with a block column and the
     line to use with them.
     """

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.maths import as_col, ratio, safe_corr
+from ..functions.maths import ratio, safe_corr
 from ..session import written
 from .bars import ORDER, one_price
 from .features import drop_null_rows, lag_names
