@@ -125,12 +125,21 @@ def with_lags(df: DataFrame, line: Timeline, lags: Mapping[str, tuple[str | Colu
     depth = max(n for _, n in lags.values())
     keys = line.block_keys()
     w = line.window(blocked=True)
-    values = {f"_v{i}": as_col(value) for i, (value, _) in enumerate(lags.values())}
+    # Each distinct value is carried once, however many lags it has.
+    seen: dict[object, str] = {}
+    values: dict[str, Column] = {}
+    source = {}
+    for name, (value, _) in lags.items():
+        token = value if isinstance(value, str) else id(value)
+        if token not in seen:
+            seen[token] = f"_v{len(seen)}"
+            values[seen[token]] = as_col(value)
+        source[name] = seen[token]
     local = line.with_block(df).withColumns(values)
     numbered = local.withColumns(
         {
             "_rn": F.row_number().over(w),
-            **{f"_l{i}": F.lag(f"_v{i}", n).over(w) for i, (_, n) in enumerate(lags.values())},
+            **{f"_l{i}": F.lag(source[name], n).over(w) for i, (name, (_, n)) in enumerate(lags.items())},
         }
     )
     # The last `depth` rows of each block, then of all blocks before it. Every
@@ -150,7 +159,7 @@ def with_lags(df: DataFrame, line: Timeline, lags: Mapping[str, tuple[str | Colu
     added = {}
     for i, (name, (_, n)) in enumerate(lags.items()):
         reach_back = F.try_element_at("_halo", (F.col("_rn") - F.lit(n + 1)).cast("int"))
-        added[name] = F.when(F.col("_rn") > n, F.col(f"_l{i}")).otherwise(reach_back[f"_v{i}"])
+        added[name] = F.when(F.col("_rn") > n, F.col(f"_l{i}")).otherwise(reach_back[source[name]])
     return line.without_block(joined.withColumns(added)).drop(
         "_rn", "_halo", *values, *(f"_l{i}" for i in range(len(lags)))
     )
