@@ -31,6 +31,15 @@ def one_text_per_digest(docs: DataFrame, wanted: DataFrame, digest: Column) -> D
     return left.join(right, on, "left_semi").select("digest", "text")
 
 
+#: Rows of a small side (ids and a few numbers) up to which it is broadcast; beyond, the join shuffles.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(side: DataFrame) -> DataFrame:
+    """``side`` (a written table of narrow rows), marked for broadcast if it is counted to be small."""
+    return F.broadcast(side) if side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else side
+
+
 def first_ids(keyed: DataFrame) -> DataFrame:
     """``(digest, id)``: the smallest id of every digest, combined before the shuffle."""
     return keyed.groupBy("digest").agg(F.min("id").alias("id"))
@@ -70,8 +79,10 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def text_slices(column: pa.Array, budget: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """``(first row, row after the last, bytes, offsets)`` in slices of about ``budget`` bytes.
+def text_slices(
+    column: pa.Array, budget: int = 1 << 20, rows: int = 4096
+) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """``(first row, row after the last, bytes, offsets)`` in slices of about ``budget`` bytes and at most ``rows`` texts.
 
     A text is never cut: one that is longer than the budget is a slice of its own. NULL is empty.
     """
@@ -87,7 +98,7 @@ def text_slices(column: pa.Array, budget: int = 1 << 20) -> Iterator[tuple[int,
     at = 0
     while at < n:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + budget, "right")) - 1)
-        to = min(to, n)
+        to = min(to, n, at + rows)
         yield at, to, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
 
