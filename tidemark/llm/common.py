@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: What counts as a word everywhere in this subpackage: runs of anything but ASCII white space.
@@ -18,17 +18,17 @@ def named(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{given}`").alias(name) for name, given in columns.items()])
 
 
-def one_text_per_digest(docs: DataFrame, wanted: DataFrame, digest: Column) -> DataFrame:
-    """``(digest, text)`` once for every digest in ``wanted (digest, id)``.
+def one_text_per_digest(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(digest, text)`` once for every digest in ``wanted (digest, id, mark)``.
 
-    ``docs`` has ``id`` and ``text``. The chosen row is found by its id, so a text that a third
-    of all rows repeat is read from one row and its copies never meet in one task. The join keeps
-    only the small side in memory.
+    ``docs`` has ``id`` and ``text``. The chosen row is found by its id and ``mark`` (a fast hash of its
+    text, see :func:`first_rows`), so a text that a third of all rows repeat is read from one row and its
+    copies never meet in one task. The join keeps only the small side in memory.
     """
-    left = docs.withColumn("digest", digest).alias("a")
-    right = wanted.select(F.col("digest").alias("w_digest"), F.col("id").alias("w_id")).hint("shuffle_hash")
-    on = F.col("a.id").eqNullSafe(F.col("w_id")) & (F.col("a.digest") == F.col("w_digest"))
-    return left.join(right, on, "left_semi").select("digest", "text")
+    left = docs.select("id", "text", F.xxhash64("text").alias("mark")).alias("a")
+    right = wanted.select("digest", F.col("id").alias("w_id"), F.col("mark").alias("w_mark")).hint("shuffle_hash")
+    on = F.col("a.id").eqNullSafe(F.col("w_id")) & (F.col("a.mark") == F.col("w_mark"))
+    return left.join(right, on).select("digest", "text")
 
 
 #: Rows of a small side (ids and a few numbers) up to which it is broadcast; beyond, the join shuffles.
@@ -40,9 +40,9 @@ def small(side: DataFrame) -> DataFrame:
     return F.broadcast(side) if side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else side
 
 
-def first_ids(keyed: DataFrame) -> DataFrame:
-    """``(digest, id)``: the smallest id of every digest, combined before the shuffle."""
-    return keyed.groupBy("digest").agg(F.min("id").alias("id"))
+def first_rows(keyed: DataFrame) -> DataFrame:
+    """``(digest, id, mark)``: the first row of every digest in ``keyed (digest, id, mark)``, combined before the shuffle."""
+    return keyed.groupBy("digest").agg(F.min(F.struct("id", "mark")).alias("r")).select("digest", "r.id", "r.mark")
 
 
 # --- texts as byte arrays ----------------------------------------------------

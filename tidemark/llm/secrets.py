@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import first_ids, named, one_text_per_digest
+from .common import first_rows, named, one_text_per_digest
 from .spans import Pattern, all_spans, listed
 
 # The base rules of the scan; ``least`` is the length that the value must have.
@@ -58,9 +58,9 @@ def update_ledger(docs: DataFrame, ledger: str, rules=RULES, id_col: str = "doc_
     so a scan that broke off is done again; :func:`findings` drops what is there twice. Returns the number of new blobs."""
     spark, version = docs.sparkSession, rules_version(rules)
     own = named(docs, id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    digest = F.sha2("text", 256)
+    keyed = own.select("id", F.sha2("text", 256).alias("digest"), F.xxhash64("text").alias("mark"))
     seen = _stored(spark, f"{ledger}/scanned", SCANNED).where(F.col("version") == version)
-    unseen = first_ids(own.select("id", digest.alias("digest"))).join(
+    unseen = first_rows(keyed).join(
         seen.select(F.col("blob").alias("digest")), "digest", "left_anti"
     )
     unseen_path = scratch_path(spark, "unseen-blobs")
@@ -68,7 +68,7 @@ def update_ledger(docs: DataFrame, ledger: str, rules=RULES, id_col: str = "doc_
     unseen = spark.read.parquet(unseen_path)
     new = unseen.count()
     if new:
-        texts = one_text_per_digest(own, unseen, digest).withColumnRenamed("digest", "blob")
+        texts = one_text_per_digest(own, unseen).withColumnRenamed("digest", "blob")
         scan(texts, rules).select("blob", F.lit(version).alias("version"), "rank", "kind", "start", "end").write.mode(
             "append"
         ).parquet(f"{ledger}/findings")

@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
-from .common import first_ids, named, one_text_per_digest
+from ..session import scratch_path, written
+from .common import first_rows, named, one_text_per_digest
 
 CACHE_SCHEMA = "digest string, version string, n_tokens long"
 
@@ -34,7 +34,6 @@ def tokenizer_version(path: str) -> str:
 
 def normalised(text: Column, drops_white_space: bool) -> Column:
     """The form that is digested. A tokenizer that drops white space counts a run of it like one space."""
-    text = F.coalesce(text, F.lit(""))
     return F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")) if drops_white_space else text
 
 
@@ -90,20 +89,24 @@ def count_tokens(
     """
     spark = docs.sparkSession
     version = tokenizer_version(tokenizer_path)
-    own = named(docs, id=id_col, text=text_col)
-    form = normalised(F.col("text"), drops_white_space)
-    digest = F.sha2(form, 256)
-    keyed = own.select("id", digest.alias("digest"), F.octet_length(F.coalesce("text", F.lit(""))).alias("n_bytes"))
+    own = named(docs, id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
+    keyed = own.select(
+        "id",
+        F.sha2(normalised(F.col("text"), drops_white_space), 256).alias("digest"),
+        F.xxhash64("text").alias("mark"),
+        F.octet_length("text").cast("long").alias("n_bytes"),
+    )
+    keyed = written(keyed, "digests")
     stored = read_cache(spark, cache_path).where(F.col("version") == version)
-    wanted = first_ids(keyed).join(stored, "digest", "left_anti")
-    missing = one_text_per_digest(own.withColumn("text", form), wanted, F.sha2("text", 256))
-    counted = missing.mapInArrow(_counter(tokenizer_path), "digest string, n_tokens long")
+    wanted = first_rows(keyed).join(stored, "digest", "left_anti")
+    # white space that changes no count needs no removing before the count
+    counted = one_text_per_digest(own, wanted).mapInArrow(_counter(tokenizer_path), "digest string, n_tokens long")
     counted.select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache_path)
     # a row that a repeated id wrote twice, or that two runs added, counts once
     known = read_cache(spark, cache_path).where(F.col("version") == version)
     known = known.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     return keyed.join(known, "digest").select(
-        F.col("id").alias(id_col), F.col("n_bytes").cast("long").alias("n_bytes"), "n_tokens"
+        F.col("id").alias(id_col), "n_bytes", "n_tokens"
     )
 
 
