@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from .fingerprints import op3_fingerprints
 from .mixing import op10_mix
+from .neardup import op6_jaccard_join
 from .pii import op5_personal_data
 from .secrets import op4_secret_scan
 from .tokens import op1_token_counts
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op3_fingerprints": op3_fingerprints,
     "op4_secret_scan": op4_secret_scan,
     "op5_personal_data": op5_personal_data,
+    "op6_jaccard_join": op6_jaccard_join,
     "op10_mix": op10_mix,
 }
 ORACLES: dict[str, str] = {}
