@@ -51,6 +51,10 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_SAME = np.arange(256, dtype=np.uint8)
+#: White space and ASCII punctuation, for words without their punctuation.
+_SPACE_OR_MARK = _SPACE.copy()
+_SPACE_OR_MARK[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MULT = np.array(
     [0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64
@@ -103,16 +107,19 @@ def text_slices(
         at = to
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words_of(
+    data: np.ndarray, offsets: np.ndarray, lower: bool = True, marks: bool = True
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of the texts of one slice: ``(hash, start, end, first)``.
 
-    ``first[i]:first[i + 1]`` are the words of text ``i``; the hash is over the bytes with A-Z lowered.
+    ``first[i]:first[i + 1]`` are the words of text ``i``; the hash is over the bytes, with A-Z lowered
+    unless ``lower`` is off. Without ``marks``, ASCII punctuation separates words like white space.
     """
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), none, none, np.zeros(len(offsets), np.int64)
-    space = _SPACE[data]
+    space = (_SPACE if marks else _SPACE_OR_MARK)[data]
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
     starts_here = ~space
@@ -122,7 +129,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     start, end = np.flatnonzero(starts_here), np.flatnonzero(ends_here) + 1
     up, down = _power_tables(n + 1)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
+    np.cumsum(((_LOWER if lower else _SAME)[data].astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
     word = (total[end] - total[start]) * down[start]
     return mix(word + (end - start).astype(np.uint64)), start, end, np.searchsorted(start, offsets)
 
