@@ -71,7 +71,7 @@ def test_components(spark, monkeypatch, seed, n, page):
 
 def test_pages_alone_find_every_link(spark, monkeypatch):
     """Without the rounds of hubs, the pages have to find all links by themselves."""
-    monkeypatch.setattr(neardup, "candidates_of_hubs", lambda lists, labels, turn: lists.selectExpr("id AS a", "id AS b").where("false"))
+    monkeypatch.setattr(neardup, "candidates_of_hubs", lambda lists: lists.selectExpr("id AS a", "id AS b").where("false"))
     rows = corpus(5, 200)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs).collect()}

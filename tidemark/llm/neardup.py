@@ -8,8 +8,8 @@ of every coordinate and its sizes. Pages, then points, whose summed minima or si
 never looked at again; what survives is verified on the sets themselves.
 
 Equal sets are one class from the start. Within a long list only pairs of different components matter:
-two rounds compare everyone with one member (a hub), which joins groups of copies with as many pairs as
-members; the pages then find all that is left. No link between different texts is lost.
+first everyone is compared with the list's first and last member, which joins groups of copies with as
+many pairs as members; the pages then find all that is left. No link between different texts is lost.
 
 Defined results: NULL or word-less texts have an empty set and link with nothing; NULL ids take no part
 (component NULL); rows that share an id are one document; other input columns are ignored.
@@ -40,7 +40,7 @@ GROUPS = 32
 #: Points of one page.
 PAGE = 16
 #: Counters for the rarity of shingles, a table of fixed size that every task gets; kept in pages.
-BINS, BIN_PAGE = 1 << 20, 1 << 14
+BINS, BIN_PAGE = 1 << 22, 1 << 16
 #: Partial counter tables that are added up in one task.
 FAN_IN = 64
 TOKEN_BITS = 52
@@ -70,7 +70,7 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at, to, row, token in shingle_sets(batch.column(1)):
             m = to - at
             n = np.bincount(row, minlength=m)
-            bins += np.bincount((token & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS).astype(np.uint32)
+            np.add.at(bins, (token & np.uint64(BINS - 1)).astype(np.int64), np.uint32(1))
             ends = np.cumsum(n)
             sums = []
             for salt in (np.uint64(0x51ED270B0A1F39C1), np.uint64(0xA24BAED4963EE407)):
@@ -166,23 +166,27 @@ def summed_minima(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
 
 
-def candidates_of_hubs(lists: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    """``(a, b)``: in every list, one member against those of other components."""
-    here = lists.join(labels, "id")
-    order = F.struct(F.xxhash64("id", F.lit(turn)), "id", "comp") if turn else F.struct("id", F.lit(0), "comp")
-    hubs = here.groupBy("token").agg(
-        F.min(order).alias("hub"), F.min("comp").alias("low"), F.max("comp").alias("high")
-    ).where("low < high")
-    hub_id = F.col("hub.id")
-    pairs = here.join(hubs.select("token", hub_id.alias("h"), F.col("hub.comp").alias("h_comp")), "token").where("comp != h_comp")
-    return pairs.select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b")).distinct()
+def may_link(n_a: Column, pos_a: Column, n_b: Column, pos_b: Column) -> Column:
+    """Whether two sets can link whose first common shingle, in order of rarity, has these places in them.
+
+    No shingle before it is common, so the overlap is at most what is left from there on. A pair is found
+    under its first common shingle at the latest, so other places need not be looked at.
+    """
+    return linked(F.least(n_a - pos_a, n_b - pos_b), n_a, n_b)
+
+
+def candidates_of_hubs(lists: DataFrame) -> DataFrame:
+    """``(a, b)``: the members of every list against its first and its last one."""
+    pairs = lists.select("id", "n", "pos", F.explode(F.array("low", "high")).alias("hub")).where("id != hub.id")
+    pairs = pairs.where(may_link(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos")))
+    return pairs.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
 
 
 def candidates_of_pages(lists: DataFrame, labels: DataFrame, points: DataFrame) -> DataFrame:
     """``(a, b)``: all pairs of different components that the pages of a list and the bounds leave over."""
-    here = lists.join(labels, "id")
+    here = lists.select("token", "id", "n", "pos").join(labels, "id")
     mixed = here.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
-    here = here.join(mixed, "token").join(points, "id")
+    here = here.join(mixed, "token").join(points.select("id", "point"), "id")
     order = Window.partitionBy("token").orderBy("n", "id")
     leaf = written(here.withColumn("page", F.floor((F.row_number().over(order) - 1) / PAGE)), "leaves")
     boxes = leaf.groupBy("token", "page").agg(
@@ -190,24 +194,28 @@ def candidates_of_pages(lists: DataFrame, labels: DataFrame, points: DataFrame)
         *[F.max(F.col("point")[g]).alias(f"m{g}") for g in range(GROUPS)],
     )
     boxes = boxes.select("token", "page", "n_min", "n_max", "low", "high", F.array(*[F.col(f"m{g}") for g in range(GROUPS)]).alias("top"))
+    boxes = written(boxes, "boxes")
     p, q = boxes.alias("p"), boxes.alias("q")
-    # overlap * (100 + PERCENT) >= PERCENT * (n_a + n_b), so too for the least sizes of two pages
     near = (
         (F.col("p.token") == F.col("q.token"))
         & (F.col("p.page") <= F.col("q.page"))
         & (100 * F.col("p.n_max") >= PERCENT * F.col("q.n_min"))
-        & ~((F.col("p.low") == F.col("q.high")) & (F.col("p.high") == F.col("q.low")))
+        & (F.least("p.low", "q.low") < F.greatest("p.high", "q.high"))
+        # overlap * (100 + PERCENT) >= PERCENT * (n_a + n_b) holds for the least sizes of two pages too
+        & ((100 + PERCENT) * summed_minima(F.col("p.top"), F.col("q.top")) >= PERCENT * (F.col("p.n_min") + F.col("q.n_min")))
+    )
+    pages = p.join(q, near).select(F.col("p.token").alias("token"), F.col("p.page").alias("page"), F.col("q.page").alias("q_page"))
+    side = lambda x, page: leaf.select(
+        "token", F.col("page").alias(page), *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "pos", "comp", "point")]
     )
-    pages = p.join(q, near).where(
-        (100 + PERCENT) * summed_minima(F.col("p.top"), F.col("q.top")) >= PERCENT * (F.col("p.n_min") + F.col("q.n_min"))
-    ).select(F.col("p.token").alias("token"), F.col("p.page").alias("page"), F.col("q.page").alias("q_page"))
-    left = pages.join(leaf.select("token", "page", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("point").alias("pa")), ["token", "page"])
-    right = leaf.select("token", F.col("page").alias("q_page"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("point").alias("pb"))
-    pairs = left.join(right, ["token", "q_page"]).where(
-        ((F.col("page") < F.col("q_page")) | (F.col("a") < F.col("b"))) & (F.col("ca") != F.col("cb"))
-        & linked(summed_minima(F.col("pa"), F.col("pb")), F.col("na"), F.col("nb"))
+    left = pages.join(side("a", "page"), ["token", "page"])
+    pairs = left.join(side("b", "q_page"), ["token", "q_page"]).where(
+        ((F.col("page") < F.col("q_page")) | (F.col("id_a") < F.col("id_b")))
+        & (F.col("comp_a") != F.col("comp_b"))
+        & may_link(F.col("n_a"), F.col("pos_a"), F.col("n_b"), F.col("pos_b"))
+        & linked(summed_minima(F.col("point_a"), F.col("point_b")), F.col("n_a"), F.col("n_b"))
     )
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 
 def bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
@@ -243,19 +251,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     firsts = own.where("id IS NOT NULL").join(small(copies), "id", "left_anti").select("id", "text")
     signed = written(firsts.mapInArrow(_signer(counts), SIGNED), "signed-sets")
     points = signed.select("id", "n", "point")
-    postings = signed.select("id", F.explode("tokens").alias("token"))
-    shared = postings.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("token")
+    postings = signed.select("id", "n", F.posexplode("tokens").alias("pos", "token"))
+    member = F.struct("id", "n", "pos")
+    shared = postings.groupBy("token").agg(F.min(member).alias("low"), F.max(member).alias("high")).where("low.id < high.id")
     lists = written(postings.join(shared, "token"), "lists")
     labels = written(lists.select("id").distinct().withColumn("comp", F.col("id")), "labels")
-    checked = None
-    for turn in (0, 1, None):
-        pairs = candidates_of_pages(lists, labels, points) if turn is None else candidates_of_hubs(lists, labels, turn)
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = written(bounded(pairs, points), "near-pairs")
-        seen = pairs.select("a", "b")
-        checked = seen if checked is None else checked.unionByName(seen)
-        labels = join_components(labels, written(verified(pairs, firsts), "near-links"))
+    pairs = written(bounded(candidates_of_hubs(lists), points), "near-pairs")
+    labels = join_components(labels, written(verified(pairs, firsts), "near-links"))
+    rest = candidates_of_pages(lists, labels, points).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+    pairs = written(bounded(rest, points), "near-pairs")
+    labels = join_components(labels, written(verified(pairs, firsts), "near-links"))
     out = rows.join(classes, ["d1", "d2", "n"], "left").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     # rows that share an id share its component
     component = F.when(F.col("id").isNotNull(), F.coalesce("comp", "rep", "id"))
