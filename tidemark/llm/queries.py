@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from .decontaminate import op7_decontamination
 from .fingerprints import op3_fingerprints
 from .mixing import op10_mix
 from .neardup import op6_jaccard_join
+from .pages import op8_main_text
 from .pii import op5_personal_data
+from .quality import op9_quality
 from .secrets import op4_secret_scan
 from .tokens import op1_token_counts
 
@@ -15,6 +18,9 @@ QUERIES = {
     "op4_secret_scan": op4_secret_scan,
     "op5_personal_data": op5_personal_data,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_decontamination": op7_decontamination,
+    "op8_main_text": op8_main_text,
+    "op9_quality": op9_quality,
     "op10_mix": op10_mix,
 }
 ORACLES: dict[str, str] = {}
