@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import written
-from .common import grams_of, named, text_slices, words_of
+from .common import grams_of, named, small, text_slices, words_of
 
 SEED_WORDS = 3
 #: The share of an item's n-grams, rarest first, that are seeds.
@@ -209,6 +209,12 @@ def contaminated(
     return reduce(DataFrame.unionByName, parts)
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs``, all columns, without the documents that hold a test item. Rows without an id cannot be named and stay."""
+    found = written(contaminated(docs, benchmark, threshold, id_col, text_col).select(id_col).distinct(), "contaminated-ids")
+    return docs.join(small(found), id_col, "left_anti").select(docs.columns)
+
+
 def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold items of the benchmark, exactly or edited."""
     return contaminated(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/benchmark.parquet"))

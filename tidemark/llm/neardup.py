@@ -267,6 +267,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
 
 
+def keep_firsts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs``, all columns, with one document of each component: the one with the smallest id. Rows that share an
+    id are one document, of which one row stays; rows without an id stay."""
+    found = written(near_duplicates(docs, id_col, text_col), "components").withColumnRenamed(id_col, "id")
+    per = found.where("id IS NOT NULL").groupBy("id").agg(F.min("component_id").alias("first"), F.count("*").alias("n"))
+    per = written(per.where("first != id OR n > 1"), "not-alone")
+    gone = per.where("first != id").select(F.col("id").alias(id_col))
+    out = docs.join(small(gone), id_col, "left_anti").select(docs.columns)
+    again = per.where("first = id AND n > 1").select(F.col("id").alias(id_col))
+    if again.limit(1).count():  # only these rows meet to be told apart
+        once = docs.join(small(again), id_col, "left_semi").select(docs.columns).dropDuplicates([id_col])
+        out = out.join(small(again), id_col, "left_anti").select(docs.columns).unionByName(once)
+    return out
+
+
 def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return near_duplicates(spark.read.parquet(f"{folder}/documents.parquet"))

@@ -110,41 +110,60 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[n
     return fit([(int(y), np.frombuffer(i, np.int32), np.frombuffer(s, np.float32)) for y, i, s in found])
 
 
+def _scores(model, column: pa.Array) -> np.ndarray:
+    weight, bias = model.value
+    scores = np.empty(len(column))
+    for at, to, data, offsets in text_slices(column):
+        total, n = np.zeros(to - at), np.zeros(to - at)
+        for bucket, row in features_of(data, offsets):
+            total += np.bincount(row, weights=weight[bucket], minlength=to - at)
+            n += np.bincount(row, minlength=to - at)
+        z = bias + total / np.maximum(n, 1)
+        scores[at:to] = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    return scores
+
+
 def _scorer(model):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, bias = model.value
         for batch in batches:
-            scores = np.empty(len(batch))
-            for at, to, data, offsets in text_slices(batch.column(batch.num_columns - 1)):
-                total, n = np.zeros(to - at), np.zeros(to - at)
-                for bucket, row in features_of(data, offsets):
-                    total += np.bincount(row, weights=weight[bucket], minlength=to - at)
-                    n += np.bincount(row, minlength=to - at)
-                z = bias + total / np.maximum(n, 1)
-                scores[at:to] = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], names=["id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(model, batch.column(1)))], names=["id", "score"])
 
     return score
 
 
+def _chooser(model, text_col: str):
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(model, batch.column(text_col)) >= ACCEPT))
+
+    return choose
+
+
 def held_out(id_col: Column) -> Column:
     """Rows whose labels are never learnt from: crc32 of the id as text leaves 2 on division by 4."""
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _model(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str):
+    known = named(labels, id=id_col, label=label_col).where(~held_out(F.col("id")))
+    fitted = train(named(docs, id=id_col, text=text_col), known)
+    return docs.sparkSession.sparkContext.broadcast(fitted)  # BUCKETS numbers and a bias
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """``(id, held_out, score, predicted)`` per row of ``docs``; ``labels`` has the ids and labels."""
-    spark = docs.sparkSession
     own = named(docs, id=id_col, text=text_col)
-    known = named(labels, id=id_col, label=label_col).where(~held_out(F.col("id")))
-    model = spark.sparkContext.broadcast(train(own, known))  # BUCKETS numbers and a bias
-    kind = dict(own.dtypes)["id"]
-    scored = own.mapInArrow(_scorer(model), f"id {kind}, score double")
+    scored = own.mapInArrow(_scorer(_model(docs, labels, id_col, text_col, label_col)), f"id {dict(own.dtypes)['id']}, score double")
     return scored.select(
         F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted")
     )
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """The rows of ``docs``, all columns, that the classifier accepts."""
+    return docs.mapInArrow(_chooser(_model(docs, labels, id_col, text_col, label_col), text_col), docs.schema)
+
+
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Quality score of every document."""
     return quality_scores(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))

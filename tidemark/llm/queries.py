@@ -10,10 +10,12 @@ from .pages import op8_main_text
 from .pii import op5_personal_data
 from .quality import op9_quality
 from .secrets import op4_secret_scan
+from .substrings import op2_substring_dedup
 from .tokens import op1_token_counts
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_fingerprints": op3_fingerprints,
     "op4_secret_scan": op4_secret_scan,
     "op5_personal_data": op5_personal_data,
