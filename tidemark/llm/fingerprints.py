@@ -172,7 +172,9 @@ def differing(pairs: DataFrame) -> DataFrame:
     todo = few.select("pair", "a", "b").unionByName(blocks.select("pair", "a", "b"))
     cells, done = BASE_CELLS * GROWTH, []
     while True:
-        tried = written(todo.withColumn("differ", decoded(F.col("a"), F.col("b"), cells)), "sketch-round")
+        tried = todo.withColumn("differ", decoded(F.col("a"), F.col("b"), cells))
+        still = F.col("differ").isNull()  # only these are needed again
+        tried = written(tried.withColumns({"a": F.when(still, F.col("a")), "b": F.when(still, F.col("b"))}), "sketch-round")
         done.append(tried.where(F.col("differ").isNotNull()).select("pair", "differ"))
         todo = tried.where(F.col("differ").isNull()).drop("differ")
         if not todo.limit(1).count():
