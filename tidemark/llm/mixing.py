@@ -126,9 +126,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rates = counts.alias("a").join(dual.alias("b"), same).select(
         "a.*", "source_size", "target", rate(F.col("multiplier"), F.col("size") / F.col("mean")).alias("rate")
     )
-    # expected copies of all rows before this (source, size, part), in order of size: one row per triple
-    order = Window.partitionBy("source").orderBy("size", "part").rowsBetween(Window.unboundedPreceding, -1)
-    rates = rates.withColumn("before", F.coalesce(F.sum(F.col("rate") * F.col("n")).over(order), F.lit(0.0))).drop("n")
+    # expected copies of all rows before this (source, size, part), in order of size: first a line of one row per
+    # size, at most as many as a text has words, then the parts of each size
+    of_size = rates.groupBy("source", "size").agg(F.sum(F.col("rate") * F.col("n")).alias("copies"))
+    order = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    of_size = of_size.select(
+        F.col("source").alias("s_source"), F.col("size").alias("s_size"), F.coalesce(F.sum("copies").over(order), F.lit(0.0)).alias("start")
+    )
+    parts = Window.partitionBy("source", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    rates = rates.join(of_size, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("size") == F.col("s_size")))
+    within = F.coalesce(F.sum(F.col("rate") * F.col("n")).over(parts), F.lit(0.0))
+    rates = rates.withColumn("before", F.col("start") + within).drop("n", "s_source", "s_size", "start")
     # a row's place within its triple: a triple holds a 64th of the rows of a size and source
     place = Window.partitionBy("source", "size", "part").orderBy("id")
     placed = rows.withColumn("place", F.row_number().over(place) - 1)
