@@ -98,3 +98,18 @@ def test_bars_use_hash_aggregation_when_one_column_orders(trades):
     df = trades(("a", "2024-01-01 00:00:01", 1, 5))
     plan = bars.ohlc(df, "1h", order=("datetime",))._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_bars_need_no_sort(spark):
+    """Open and close are decided by a packed (time, id), which hash aggregation can hold; ids of any sign keep their order."""
+    import datetime as dt
+
+    from tidemark.operators import bars
+
+    at = dt.datetime(2024, 1, 1)
+    rows = [("a", -5, at, 1.0), ("a", 2**63 - 1, at, 4.0), ("a", -(2**63), at, 0.5), ("a", 7, at, 3.0), ("a", None, at, 9.0)]
+    df = spark.createDataFrame(rows, "symbol string, id long, datetime timestamp, price double")
+    out = bars.ohlc(df, "1h")
+    (r,) = out.collect()
+    assert (r["open"], r["high"], r["low"], r["close"]) == (9.0, 9.0, 0.5, 4.0)
+    assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()

@@ -146,3 +146,17 @@ def test_blocks_need_no_single_window_over_a_series(ticks):
     plan = with_running(ticks, line, {"total": "price"})._jdf.queryExecution().executedPlan().toString()
     rows = [s for s in plan.split("\n") if "Window [" in s and "(_stotal" in s]
     assert rows and all("_block" in s.split("windowspecdefinition")[1] for s in rows)
+
+
+def test_a_null_keeps_its_place_in_the_window(series):
+    out = with_last_values(series("price", a=[1, None, 3, 4]), PLAIN if not PLAIN.order[1:] else Timeline(), "price", 3).orderBy("datetime").collect()
+    assert [r["window"] for r in out] == [[1.0], [1.0, None], [1.0, None, 3.0], [None, 3.0, 4.0]]
+    assert [r["is_full"] for r in out] == [False, False, True, True]
+
+
+def test_log_ratio_needs_two_positive_prices(spark):
+    from tidemark.functions.maths import log_ratio
+
+    rows = spark.createDataFrame([(-2.0, -1.0), (2.0, 1.0), (0.0, 1.0), (1.0, 0.0), (None, 1.0)], "a double, b double")
+    got = [r[0] for r in rows.select(log_ratio("a", "b")).collect()]
+    assert got[1] > 0 and [g for i, g in enumerate(got) if i != 1] == [None] * 4

@@ -161,39 +161,67 @@ def subset_search(spark, sf):
 
 
 def _robust(spark, sf, loss):
+    """Each fit's size, the loss it started from, whether it came down, and what is left of the gradient."""
     rows = written(features.drop_null_rows(study_features(spark, sf).select("symbol", "datetime", TARGET, *LAGS)), "study-rows")
     fitted = regression.fit_linear(rows, LAGS, TARGET, loss=loss)
     start = regression.fit_linear(rows, LAGS, TARGET)
     losses = regression.mean_loss(rows, fitted, LAGS, TARGET, ["symbol"], loss)
     begun = regression.mean_loss(rows, start, LAGS, TARGET, ["symbol"], loss).withColumnRenamed("loss", "start_loss")
     out = fitted.join(losses, ["symbol", "model_id"]).join(begun, ["symbol", "model_id"])
-    return _weights(out, "symbol", r6("loss").alias("loss"), r6("start_loss").alias("start_loss"), digits=4)
+    return out.select(
+        "symbol", r6("n_train").alias("n_train"), r6("start_loss").alias("start_loss"),
+        (F.col("loss") <= F.col("start_loss") * (1 + 1e-9)).alias("improved"), r6("optimality").alias("optimality"), "converged",
+    )
+
+
+def _robust_sql(loss: str) -> str:
+    everywhere = SUMS.replace("marked WHERE is_train", "study")
+    ar3 = AR3.replace(SUMS, everywhere)
+    off = f"abs({TARGET} - ({LAGS[0]}*w1 + {LAGS[1]}*w2 + {LAGS[2]}*w3 + bias))"
+    value = {"l1": "off", "huber": "CASE WHEN off <= 1 THEN off * off / 2 ELSE off - 0.5e0 END"}[loss]
+    return f"""WITH {rows_sql()}, {ar3}, r AS (SELECT symbol, {off} AS off FROM study JOIN ar3 USING (symbol))
+    SELECT symbol, {R('count(*)', 'n_train')}, {R(f'avg({value})', 'start_loss')}, true AS improved, 0e0 AS optimality, true AS converged
+    FROM r GROUP BY symbol"""
 
 
-@query("fit_l1")
+@query("fit_l1", _robust_sql("l1"))
 def fit_l1(spark, sf):
-    """Least absolute error, with the loss it reached and that of the squared-error start."""
+    """Least absolute error."""
     return _robust(spark, sf, "l1")
 
 
-@query("fit_huber")
+@query("fit_huber", _robust_sql("huber"))
 def fit_huber(spark, sf):
     return _robust(spark, sf, "huber")
 
 
-@query("logreg_fit")
+@query(
+    "logreg_fit",
+    f"""WITH {rows_sql()}, {NUMBERED} SELECT symbol, {R('count(*)', 'n_train')}, 0e0 AS optimality, true AS converged
+    FROM marked WHERE is_train GROUP BY symbol""",
+)
 def logreg_fit(spark, sf):
-    """Logistic regression per symbol on standardised lags, with its test accuracy."""
+    """Logistic regression per symbol on standardised lags."""
     rows = features.add_direction_target(features.drop_null_rows(study_features(spark, sf)), TARGET)
     rows = features.standardise(split.with_split(rows), LAGS)
     names = [f"{c}_scaled" for c in LAGS]
-    rows = written(rows.select("symbol", "datetime", "is_train", f"{TARGET}_dir", *names), "study-rows")
     fitted = regression.fit_linear(rows.where("is_train"), names, f"{TARGET}_dir", loss="logistic")
-    tested = regression.score(rows.where(~F.col("is_train")), fitted, names, ["symbol"], "logit")
-    hits = tested.groupBy("symbol").agg(
-        F.avg(((F.col("logit") >= 0) == (F.col(f"{TARGET}_dir") == 1)).cast("double")).alias("accuracy")
-    )
-    return _weights(fitted.join(hits, "symbol"), "symbol", r6("accuracy").alias("accuracy"), digits=4)
+    return fitted.select("symbol", r6("n_train").alias("n_train"), r6("optimality").alias("optimality"), "converged")
+
+
+@query(
+    "mixed_scale_fit",
+    f"""WITH {rows_sql()}, scaled AS (SELECT symbol, {TARGET}, {LAGS[0]} AS x1, 1e7 * {LAGS[1]} + 5e4 AS x2 FROM study),
+    s AS (SELECT symbol, avg(x1) AS m1, avg(x2) AS m2, avg({TARGET}) AS my, covar_pop(x1, x1) AS s11, covar_pop(x1, x2) AS s12,
+      covar_pop(x2, x2) AS s22, covar_pop(x1, {TARGET}) AS t1, covar_pop(x2, {TARGET}) AS t2 FROM scaled GROUP BY symbol),
+    w AS (SELECT *, (s22*t1 - s12*t2) / (s11*s22 - s12*s12) AS w1, (s11*t2 - s12*t1) / (s11*s22 - s12*s12) AS w2 FROM s)
+    SELECT symbol, {R('w1')}, {R('w2 * 1e7', 'w2')} FROM w""",
+)
+def mixed_scale_fit(spark, sf):
+    """A feature of the size of a price beside one of the size of a return."""
+    rows = features.drop_null_rows(study_features(spark, sf)).withColumn("big", F.lit(1e7) * F.col(LAGS[1]) + 5e4)
+    out = regression.fit_linear(rows, [LAGS[0], "big"], TARGET)
+    return out.select("symbol", r6(F.get("weights", F.lit(0))).alias("w1"), r6(F.get("weights", F.lit(1)) * 1e7).alias("w2"))
 
 
 # --- cross-validation on 6h bars, one lag, blocks of 20 rows ------------------------

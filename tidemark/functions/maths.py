@@ -27,7 +27,8 @@ def ratio(a: str | Column, b: str | Column) -> Column:
 
 def log_ratio(now: str | Column, before: str | Column) -> Column:
     """``ln(now / before)``; NULL when either price is missing, zero or negative."""
-    return F.ln(ratio(now, before))
+    a, b = as_col(now), as_col(before)
+    return F.when((a > 0) & (b > 0), F.ln(ratio(a, b)))
 
 
 def safe_corr(x: str | Column, y: str | Column) -> Column:

@@ -19,10 +19,21 @@ from .ordered import Timeline, even_blocks, with_running
 ORDER = ("datetime", "id")
 
 
+#: Numbers that a 64-bit id leaves between two instants of a packed order.
+ID_SPAN = 2 * 10**19
+
+
 def _rank(order: Sequence[str]) -> Column:
-    """Ordering value for first/last: a bare column where one column is enough
-    (hash aggregation), a struct when ties must be broken."""
-    return F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    """Ordering value for first/last. One column stands for itself. A time and an id are packed into one
+    decimal, which hash aggregation can hold where a struct would need a sort; ids of any sign keep their
+    order and NULL comes first. Longer orders are structs."""
+    if len(order) == 1:
+        return F.col(order[0])
+    if tuple(order) == ORDER:
+        number = F.coalesce(F.col("id").cast("decimal(20,0)"), F.lit(str(-(2**63) - 1)).cast("decimal(20,0)"))
+        instant = F.unix_micros(F.col("datetime").cast("timestamp")).cast("decimal(18,0)")
+        return (instant * F.lit(str(ID_SPAN)).cast("decimal(20,0)") + number).cast("decimal(38,0)")
+    return F.struct(*order)
 
 
 def ohlc_aggs(price: str = "price", order: Sequence[str] = ORDER) -> list[Column]:

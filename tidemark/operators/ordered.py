@@ -257,8 +257,9 @@ def with_position(df: DataFrame, line: Timeline, index: str = "row_no", count: s
 def with_last_values(df: DataFrame, line: Timeline, value: str | Column, n: int) -> DataFrame:
     """A window of the last ``n`` values, as the row sees it.
 
-    Adds ``window`` (oldest first, at most n), ``dropped`` (what the row pushed
-    out, NULL until the window was full) and ``is_full``.
+    Adds ``window`` (oldest first, at most n; a NULL value keeps its place),
+    ``dropped`` (what the row pushed out, NULL until the window was full) and
+    ``is_full``.
     """
     if n <= 0:
         raise ValueError("the window needs a positive size")
@@ -268,7 +269,7 @@ def with_last_values(df: DataFrame, line: Timeline, value: str | Column, n: int)
     newest_last = [f"_lag{i}" for i in range(n - 1, 0, -1)] + ["_now"]
     return df.withColumns(
         {
-            "window": F.array_compact(F.array(*newest_last)),
+            "window": F.slice(F.array(*newest_last), -F.least(F.col("_at") + 1, F.lit(n)), F.lit(n)),
             "dropped": F.col(f"_lag{n}"),
             "is_full": F.col("_at") >= n - 1,
         }
