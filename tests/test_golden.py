@@ -100,6 +100,17 @@ def test_partial_fills_book_at_the_flat_row(spark):
     assert float(ledger.account_summary(ledger.fills(orders), 1.0).first().balance) == 16
 
 
+def test_a_turned_position_books_its_first_half(spark):
+    rows = [(1, 5, 10), (2, -10, 15), (3, 5, 12), (4, -2, 20), (5, 6, 10), (6, -4, 11)]
+    orders = spark.createDataFrame(rows, "t int, q int, p int").select(
+        F.lit("me").alias("account"), F.lit("X").alias("symbol"), F.timestamp_seconds("t").alias("datetime"),
+        F.lit(0).alias("seq"), F.col("q").cast("decimal(18,8)").alias("signed_qty"), F.col("p").cast("decimal(18,8)").alias("price"),
+    )
+    out = ledger.fills(orders, 100.0).orderBy("datetime").collect()
+    assert [float(r.balance) for r in out] == [100, 125, 140, 140, 160, 164]
+    assert [float(r.pnl) for r in out] == [0, 25, 15, 0, 20, 4]
+
+
 def test_liquidation_prices(spark):
     one = spark.range(1).select(
         F.round(backtest.long_liquidation_price(F.lit(200.0), 2), 4).alias("long"),

@@ -114,7 +114,7 @@ def test_even_blocks_cut_bursts_and_equal_times(spark, ticks):
     marked, line = even_blocks(ticks, PLAIN, 12)
     sizes = [r["count"] for r in marked.where("symbol = 'HOT'").groupBy("_even").count().collect()]
     assert len(sizes) == 12 and max(sizes) < 1.5 * min(sizes)
-    thin, thin_line = even_blocks(ticks, PLAIN, 12, sample_rows=200)
+    thin, thin_line = even_blocks(ticks, PLAIN, 12, sampled=8)
     for rows, which in ((marked, line), (thin, thin_line)):
         lags, sums = {"one": ("price", 1), "five": ("price", 5)}, {"total": F.col("id") * 1.0}
         plain = with_position(with_running(with_lags(ticks, PLAIN, lags), PLAIN, sums), PLAIN)
@@ -160,3 +160,16 @@ def test_log_ratio_needs_two_positive_prices(spark):
     rows = spark.createDataFrame([(-2.0, -1.0), (2.0, 1.0), (0.0, 1.0), (1.0, 0.0), (None, 1.0)], "a double, b double")
     got = [r[0] for r in rows.select(log_ratio("a", "b")).collect()]
     assert got[1] > 0 and [g for i, g in enumerate(got) if i != 1] == [None] * 4
+
+
+def test_blocks_keep_their_size(spark):
+    """One hour holds nine tenths of a series; blocks follow the rows, not the clock."""
+    at = F.when(F.col("id") % 10 == 0, F.timestamp_seconds(F.col("id") * 600)).otherwise(F.timestamp_seconds(F.lit(4_000) + F.col("id") % 60))
+    rows = spark.range(6000).select(F.lit("a").alias("symbol"), "id", at.alias("datetime"), (F.col("id") % 7).cast("double").alias("price"))
+    rows = rows.unionByName(rows.where("id < 300").withColumn("symbol", F.lit("b")))
+    cut, line = even_blocks(rows, Timeline(("symbol",), ("datetime", "id")), rows_per_block=500)
+    sizes = {tuple(r)[:2]: r["count"] for r in cut.groupBy("symbol", "_even").count().collect()}
+    assert sum(sizes.values()) == 6300 and max(sizes.values()) <= 1000
+    assert len([k for k in sizes if k[0] == "a"]) == 12 and len([k for k in sizes if k[0] == "b"]) == 1
+    whole, one = even_blocks(rows, Timeline(("symbol",), ("datetime", "id")))
+    assert {r[0] for r in whole.select("_even").distinct().collect()} == {0} and one.block_column == "_even"

@@ -87,6 +87,25 @@ def test_restart_continues_where_it_stopped(spark, landed, tmp_path):
     assert rows(out, "symbol", "id", *names) == rows(want, "symbol", "id", *names)
 
 
+def test_restart_without_a_path_goes_on_with_its_tables(spark, landed, tmp_path):
+    df, folder = landed
+    folder, line = str(tmp_path / "first"), Timeline(("symbol",), ("datetime", "id"))
+    runs = {
+        "lags": lambda s, c: ticks.run_lag_stream(s, 2, checkpoint=c),
+        "step": lambda s, c: ticks.run_step_stream(s, 2, lambda r: ticks.lag_vector(r, 2), checkpoint=c),
+        "table": lambda s, c: spark.read.parquet(run_to_table(s, checkpoint=c)),
+    }
+    for part in ("id < 100", "id >= 100"):
+        df.where(part).coalesce(1).write.mode("append").parquet(folder)
+        schema = spark.read.schema(SCHEMA).parquet(folder).schema
+        out = {n: run(read_stream(spark, folder, schema), str(tmp_path / n)) for n, run in runs.items()}
+    names = lag_names("log_return", 2)
+    want = ticks.lag_vector(df, 2, line=line)
+    for n in ("lags", "step"):
+        assert rows(out[n], "symbol", "id", *names) == rows(want, "symbol", "id", *names)
+    assert out["table"].count() == df.count()
+
+
 def test_any_look_back_step(spark, landed):
     df, folder = landed
     line = Timeline(("symbol",), ("datetime", "id"), "1h")
@@ -145,6 +164,8 @@ def test_log_return_processor_keeps_its_price():
     assert len(out) == 0
     out, memory = p.on_events(("X",), frame([120, 100], 1), memory)
     assert list(out.log_return) == pytest.approx([math.log(1.2), -math.log(1.2)])
+    out, memory = p.on_events(("X",), frame([0, 50, 100], 3), memory)
+    assert list(out.log_return[:2]) == [None, None] and out.log_return[2] == pytest.approx(math.log(2))
 
 
 def test_strategy_trades_after_three_returns():

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.features import lag_names
+from ..operators.features import add_log_return, lag_names
+from ..operators.ordered import BARS as CLOSES
+from ..operators.ordered import with_last_values
 from ..sources.sample_tables import as_trades, table
 from ..streaming import bars as live_bars
 from ..streaming import state, ticks
@@ -81,8 +83,9 @@ MEANS = f"""{TRADES}, means AS (SELECT symbol, {bucket('12 hours')} AS datetime,
     SELECT symbol, datetime, {R('log_return')} FROM r WHERE log_return IS NOT NULL""",
 )
 def stream_log_return(spark, sf):
-    path = run_to_table(state.apply(_closed_means(spark, sf), state.LogReturn()))
-    return rounded(spark.read.parquet(path), "symbol", "datetime", "log_return")
+    """Log returns of closed bars: the batch operator, fed batch by batch."""
+    out = ticks.run_step_stream(_closed_means(spark, sf), 1, lambda rows: add_log_return(rows, "close", line=CLOSES), CLOSES)
+    return rounded(out.where("close_log_return IS NOT NULL").withColumnRenamed("close_log_return", "log_return"), "symbol", "datetime", "log_return")
 
 
 @query(
@@ -91,8 +94,8 @@ def stream_log_return(spark, sf):
       row_number() OVER w >= 3 AS is_full FROM closed WINDOW w AS (PARTITION BY symbol ORDER BY datetime)""",
 )
 def stream_window(spark, sf):
-    path = run_to_table(state.apply(_closed_means(spark, sf), state.SlidingWindow(3)))
-    out = spark.read.parquet(path)
+    """The last three closes, as every bar sees them."""
+    out = ticks.run_step_stream(_closed_means(spark, sf), 3, lambda rows: with_last_values(rows, CLOSES, "close", 3), CLOSES)
     return out.select("symbol", "datetime", r6("dropped").alias("dropped"), F.size("window").alias("n_values"), "is_full")
 
 

@@ -17,7 +17,7 @@ from .base import (
     rows_sql, study_bars, study_features, study_rows,
 )
 
-TICK_LINE = Timeline.of_ticks("1d")
+TICK_LINE = Timeline(("symbol",), ("datetime", "id"))
 LINE_LINE = Timeline(("symbol",), LINE_ORDER, "30d")
 
 
@@ -151,9 +151,9 @@ def log_returns_lags(spark, sf):
       {R('lag(price_log_return, 2) OVER (PARTITION BY symbol ORDER BY datetime, id)', 'price_log_return_lag_2')} FROM r""",
 )
 def tick_log_returns(spark, sf):
-    """Log returns of every tick, in time blocks so that no task holds a whole symbol."""
-    ticks = event_trades(spark, sf).select("symbol", "datetime", "id", "price")
-    out = features.add_log_return_features(ticks, "price", 1, 2, TICK_LINE)
+    """Log returns of every tick, in even blocks so that no task holds a whole symbol."""
+    ticks, line = ordered.even_blocks(event_trades(spark, sf).select("symbol", "datetime", "id", "price"), TICK_LINE)
+    out = features.add_log_return_features(ticks, "price", 1, 2, line)
     return rounded(out, "symbol", "id", "price_log_return", *features.lag_names("price_log_return", 2))
 
 
@@ -185,8 +185,8 @@ def diff_simple_return(spark, sf):
     FROM trades WINDOW w AS (PARTITION BY symbol ORDER BY datetime, id)""",
 )
 def rolling_last_n(spark, sf):
-    ticks = event_trades(spark, sf).select("symbol", "datetime", "id", "price")
-    out = ordered.with_last_values(ticks, TICK_LINE, "price", 5)
+    ticks, line = ordered.even_blocks(event_trades(spark, sf).select("symbol", "datetime", "id", "price"), TICK_LINE)
+    out = ordered.with_last_values(ticks, line, "price", 5)
     total = F.aggregate("window", F.lit(0.0), lambda a, x: a + x)
     return out.select(
         "symbol", "id", F.size("window").alias("n_values"), r6(total).alias("window_sum"),
@@ -238,8 +238,8 @@ def standardise(spark, sf):
 )
 def chrono_split(spark, sf):
     """A split of raw ticks; positions come from block counts."""
-    ticks = event_trades(spark, sf).select("symbol", "datetime", "id")
-    return split.with_split(ticks, 0.25, TICK_LINE).drop("datetime")
+    ticks, line = ordered.even_blocks(event_trades(spark, sf).select("symbol", "datetime", "id"), TICK_LINE)
+    return split.with_split(ticks, 0.25, line).select("symbol", "id", "row_no", "n_rows", "is_train")
 
 
 RATIOS = (0.4, 0.5, 0.6, 0.7, 0.8, 0.9)

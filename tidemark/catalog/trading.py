@@ -378,7 +378,7 @@ def ordered_scan_equity(spark, sf):
     six symbols, and many lines on the same day."""
     rows = line_trades(spark, sf)
     flow = F.when(F.col("l_partkey") % 2 == 0, F.col("qty")).otherwise(-F.col("qty"))
-    rows, line = ordered.even_blocks(rows, Timeline(("symbol",), LINE_ORDER), 32)
+    rows, line = ordered.even_blocks(rows, Timeline(("symbol",), LINE_ORDER))
     out = ordered.with_running(rows, line, {"flow_sum": flow}, {"peak": "flow_sum"}, {"top_price": "price"})
     return out.select(
         "symbol", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", r6("flow_sum").alias("flow_sum"),
@@ -401,9 +401,9 @@ TICK_RUN = "OVER (PARTITION BY symbol ORDER BY datetime, id ROWS UNBOUNDED PRECE
     SELECT symbol, no_trades, {', '.join(R(n, digits=5) for n in TICK_FIGURES)} FROM f""",
 )
 def tick_backtest(spark, sf):
-    """Features, signal, trades and figures of every tick, in time blocks throughout."""
+    """Features, signal, trades and figures of every tick, in even blocks throughout."""
     ticks = event_trades(spark, sf).select("symbol", "datetime", "id", "price")
-    ticks, line = ordered.in_blocks(ticks, Timeline.of_ticks("1d"))
+    ticks, line = ordered.even_blocks(ticks, Timeline(("symbol",), ("datetime", "id")))
     rows = features.add_log_return_features(ticks, "price", 1, 1, line)
     rows = features.drop_null_rows(rows).withColumn("y_hat", F.col("price_log_return_lag_1") * -0.5 + 0.01)
     out = metrics.performance(metrics.trade_results(rows, "price_log_return", "y_hat", line))
@@ -470,7 +470,7 @@ def tied_rows(spark, sf):
       {R('sum(pos) OVER (PARTITION BY symbol ORDER BY score DESC) / sum(pos) OVER (PARTITION BY symbol)', 'tpr')} FROM c""",
 )
 def roc_points(spark, sf):
-    return rounded(classify.roc_points(tied_rows(spark, sf), "y", "score", blocks=16), "symbol", "threshold", "fpr", "tpr")
+    return rounded(classify.roc_points(tied_rows(spark, sf), "y", "score"), "symbol", "threshold", "fpr", "tpr")
 
 
 @query(
@@ -480,14 +480,14 @@ def roc_points(spark, sf):
     SELECT symbol, {R('(ranks - p * (p + 1) / 2) / (p * n)', 'auc')} FROM a""",
 )
 def roc_auc(spark, sf):
-    return rounded(classify.roc_auc(tied_rows(spark, sf), "y", "score", blocks=16), "symbol", "auc")
+    return rounded(classify.roc_auc(tied_rows(spark, sf), "y", "score"), "symbol", "auc")
 
 
 @query("model_auc", f"""WITH {SCORED}, k AS (SELECT symbol, up AS y, rank() OVER (PARTITION BY symbol ORDER BY p) AS r FROM acted),
     a AS (SELECT symbol, sum(r) FILTER (WHERE y = 1) AS ranks, sum(y) AS p, sum(1 - y) AS n FROM k GROUP BY symbol)
     SELECT symbol, {R('(ranks - p * (p + 1) / 2) / (p * n)', 'auc')} FROM a""")
 def model_auc(spark, sf):
-    return rounded(classify.roc_auc(scored_rows(spark, sf), "up", "p", blocks=None), "symbol", "auc")
+    return rounded(classify.roc_auc(scored_rows(spark, sf), "up", "p"), "symbol", "auc")
 
 
 # --- orders and fills ---------------------------------------------------------------
@@ -532,6 +532,24 @@ def fills_ledger(spark, sf):
     )
 
 
+@query(
+    "fills_reversal",
+    f"""WITH {PAIRED}, net AS (SELECT symbol, datetime, price, sum(signed_qty) AS signed_qty FROM orders_out GROUP BY symbol, datetime, price),
+    run AS (SELECT *, sum(signed_qty) OVER w AS position, -sum(CAST(signed_qty AS DECIMAL(18,8)) * price) OVER w AS cash
+      FROM net WHERE signed_qty <> 0 WINDOW w AS (PARTITION BY symbol ORDER BY datetime ROWS UNBOUNDED PRECEDING)),
+    booked AS (SELECT *, coalesce(last_value(CASE WHEN position = 0 THEN cash WHEN sign(position) * sign(position - signed_qty) < 0
+        THEN cash + CAST(position AS DECIMAL(18,8)) * price END IGNORE NULLS)
+      OVER (PARTITION BY symbol ORDER BY datetime ROWS UNBOUNDED PRECEDING), 0) AS done FROM run)
+    SELECT symbol, datetime, {R('position')}, {R('done - coalesce(lag(done) OVER (PARTITION BY symbol ORDER BY datetime), 0)', 'pnl', 4)},
+      {R('1000 + done', 'balance', 4)} FROM booked""",
+)
+def fills_reversal(spark, sf):
+    """The same targets reached with one order each, which often turns the position around."""
+    net = _orders(spark, sf).groupBy("account", "symbol", "datetime", "price").agg(F.sum("signed_qty").cast(ledger.QTY).alias("signed_qty"))
+    out = ledger.fills(net.where("signed_qty <> 0").withColumn("seq", F.lit(0)), 1000.0)
+    return out.select("symbol", "datetime", r6("position").alias("position"), r6("pnl", 4).alias("pnl"), r6("balance", 4).alias("balance"))
+
+
 # --- nets of known weights -----------------------------------------------------------
 
 NET = {"w1": [[0.5, -0.2, 0.1], [-0.3, 0.4, 0.2]], "b1": [0.01, -0.02], "w2": [[1.5, -0.7]], "b2": [0.003]}

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.intervals import bar_start, period_end
@@ -92,9 +92,9 @@ def median_bars(
 
     ``linear`` and ``nearest`` are exact. They first count equal prices (a
     pre-aggregated shuffle, as many rows as distinct prices) and then walk the
-    counts, so no bar's trades are ever held in one buffer. Prices on a tick
-    grid have few distinct values per bar; for prices that do not, ``blocks``
-    walks each bar in that many pieces. ``nearest`` takes the upper middle of an
+    counts, so no bar's trades are ever held in one buffer. A bar's distinct
+    prices are walked in pieces of bounded size (or ``blocks`` of them).
+    ``nearest`` takes the upper middle of an
     even count. ``approx`` is a mergeable sketch.
     """
     if method == "approx":
@@ -108,16 +108,9 @@ def median_bars(
         .groupBy(*bar, F.col(price).alias("_p"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    if blocks:
-        counts, line = even_blocks(written(counts, "price-counts"), Timeline(tuple(bar), ("_p",)), blocks)
-    else:
-        line = Timeline(tuple(bar), ("_p",))
+    counts, line = even_blocks(written(counts, "price-counts"), Timeline(tuple(bar), ("_p",)), blocks)
     walked = with_running(counts, line, sums={"_upto": "_n"})
-    if blocks:
-        totals = counts.groupBy(*bar).agg(F.sum("_n").alias("_all"))
-        walked = walked.join(totals, bar)
-    else:
-        walked = walked.withColumn("_all", F.sum("_n").over(Window.partitionBy(*bar)))
+    walked = walked.join(counts.groupBy(*bar).agg(F.sum("_n").alias("_all")), bar)
     # 1-based ranks of the two middle rows; equal for an odd count.
     lower, upper = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
     holds = lambda rank: (F.col("_upto") >= rank) & (F.col("_upto") - F.col("_n") < rank)

@@ -44,8 +44,8 @@ def _running_by_score(df: DataFrame, actual: str, score: str, keys: Sequence[str
     """Per distinct score, best first: positives and negatives at it and up to it.
 
     Equal scores are counted before anything is ordered, and the counts written
-    once. The distinct scores of a group are then walked in ``blocks`` pieces of
-    about equal size.
+    once. The distinct scores of a group are then walked in pieces of about equal
+    size (``blocks`` of them, or as many as their number asks for).
     """
     a = F.col(actual) == 1
     counts = written(
@@ -56,14 +56,14 @@ def _running_by_score(df: DataFrame, actual: str, score: str, keys: Sequence[str
         "score-counts",
     )
     line = Timeline(tuple(keys), ("_down",))
-    rows, line = even_blocks(counts, line, blocks) if blocks else (counts, line)
+    rows, line = even_blocks(counts, line, blocks)
     out = with_running(rows, line, sums={"tp": "_pos", "fp": "_neg"})
     totals = written(counts.groupBy(*keys).agg(F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N")), "score-totals")
     return out.join(totals, list(keys))
 
 
 def roc_points(
-    df: DataFrame, actual: str, score: str, keys: Sequence[str] = ("symbol",), blocks: int | None = 64
+    df: DataFrame, actual: str, score: str, keys: Sequence[str] = ("symbol",), blocks: int | None = None
 ) -> DataFrame:
     """False and true positive rate at every distinct score used as threshold."""
     out = _running_by_score(df, actual, score, keys, blocks)
@@ -76,7 +76,7 @@ def roc_points(
 
 
 def roc_auc(
-    df: DataFrame, actual: str, score: str, keys: Sequence[str] = ("symbol",), blocks: int | None = 64
+    df: DataFrame, actual: str, score: str, keys: Sequence[str] = ("symbol",), blocks: int | None = None
 ) -> DataFrame:
     """Area under the ROC curve; equal scores share their credit. NULL with one class only."""
     out = _running_by_score(df, actual, score, keys, blocks)

@@ -41,14 +41,21 @@ def fills(orders: DataFrame, opening_balance: float | str | Column = 0.0, line:
     """Every order filled at its price, netted into a position.
 
     Adds ``position`` (quantity held after the fill), ``pnl`` and ``balance``.
-    Profit is booked when the position is flat again: the cash that went out and
-    came back over the round trip. A full close therefore books
-    ``quantity * (exit - entry)``, and ``balance`` is the opening balance plus
-    everything booked so far.
+    Profit is booked when the position is flat again or changes its side: the
+    cash that went out and came back over the round trip. A full close therefore
+    books ``quantity * (exit - entry)``; an order that turns a position around
+    closes it first and opens the rest at its price. ``balance`` is the opening
+    balance plus everything booked so far. Partial closes are booked with the
+    order that ends their round trip.
     """
     cash = -(F.col("signed_qty") * F.col("price"))
     out = with_running(orders, line, sums={"position": "signed_qty", "_cash": cash})
-    out = with_running(out, line, latest={"_booked": F.when(F.col("position") == 0, F.col("_cash"))})
+    held = F.col("position") - F.col("signed_qty")
+    # what the open rest of a turned position cost is no profit or loss yet
+    booked = F.when(F.col("position") == 0, F.col("_cash")).when(
+        F.signum(held) * F.signum("position") < 0, (F.col("_cash") + F.col("position") * F.col("price")).cast("decimal(38,16)")
+    )
+    out = with_running(out, line, latest={"_booked": booked})
     out = out.withColumn("_booked", F.coalesce("_booked", F.lit(0).cast("decimal(38,16)")))
     out = with_lags(out, line, {"_earlier": ("_booked", 1)})
     out = out.withColumn("pnl", F.col("_booked") - F.coalesce("_earlier", F.lit(0).cast("decimal(38,16)")))

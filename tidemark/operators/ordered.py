@@ -287,34 +287,51 @@ def in_blocks(df: DataFrame, line: Timeline) -> tuple[DataFrame, Timeline]:
     return line.with_block(df), replace(line, block=None, block_column=BLOCK)
 
 
+#: Rows of a series that one block is meant to hold, and sampled rows per block that place the cuts. Neither
+#: changes a result.
+ROWS_PER_BLOCK = 250_000
+SAMPLED_PER_BLOCK = 100
+
+
 def even_blocks(
-    df: DataFrame, line: Timeline, blocks: int = 64, sample_rows: int = 100_000, seed: int = 17
+    df: DataFrame, line: Timeline, blocks: int | None = None, rows_per_block: int = ROWS_PER_BLOCK,
+    sampled: int = SAMPLED_PER_BLOCK, seed: int = 17,
 ) -> tuple[DataFrame, Timeline]:
     """Cut each series into about equal shares of its rows, wherever they lie.
 
-    Time blocks are cheap, but a burst puts many rows into one. Here the cut
-    points come from a sample of the whole order (ties included), so a single
-    instant holding a third of all rows is cut as well. Costs a count and a
-    sampled read. The sample only places the cuts; every row is kept. The cuts are written once, so that all branches
-    of a plan see the same blocks. Returns the rows with a block column and the
-    line to use with them.
+    A series of n rows gets ``n / rows_per_block`` blocks (or ``blocks``, if
+    given), so blocks keep their size as data grows. Time blocks are cheaper,
+    but a burst puts many rows into one. Here the cut points come from a sample
+    of the whole order (ties included), drawn in proportion to the number of
+    blocks, so a single instant holding a third of all rows is cut as well. Costs
+    a count and a sampled read. The sample only places the cuts; every row is
+    kept. The cuts are written once, so that all branches of a plan see the same
+    blocks. Returns the rows with a block column and the line to use with them.
     """
     if any(o.startswith("-") for o in line.order):
         raise ValueError("even blocks need an ascending order")
+    cut_line = replace(line, block=None, block_column="_even")
+    wanted = F.lit(blocks) if blocks else F.ceil(F.col("_rows") / rows_per_block)
+    sizes = df.groupBy(*line.keys).agg(F.count(F.lit(1)).alias("_rows"))
+    sizes = written(sizes.withColumn("_blocks", wanted.cast("long")), "series-sizes")
+    rows, total, most = sizes.agg(F.sum("_rows"), F.sum("_blocks"), F.max("_blocks")).first()
+    if (most or 0) <= 1:
+        return df.withColumn("_even", F.lit(0)), cut_line
     place = F.struct(*line.order)
-    share = min(1.0, sample_rows / max(df.count(), 1))
+    share = min(1.0, sampled * total / rows)
     drawn = df.select(*line.keys, place.alias("_o"))
     drawn = drawn.sample(share, seed) if share < 1 else drawn
     w = Window.partitionBy(*line.keys)
-    piece = F.floor((F.col("_i") - 1) * blocks / F.col("_n"))
     ranked = drawn.withColumns({"_i": F.row_number().over(w.orderBy("_o")), "_n": F.count(F.lit(1)).over(w)})
+    ranked = ranked.join(sizes.select(*line.keys, "_blocks"), list(line.keys))
+    piece = F.floor((F.col("_i") - 1) * F.col("_blocks") / F.col("_n"))
     firsts = ranked.groupBy(*line.keys, piece.alias("_piece")).agg(F.min("_o").alias("_o")).where(F.col("_piece") > 0)
     cuts = written(firsts.groupBy(*line.keys).agg(F.array_sort(F.collect_list("_o")).alias("_cuts")), "cut-points")
     # Count the cuts at or before the row by halving steps: a few comparisons in
     # generated code. Rows of a series without cuts are block 0.
     marked = df.join(cuts, list(line.keys), "left").withColumn("_even", F.lit(0))
-    step = 1 << (blocks - 1).bit_length()
+    step = 1 << (most - 1).bit_length()
     while step := step >> 1:
         behind = F.get("_cuts", F.col("_even") + (step - 1)) <= place
         marked = marked.withColumn("_even", F.col("_even") + F.when(behind, step).otherwise(0))
-    return marked.drop("_cuts"), replace(line, block=None, block_column="_even")
+    return marked.drop("_cuts"), cut_line

@@ -53,7 +53,8 @@ def shared_folder(spark: SparkSession) -> str:
     set_by_user = spark.sparkContext.getCheckpointDir()
     if set_by_user:
         return set_by_user.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
     app = spark.sparkContext.applicationId
     if app not in LOCAL_SCRATCH:
@@ -71,3 +72,9 @@ def written(df: DataFrame, label: str = "table") -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_table(spark: SparkSession, path: str) -> None:
+    """Remove a table of our own in the shared folder; one that is not there is no error."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -38,13 +38,22 @@ def batch_table(path: str) -> BatchWriter:
     return write
 
 
+def table_path(spark: SparkSession, checkpoint: str | None, label: str) -> str:
+    """Where a stream's own tables go: bound to its checkpoint, or a new place if it has none."""
+    return f"{checkpoint.rstrip('/')}.tables" if checkpoint else scratch_path(spark, label)
+
+
 def run_to_table(
     stream: DataFrame, mode: str = "append", writer: BatchWriter | None = None, path: str | None = None,
     checkpoint: str | None = None,
 ) -> str:
-    """Process everything available, then stop. Returns the table's path."""
+    """Process everything available, then stop. Returns the table's path.
+
+    With a ``checkpoint`` and no ``path`` the table lies beside the checkpoint, so
+    that a restart goes on with the table it began.
+    """
     spark = stream.sparkSession
-    path = path or scratch_path(spark, "stream-table")
+    path = path or table_path(spark, checkpoint, "stream-table")
     query = (
         stream.writeStream.outputMode(mode)
         .foreachBatch(writer or batch_table(path))

@@ -65,7 +65,7 @@ def apply(stream: DataFrame, processor: SeriesProcessor, keys: Sequence[str] = (
 
 
 class LogReturn(SeriesProcessor):
-    """Log return per event; none for the first."""
+    """Log return per event, NULL where a price is zero or negative; no row for the first."""
 
     output = "symbol string, datetime timestamp, log_return double"
     remember = "price double"
@@ -76,8 +76,11 @@ class LogReturn(SeriesProcessor):
     def on_events(self, key, events, state):
         prices = events["close"].to_numpy(dtype=float)
         before = np.concatenate([[np.nan if state[0] is None else state[0]], prices[:-1]])
-        out = pd.DataFrame({"symbol": key[0], "datetime": events["datetime"], "log_return": np.log(prices / before)})
-        return out[np.isfinite(out["log_return"])], (float(prices[-1]),)
+        known = (prices > 0) & (before > 0)
+        returns = np.full(len(prices), np.nan)
+        returns[known] = np.log(prices[known] / before[known])
+        out = pd.DataFrame({"symbol": key[0], "datetime": events["datetime"], "log_return": pd.Series(returns, dtype=object).where(known, None)})
+        return out.iloc[1 if state[0] is None else 0 :], (float(prices[-1]),)
 
 
 class SlidingWindow(SeriesProcessor):

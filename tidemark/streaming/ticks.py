@@ -11,14 +11,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.maths import dot, log_ratio
 from ..operators.features import lag_names
 from ..operators.ordered import TICKS, Timeline, with_lags
-from ..session import scratch_path
-from .run import run_to_table
+from ..session import remove_table, scratch_path
+from .run import run_to_table, table_path
 
 # A batch step: rows of the batch preceded by remembered rows -> result rows.
 Step = Callable[[DataFrame], DataFrame]
@@ -73,8 +73,12 @@ class RememberedStream:
             rows = rows.unionByName(memory.withColumn("_old", F.lit(True)))
         out = self.step(rows).where(~F.col("_old")).drop("_old")
         out.write.mode("overwrite").parquet(f"{self.result}/batch_id={batch_id}")
-        keep = newest(rows, self.depth, self.line).drop("_old")
+        new = batch
+        if set(batch.columns) <= set(out.columns):  # what was written has the rows: the batch is not computed again
+            new = spark.read.schema(out.schema).parquet(f"{self.result}/batch_id={batch_id}").select(batch.columns)
+        keep = newest(new if memory is None else new.unionByName(memory), self.depth, self.line)
         keep.write.mode("overwrite").parquet(f"{self.path}/memory/batch_id={batch_id}")
+        remove_table(spark, f"{self.path}/memory/batch_id={batch_id - 2}")  # no retry goes back that far
 
 
 def run_lag_stream(
@@ -92,19 +96,17 @@ def run_lag_stream(
             out = out.withColumn("dir_signal", F.signum("y_hat"))
         return out
 
-    stream = RememberedStream(spark, lags, step, line, path)
+    stream = RememberedStream(spark, lags, step, line, path or table_path(spark, checkpoint, "remembered-stream"))
     run_to_table(ticks, writer=stream, checkpoint=checkpoint)
     return spark.read.parquet(stream.result)
 
 
 def run_step_stream(
-    ticks: DataFrame, depth: int, step: Step, line: Timeline = TICKS, checkpoint: str | None = None,
+    ticks: DataFrame, depth: int, step: Step, line: Timeline = TICKS, checkpoint: str | None = None, path: str | None = None,
 ) -> DataFrame:
     """Any batch operator that looks back at most ``depth`` rows, on a stream."""
-    stream = RememberedStream(ticks.sparkSession, depth, step, line)
+    path = path or table_path(ticks.sparkSession, checkpoint, "remembered-stream")
+    stream = RememberedStream(ticks.sparkSession, depth, step, line, path)
     run_to_table(ticks, writer=stream, checkpoint=checkpoint)
     return ticks.sparkSession.read.parquet(stream.result)
 
-
-def signal(y_hat: str | Column) -> Column:
-    return F.signum(F.col(y_hat) if isinstance(y_hat, str) else y_hat)
