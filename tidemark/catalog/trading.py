@@ -535,19 +535,19 @@ def fills_ledger(spark, sf):
 @query(
     "fills_reversal",
     f"""WITH {PAIRED}, net AS (SELECT symbol, datetime, price, sum(signed_qty) AS signed_qty FROM orders_out GROUP BY symbol, datetime, price),
-    run AS (SELECT *, sum(signed_qty) OVER w AS position, -sum(CAST(signed_qty AS DECIMAL(18,8)) * price) OVER w AS cash
+    run AS (SELECT *, sum(signed_qty) OVER w AS position, -sum(CAST(signed_qty AS DECIMAL(19,8)) * price) OVER w AS cash
       FROM net WHERE signed_qty <> 0 WINDOW w AS (PARTITION BY symbol ORDER BY datetime ROWS UNBOUNDED PRECEDING)),
     booked AS (SELECT *, coalesce(last_value(CASE WHEN position = 0 THEN cash WHEN sign(position) * sign(position - signed_qty) < 0
-        THEN cash + CAST(position AS DECIMAL(18,8)) * price END IGNORE NULLS)
+        THEN cash + CAST(position AS DECIMAL(19,8)) * price END IGNORE NULLS)
       OVER (PARTITION BY symbol ORDER BY datetime ROWS UNBOUNDED PRECEDING), 0) AS done FROM run)
-    SELECT symbol, datetime, {R('position')}, {R('done - coalesce(lag(done) OVER (PARTITION BY symbol ORDER BY datetime), 0)', 'pnl', 4)},
-      {R('1000 + done', 'balance', 4)} FROM booked""",
+    SELECT symbol, datetime, {R('position')}, {R('done - coalesce(lag(done) OVER (PARTITION BY symbol ORDER BY datetime), 0)', 'pnl', 3)},
+      {R('1000 + done', 'balance', 3)} FROM booked""",
 )
 def fills_reversal(spark, sf):
     """The same targets reached with one order each, which often turns the position around."""
     net = _orders(spark, sf).groupBy("account", "symbol", "datetime", "price").agg(F.sum("signed_qty").cast(ledger.QTY).alias("signed_qty"))
     out = ledger.fills(net.where("signed_qty <> 0").withColumn("seq", F.lit(0)), 1000.0)
-    return out.select("symbol", "datetime", r6("position").alias("position"), r6("pnl", 4).alias("pnl"), r6("balance", 4).alias("balance"))
+    return out.select("symbol", "datetime", r6("position").alias("position"), r6("pnl", 3).alias("pnl"), r6("balance", 3).alias("balance"))
 
 
 # --- nets of known weights -----------------------------------------------------------

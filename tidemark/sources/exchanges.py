@@ -176,6 +176,40 @@ def one_per_time(bars: DataFrame) -> DataFrame:
     return kept.select("symbol", "datetime", "_b.*")
 
 
+def _okx_reason(body: Column) -> Column:
+    reply = F.from_json(body, "code string, msg string")
+    return F.when(reply["code"].isNull(), "unparsable").when(reply["code"] != "0", F.concat_ws(": ", reply["code"], reply["msg"]))
+
+
+def _kraken_reason(body: Column) -> Column:
+    reply = F.from_json(body, KRAKEN_RESULT)
+    return F.when(F.size(reply["error"]) > 0, F.array_join(reply["error"], "; ")).when(reply["result"].isNull(), "unparsable")
+
+
+def _coinbase_reason(body: Column) -> Column:
+    return F.when(F.from_json(body, "array<string>").isNull(), "unparsable")
+
+
+#: Why a landed response holds no table, NULL where it does.
+REASONS: dict[str, Callable[[Column], Column]] = {"okx": _okx_reason, "kraken": _kraken_reason, "coinbase": _coinbase_reason}
+
+
+def rejected_pages(raw: DataFrame, exchange: str) -> DataFrame:
+    """``(symbol, reason, body)`` of the responses that are errors or cannot be read."""
+    reason = REASONS[exchange.lower()](F.col("body"))
+    return raw.withColumn("reason", reason).where(F.col("reason").isNotNull()).select("symbol", "reason", "body")
+
+
+def _checked(raw: DataFrame, exchange: str, on_error: str) -> DataFrame:
+    if on_error not in ("raise", "skip"):
+        raise ValueError("on_error must be raise or skip")
+    if on_error == "skip" or exchange not in REASONS:
+        return raw
+    reason = REASONS[exchange](F.col("body"))
+    failed = F.raise_error(F.concat(F.lit(f"{exchange} response: "), reason)).cast("string")
+    return raw.withColumn("body", F.when(reason.isNotNull(), failed).otherwise(F.col("body")))
+
+
 TRADE_NORMALISERS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "binance": normalise_binance, "bybit": normalise_bybit, "okx": normalise_okx,
     "kraken": normalise_kraken, "coinbase": normalise_coinbase,
@@ -195,16 +229,26 @@ def register_exchange(
         TRADE_READERS[name.lower()] = reader
 
 
-def read_exchange_trades(spark: SparkSession, exchange: str, path: str) -> DataFrame:
-    """Canonical trades of one exchange's landed files."""
+def read_exchange_trades(spark: SparkSession, exchange: str, path: str, on_error: str = "raise") -> DataFrame:
+    """Canonical trades of one exchange's landed files.
+
+    A response that is an error or cannot be read fails the job, or with
+    ``on_error="skip"`` is left out; :func:`read_rejects` lists such responses.
+    """
     name = exchange.lower()
     if name in TRADE_READERS:
         return TRADE_READERS[name](spark, path)
-    return TRADE_NORMALISERS[name](_responses(spark, path))
+    return TRADE_NORMALISERS[name](_checked(_responses(spark, path), name, on_error))
+
+
+def read_exchange_candles(spark: SparkSession, exchange: str, path: str, on_error: str = "raise") -> DataFrame:
+    name = exchange.lower()
+    return CANDLE_NORMALISERS[name](_checked(_responses(spark, path), name, on_error))
 
 
-def read_exchange_candles(spark: SparkSession, exchange: str, path: str) -> DataFrame:
-    return CANDLE_NORMALISERS[exchange.lower()](_responses(spark, path))
+def read_rejects(spark: SparkSession, exchange: str, path: str) -> DataFrame:
+    """The landed responses of an exchange that hold no table, with the reason."""
+    return rejected_pages(_responses(spark, path), exchange)
 
 
 def union_exchanges(*tables: DataFrame) -> DataFrame:

@@ -43,6 +43,13 @@ def write_trades(trades: DataFrame, path: str) -> None:
     )
 
 
+def add_missing_days(trades: DataFrame, path: str) -> None:
+    """Write only the symbol-days that the store does not have yet (its folders are listed, not read)."""
+    keys = ["exchange", "symbol", "date"]
+    there = trades.sparkSession.read.schema(TRADES).parquet(path).select(*keys).distinct()
+    write_trades(trades.join(there, keys, "left_anti").select(trades.columns), path)
+
+
 def read_trades(
     spark: SparkSession, path: str, symbols: str | Sequence[str] | None = None, start: Day | None = None,
     end: Day | None = None, exchange: str | None = None,
@@ -89,10 +96,20 @@ def last_days(trades: DataFrame, days: int, today: Day | Column | None = None) -
 
 def load_bars(
     spark: SparkSession, path: str, every: str, *aggs: Column, symbols: str | Sequence[str] | None = None,
-    start: Day | None = None, end: Day | None = None,
+    start: Day | None = None, end: Day | None = None, required: bool = True,
 ) -> DataFrame:
-    """Bars straight from the store; OHLC unless other aggregates are given."""
-    return resample(read_trades(spark, path, symbols, start, end), every, *(aggs or ohlc_aggs()))
+    """Bars straight from the store; OHLC unless other aggregates are given. A range without any trade is an
+    error unless ``required`` is off."""
+    trades = read_trades(spark, path, symbols, start, end)
+    return resample(require_rows(trades) if required else trades, every, *(aggs or ohlc_aggs()))
+
+
+def load_bars_and_gaps(
+    spark: SparkSession, path: str, every: str, *aggs: Column, start: Day, end: Day, symbols: str | Sequence[str] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """The bars of an inclusive range of days, and the days of it that each symbol lacks."""
+    bars = load_bars(spark, path, every, *aggs, symbols=symbols, start=start, end=end)
+    return bars, missing_days(read_trades(spark, path, symbols, start, end), start, end)
 
 
 def dense_days(spark: SparkSession, start: Day, end: Day, name: str = "date") -> DataFrame:
