@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import written
-from .common import mix, named, text_slices, words_of
+from .common import mix, named, small, text_slices, words_of
 
 RUN = 3
 LEAST = 15
@@ -132,7 +132,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spans = spans.select("id", "mark", F.col("r.runs").alias("run"), F.col("r.places").alias("place"))
     order = F.struct("id", "mark", "place")
     repeated = spans.groupBy("run").agg(F.min(order).alias("kept"), F.max(order).alias("last")).where("kept < last").select("run", "kept")
-    gone = spans.join(repeated, "run").where(F.struct("id", "mark", "place") > F.col("kept"))
+    # a table of its own, so that a run which very many texts have is split by the join
+    repeated = written(repeated, "repeated-runs")
+    gone = spans.join(small(repeated), "run").where(F.struct("id", "mark", "place") > F.col("kept"))
     gone = gone.groupBy("id", "mark").agg(F.array_sort(F.collect_set("place")).alias("places"))
     left = marked.alias("a").join(
         gone.alias("b").hint("shuffle_hash"), F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.mark") == F.col("b.mark")), "left"
