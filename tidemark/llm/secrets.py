@@ -15,7 +15,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import scratch_path, written
 from .common import first_rows, named, one_text_per_digest
 from .spans import Pattern, all_spans, listed
 
@@ -92,7 +92,8 @@ def secret_findings(docs: DataFrame, ledger: str, rules=RULES, id_col: str = "do
     update_ledger(docs, ledger, rules, id_col, text_col)
     own = named(docs, id=id_col, text=text_col)
     rows = own.select("id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("blob"))
-    joined = rows.join(findings(spark, ledger, rules), "blob", "left")
+    # a table of its own, so that rows of a content which very many have are split by the join
+    joined = rows.join(written(findings(spark, ledger, rules), "findings"), "blob", "left")
     return joined.select(F.col("id").alias(id_col), "blob", "spans")
 
 
