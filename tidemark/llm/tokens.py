@@ -104,7 +104,8 @@ def count_tokens(
     counted.select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache_path)
     # a row that a repeated id wrote twice, or that two runs added, counts once
     known = read_cache(spark, cache_path).where(F.col("version") == version)
-    known = known.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # a table of its own, so that rows of a text which very many have are split by the join
+    known = written(known.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "known-counts")
     return keyed.join(known, "digest").select(
         F.col("id").alias(id_col), "n_bytes", "n_tokens"
     )
