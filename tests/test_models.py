@@ -279,6 +279,24 @@ def test_lstm_by_hand():
     assert got[0] == pytest.approx(2 * h + 0.5)
 
 
+def test_net_columns_equal_their_numpy_forms(data):
+    _, df = data
+    rng = np.random.default_rng(8)
+    r = rng.standard_normal
+    kinds = {
+        "tanh_unit": {"w": r(3), "b": r()},
+        "one_hidden": {"w1": r((4, 3)), "b1": r(4), "w2": r((1, 4)), "b2": r(1)},
+        "deep": {f"{k}{i}": v for i, (n, m) in enumerate(((4, 3), (3, 4))) for k, v in (
+            ("w", r((n, m))), ("b", r(n)), ("gamma", r(n)), ("beta", r(n)), ("mean", r(n)), ("var", rng.uniform(0.5, 2, n)))} | {"w": r((1, 3)), "b": r(1)},
+        "attention": {f"w{n}": r((3, 3)) for n in "qkv"} | {f"b{n}": r(3) for n in "qkv"} | {"w": r((1, 3)), "b": r(1)},
+    }
+    assert set(kinds) == set(nets.COLUMNS)
+    out = df.select(*NAMES, *[nets.net_model(k, w)(NAMES).alias(k) for k, w in kinds.items()]).toPandas()
+    for k, w in kinds.items():
+        want = nets.NETS[k](out[NAMES].to_numpy(), {n: np.asarray(v, float) for n, v in w.items()})
+        assert out[k].to_numpy() == pytest.approx(want, abs=1e-9), k
+
+
 def test_net_scoring_on_rows(data):
     _, df = data
     rows = df.withColumn("x1", F.when(F.col("x2") > 0, F.col("x1")))

@@ -48,6 +48,19 @@ def test_density_integrates_to_one(spark):
     assert np.trapezoid(y, x) == pytest.approx(1, abs=0.02)
     h = stats.kde_bandwidth(df, "v").first().bandwidth
     assert h == pytest.approx(1.06 * 2000**-0.2, rel=0.1)
+    values = np.array([r.v for r in df.collect()])
+    q1, q3 = np.quantile(values, [0.25, 0.75])
+    assert h == pytest.approx(1.06 * min(values.std(ddof=1), (q3 - q1) / 1.34) * 2000**-0.2)
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 50])
+def test_exact_quantiles(spark, n):
+    values = [float((i * 7) % 11) for i in range(n)]
+    df = spark.createDataFrame([("a", v) for v in values] + [("b", None), ("b", 5.0)], "symbol string, v double")
+    shares = {"q0": 0.0, "q1": 0.25, "q5": 0.5, "q9": 0.9, "top": 1.0}
+    got = {r.symbol: r for r in stats.exact_quantiles(df, "v", shares).collect()}
+    assert [got["a"][k] for k in shares] == pytest.approx(list(np.quantile(values, list(shares.values()))))
+    assert got["b"].q5 == 5.0 and stats.describe(df, "v").where("symbol = 'a'").first().median == pytest.approx(np.median(values))
 
 
 def test_counts_and_shares(spark):

@@ -369,13 +369,13 @@ def event_shares(spark, sf):
 @query(
     "describe_prices",
     f"""WITH {LINES} SELECT symbol, count(price) AS n, {R('avg(price)', 'mean', 4)}, {R('sum(price)', 'total', 2)},
-      {R('var_pop(price)', 'var_pop', 2)}, {R('stddev_pop(price)', 'std_pop', 4)} FROM lines GROUP BY symbol""",
+      {R('var_pop(price)', 'var_pop', 2)}, {R('stddev_pop(price)', 'std_pop', 4)}, {R('quantile_cont(price, 0.5)', 'median', 4)} FROM lines GROUP BY symbol""",
 )
 def describe_prices(spark, sf):
     out = stats.describe(line_trades(spark, sf), "price")
     return out.select(
         "symbol", "n", r6("mean", 4).alias("mean"), r6("total", 2).alias("total"), r6("var_pop", 2).alias("var_pop"),
-        r6("std_pop", 4).alias("std_pop"),
+        r6("std_pop", 4).alias("std_pop"), r6("median", 4).alias("median"),
     )
 
 
@@ -402,6 +402,20 @@ def kde_grid(spark, sf):
     return out.select("symbol", "point_no", r6("x").alias("x"), r6("density", 8).alias("density"))
 
 
+@query(
+    "kde_default",
+    f"""WITH {TRADES}, b AS (SELECT symbol, 1.06e0 * least(stddev_samp(price), (quantile_cont(price, 0.75) - quantile_cont(price, 0.25)) / 1.34e0)
+        * pow(count(*), -0.2e0) AS h, min(price) AS lo, max(price) AS hi, count(*) AS n FROM trades GROUP BY symbol),
+    g AS (SELECT *, i AS point_no, lo + (hi - lo) * (i / 9.0e0) AS x FROM b CROSS JOIN (SELECT CAST(unnest(generate_series(0, 9)) AS INTEGER) AS i))
+    SELECT g.symbol, point_no, {R('x')}, {R('sum(exp(-0.5e0 * ((price - x) / h) * ((price - x) / h))) / (n * h * sqrt(2 * pi()))', 'density', 8)}
+    FROM g JOIN trades t ON t.symbol = g.symbol GROUP BY g.symbol, point_no, x, n, h""",
+)
+def kde_default(spark, sf):
+    """Density with the bandwidth that the data ask for."""
+    out = stats.kernel_density(event_trades(spark, sf), "price", 10)
+    return out.select("symbol", "point_no", r6("x").alias("x"), r6("density", 8).alias("density"))
+
+
 @query(
     "time_span_counts",
     f"WITH {LINES} SELECT symbol, count(*) AS n_rows, min(datetime) AS first_time, max(datetime) AS last_time FROM lines GROUP BY symbol",

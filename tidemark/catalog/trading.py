@@ -569,3 +569,35 @@ def nn_forward(spark, sf):
     unit = nets.net_model("tanh_unit", {"w": [0.3, 0.1], "b": 0.16421})
     rows = research.add_model_predictions(rows, unit, [LAGS[0], LAGS[0]], name="y_tanh")
     return rounded(rows, "symbol", "datetime", "y_net", "y_tanh")
+
+
+DEEP = {
+    "w0": [[0.8, -0.3, 0.5], [-0.6, 0.9, 0.2]], "b0": [0.05, -0.01], "gamma0": [1.2, 0.7], "beta0": [0.1, 0.2], "mean0": [0.02, -0.03],
+    "var0": [0.5, 2.0], "w": [[1.1, -0.4]], "b": [0.02],
+}
+ATTENTION = {f"{k}{n}": v for n in "qkv" for k, v in (("w", [[1.0, 0.0], [0.0, 1.0]]), ("b", [0.0, 0.0]))} | {"w": [[1.0, 0.5]], "b": [0.1]}
+
+
+def _unit(i: int) -> str:
+    w, (b, g, o, m, v) = DEEP["w0"][i], (DEEP[f"{k}0"][i] for k in ("b", "gamma", "beta", "mean", "var"))
+    dense = " + ".join(f"({k}e0) * {x}" for k, x in zip(w, LAGS))
+    return f"greatest((({dense}) + ({b}e0) - ({m}e0)) / sqrt({v}e0 + 1e-5) * {g}e0 + {o}e0, 0)"
+
+
+def _attended(i: int) -> str:
+    x = LAGS[:2]
+    powers = [f"exp({x[i]} * {y} / sqrt(2e0))" for y in x]
+    return f"({powers[0]} * {x[0]} + {powers[1]} * {x[1]}) / ({powers[0]} + {powers[1]})"
+
+
+@query(
+    "nn_deep",
+    f"""WITH {rows_sql()} SELECT symbol, datetime, {R(f"1.1e0 * {_unit(0)} - 0.4e0 * {_unit(1)} + 0.02e0", 'y_deep')},
+      {R(f"{_attended(0)} + 0.5e0 * ({_attended(1)}) + 0.1e0", 'y_attention')} FROM study""",
+)
+def nn_deep(spark, sf):
+    """Batch-normalised layers and attention, as column expressions."""
+    rows = features.drop_null_rows(study_features(spark, sf))
+    rows = research.add_model_predictions(rows, nets.net_model("deep", DEEP), LAGS, name="y_deep")
+    rows = research.add_model_predictions(rows, nets.net_model("attention", ATTENTION), LAGS[:2], name="y_attention")
+    return rounded(rows, "symbol", "datetime", "y_deep", "y_attention")

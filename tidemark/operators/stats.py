@@ -11,6 +11,7 @@ from ..functions.maths import ratio, safe_corr
 from ..session import written
 from .bars import ORDER, one_price
 from .features import drop_null_rows, lag_names
+from .ordered import Timeline, even_blocks, with_running
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("symbol",)) -> DataFrame:
@@ -106,8 +107,36 @@ def span_and_count(df: DataFrame, keys: Sequence[str] = ("symbol",), time: str =
     )
 
 
+def exact_quantiles(df: DataFrame, col: str, shares: dict[str, float], keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """Quantiles per group, ``{name: share}``, linear between neighbours.
+
+    Equal values are counted first; the counts are then walked in blocks, so no
+    group's values meet in one buffer.
+    """
+    keys = list(keys)
+    counts = df.where(F.col(col).isNotNull()).groupBy(*keys, F.col(col).cast("double").alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    rows, line = even_blocks(written(counts, "value-counts"), Timeline(tuple(keys), ("_p",)))
+    walked = with_running(rows, line, sums={"_upto": "_n"}).join(rows.groupBy(*keys).agg(F.sum("_n").alias("_all")), keys)
+    out = {}
+    for name, share in shares.items():
+        at = F.lit(share) * (F.col("_all") - 1)
+        value = [
+            F.max(F.when((F.col("_upto") >= rank) & (F.col("_upto") - F.col("_n") < rank), F.col("_p")))
+            for rank in (F.floor(at) + 1, F.ceil(at) + 1)
+        ]
+        within = F.lit(share) * (F.max("_all") - 1)
+        out[name] = value[0] + (value[1] - value[0]) * (within - F.floor(within))
+    return walked.groupBy(*keys).agg(*[c.alias(n) for n, c in out.items()])
+
+
 def describe(df: DataFrame, col: str, keys: Sequence[str] = ("symbol",)) -> DataFrame:
-    """Count, mean, sum, population variance and deviation."""
+    """Count, mean, sum, median, population variance and deviation."""
+    keys = list(keys)
+    middle = exact_quantiles(df, col, {"median": 0.5}, keys)
+    return _moments_of(df, col, keys).join(middle, keys, "left")
+
+
+def _moments_of(df: DataFrame, col: str, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(
         F.count(col).alias("n"),
         F.avg(col).alias("mean"),
@@ -146,13 +175,11 @@ def histogram(df: DataFrame, col: str, bins: int = 100, keys: Sequence[str] = ("
 
 
 def kde_bandwidth(df: DataFrame, col: str, keys: Sequence[str] = ("symbol",)) -> DataFrame:
-    """Normal-reference bandwidth ``1.06 * min(std, iqr / 1.34) * n^-0.2``, quartiles from a sketch."""
-    stats = df.groupBy(*keys).agg(
-        F.count(col).alias("_n"),
-        F.stddev_samp(col).alias("_s"),
-        F.percentile_approx(col, [0.25, 0.75], 100_000).alias("_q"),
-    )
-    iqr = (F.col("_q")[1] - F.col("_q")[0]) / 1.34
+    """Normal-reference bandwidth ``1.06 * min(std, iqr / 1.34) * n^-0.2``, quartiles exact."""
+    keys = list(keys)
+    stats = df.groupBy(*keys).agg(F.count(col).alias("_n"), F.stddev_samp(col).alias("_s"))
+    stats = stats.join(exact_quantiles(df, col, {"_q1": 0.25, "_q3": 0.75}, keys), keys)
+    iqr = (F.col("_q3") - F.col("_q1")) / 1.34
     spread = F.when(iqr > 0, F.least(F.col("_s"), iqr)).otherwise(F.col("_s"))
     return stats.select(*keys, (F.lit(1.06) * spread * F.pow(F.col("_n").cast("double"), F.lit(-0.2))).alias("bandwidth"))
 

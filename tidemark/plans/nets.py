@@ -1,7 +1,9 @@
-"""Scoring neural nets of known weights: one vectorised numpy pass per Arrow batch.
+"""Scoring neural nets of known weights.
 
-Inference only, in evaluation mode (no dropout, stored batch statistics). The
-weights travel once with the function; rows are ``array<double>`` features.
+Inference only, in evaluation mode (no dropout, stored batch statistics). All
+nets but the LSTM are column expressions and never leave the JVM; the LSTM is
+one vectorised numpy pass per Arrow batch. The numpy forms of the others are
+what the expressions are tested against.
 """
 
 from __future__ import annotations
@@ -82,10 +84,75 @@ NETS: dict[str, Callable[[np.ndarray, Weights], np.ndarray]] = {
 }
 
 
+def _affine(xs: Sequence[Column], w: np.ndarray, b: np.ndarray) -> list[Column]:
+    rows, shifts = np.atleast_2d(w), np.broadcast_to(np.asarray(b, float).reshape(-1), (len(np.atleast_2d(w)),))
+    return [sum((x * F.lit(float(k)) for x, k in zip(xs, row, strict=True)), F.lit(float(s))) for row, s in zip(rows, shifts)]
+
+
+def _once(values: Sequence[Column], then: Callable[[list[Column]], Column]) -> Column:
+    """``then(values)`` with every value computed once, however often it is used."""
+    return F.transform(F.array(F.array(*values)), lambda a: then([F.get(a, F.lit(i)) for i in range(len(values))]))[0]
+
+
+def _positive(xs: Sequence[Column]) -> list[Column]:
+    return [F.greatest(x, F.lit(0.0)) for x in xs]
+
+
+def _tanh_columns(xs: list[Column], p: Weights) -> Column:
+    return F.tanh(_affine(xs, p["w"], p["b"])[0])
+
+
+def _hidden_columns(xs: list[Column], p: Weights) -> Column:
+    return _affine(_positive(_affine(xs, p["w1"], p["b1"])), p["w2"], p["b2"])[0]
+
+
+def _deep_columns(xs: list[Column], p: Weights, layer: int = 0, eps: float = 1e-5) -> Column:
+    if f"w{layer}" not in p:
+        return _affine(xs, p["w"], p["b"])[0]
+    size = p[f"gamma{layer}"] / np.sqrt(p[f"var{layer}"] + eps)
+    shift = p[f"beta{layer}"] - p[f"mean{layer}"] * size
+    out = _affine(xs, p[f"w{layer}"] * size[:, None], p[f"b{layer}"] * size + shift)
+    return _once(_positive(out), lambda hs: _deep_columns(hs, p, layer + 1, eps))
+
+
+def _attention_columns(xs: list[Column], p: Weights) -> Column:
+    q, k, v = (_affine(xs, p[f"w{n}"], p[f"b{n}"]) for n in "qkv")
+    n = len(k)
+
+    def mixed(cells: list[Column]) -> Column:
+        q, k, v = cells[:n], cells[n : 2 * n], cells[2 * n :]
+
+        def unit(i: int) -> Column:
+            scores = [q[i] * x * F.lit(1 / n**0.5) for x in k]
+            return _once(scores, lambda s: weighted(s, F.greatest(*s) if n > 1 else s[0]))
+
+        def weighted(s: list[Column], top: Column) -> Column:
+            powers = [F.exp(x - top) for x in s]
+            return sum((a * b for a, b in zip(powers, v)), F.lit(0.0)) / sum(powers, F.lit(0.0))
+
+        return _affine([unit(i) for i in range(n)], p["w"], p["b"])[0]
+
+    return _once([*q, *k, *v], mixed)
+
+
+COLUMNS: dict[str, Callable[[list[Column], Weights], Column]] = {
+    "tanh_unit": _tanh_columns, "one_hidden": _hidden_columns, "deep": _deep_columns, "attention": _attention_columns,
+}
+
+
 def net_model(kind: str, weights: Weights) -> Callable[[Sequence[str]], Column]:
     """A model for :func:`~tidemark.plans.research.add_model_predictions`. A row with a NULL feature scores NULL."""
-    forward = NETS[kind]
     frozen = {k: np.asarray(v, dtype=float) for k, v in weights.items()}
+    if kind in COLUMNS:
+
+        def expression(features: Sequence[str]) -> Column:
+            known = F.lit(True)
+            for f in features:
+                known = known & F.col(f).isNotNull()
+            return F.when(known, COLUMNS[kind]([F.col(f).cast("double") for f in features], frozen))
+
+        return expression
+    forward = NETS[kind]
 
     @F.pandas_udf("double")
     def run(rows: pd.Series) -> pd.Series:
