@@ -144,6 +144,18 @@ def test_token_cache(spark, tmp_path):
     assert tokens.read_cache(spark, cache).count() == stored + 1
 
 
+@pytest.mark.parametrize("name, drops", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True), ("word_bpe_49k.json", False)])
+def test_token_counts_of_whole_texts(spark, tmp_path, monkeypatch, name, drops):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "REMEMBERED", 5)
+    plain = Tokenizer.from_file(public.path(name))
+    texts = noisy(6, 150, ["The ", "dog's", " ", "\x1c", "\x85", "\u2003", "\u0301", "Σ", "ς ", "<|endoftext|>", "<|startoftext|>", "12", "!?", "\r\n", "ﬁ", "Å"])
+    got = {r["doc_id"]: r["n_tokens"] for r in tokens.count_tokens(frame(spark, texts), public.path(name), f"{tmp_path}/c", drops_white_space=drops).collect()}
+    assert got == {i: len(plain.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
 def goals(rows):
     """Targets by the rule as it is written."""
     size = {}

@@ -11,6 +11,8 @@ NULL or repeated; other columns of the input are ignored; an empty table gives a
 from __future__ import annotations
 
 import hashlib
+import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -47,17 +49,32 @@ def _tokenizer(path: str):
     return t
 
 
-def _counter(path: str, step: int = 64):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
+#: Stretches whose counts a task remembers; the memory starts anew when it is full.
+REMEMBERED = 400_000
+_SPACES = re.compile(r"[\x20\x09-\x0D]+")
+
+
+def _counter(path: str, drops_white_space: bool, step: int = 64):
+    def lengths(tokenizer, texts: list[str]) -> list[int]:
+        return [len(e) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def by_stretch(tokenizer, texts: list[str], memory: dict[str, int]) -> list[int]:
+        """No token reaches over white space, so a text's count is the sum over its stretches between it."""
+        rows = [_SPACES.split(t) for t in texts]
+        if len(memory) > REMEMBERED:
+            memory.clear()
+        new = list({w for row in rows for w in row}.difference(memory))
+        memory.update(zip(new, lengths(tokenizer, new)))
+        return [sum(map(memory.__getitem__, row)) for row in rows]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
-        tokenizer = _tokenizer(path)
+        tokenizer, memory = _tokenizer(path), {"": 0}
         for batch in batches:
             counts: list[int] = []
             for at in range(0, len(batch), step):  # few texts at a time: their encodings are large
                 texts = batch.column(1).slice(at, step).to_pylist()
-                counts += [len(e) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+                counts += by_stretch(tokenizer, texts, memory) if drops_white_space else lengths(tokenizer, texts)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64())], names=["digest", "n_tokens"]
             )
@@ -84,7 +101,7 @@ def count_tokens(
 ) -> DataFrame:
     """``(id, n_bytes, n_tokens)`` per row of ``docs``; missing counts are added to ``cache_path``.
 
-    ``drops_white_space`` says that the tokenizer ignores the amount of white space between words.
+    ``drops_white_space`` says that the tokenizer ignores white space and forms no token over it.
     ``tokenizer_path`` is a path that every executor can read.
     """
     spark = docs.sparkSession
@@ -100,7 +117,7 @@ def count_tokens(
     stored = read_cache(spark, cache_path).where(F.col("version") == version)
     wanted = first_rows(keyed).join(stored, "digest", "left_anti")
     # white space that changes no count needs no removing before the count
-    counted = one_text_per_digest(own, wanted).mapInArrow(_counter(tokenizer_path), "digest string, n_tokens long")
+    counted = one_text_per_digest(own, wanted).mapInArrow(_counter(tokenizer_path, drops_white_space), "digest string, n_tokens long")
     counted.select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache_path)
     # a row that a repeated id wrote twice, or that two runs added, counts once
     known = read_cache(spark, cache_path).where(F.col("version") == version)
