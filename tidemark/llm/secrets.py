@@ -28,7 +28,7 @@ BASE_RULES = (
 # Further rules of this scan.
 MORE_RULES = (
     (Pattern("pem", r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"), 1),
-    (Pattern("jwt", r"eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]++"), 1),
+    (Pattern("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]++"), 1),
 )
 RULES = BASE_RULES + MORE_RULES
 
