@@ -65,6 +65,11 @@ def targets(sizes: DataFrame) -> DataFrame:
     return per.select("source", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
+def exact_sum(value: Column) -> Column:
+    """A sum of doubles that does not depend on the order of the rows, so that reruns agree to the last copy."""
+    return F.sum(value.cast("decimal(38,12)")).cast("double")
+
+
 def rate(multiplier: Column, scaled_size: Column) -> Column:
     return F.lit(CEILING) / (1 + (CEILING - 1) * F.exp(-multiplier * scaled_size))
 
@@ -92,8 +97,8 @@ def solve(sizes: DataFrame, goals: DataFrame) -> DataFrame:
         )
         r = rate(F.col("multiplier"), F.col("scaled"))
         step = pairs.groupBy("source", "source_size", "target", "mean", "multiplier", "low", "high").agg(
-            F.sum(r * F.col("size") * F.col("n")).alias("got"),
-            F.sum(r * (1 - r / CEILING) * F.col("scaled") * F.col("size") * F.col("n")).alias("slope"),
+            exact_sum(r * F.col("size") * F.col("n")).alias("got"),
+            exact_sum(r * (1 - r / CEILING) * F.col("scaled") * F.col("size") * F.col("n")).alias("slope"),
         )
         gap = F.col("got") - F.col("target")
         step = step.withColumns(
@@ -128,7 +133,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
     # expected copies of all rows before this (source, size, part), in order of size: first a line of one row per
     # size, at most as many as a text has words, then the parts of each size
-    of_size = rates.groupBy("source", "size").agg(F.sum(F.col("rate") * F.col("n")).alias("copies"))
+    of_size = rates.groupBy("source", "size").agg(exact_sum(F.col("rate") * F.col("n")).alias("copies"))
     order = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
     of_size = of_size.select(
         F.col("source").alias("s_source"), F.col("size").alias("s_size"), F.coalesce(F.sum("copies").over(order), F.lit(0.0)).alias("start")
