@@ -84,7 +84,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def text_slices(
-    column: pa.Array, budget: int = 1 << 20, rows: int = 4096
+    column: pa.Array, budget: int = 1 << 20, rows: int = 1024
 ) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """``(first row, row after the last, bytes, offsets)`` in slices of about ``budget`` bytes and at most ``rows`` texts.
 
@@ -92,19 +92,16 @@ def text_slices(
     """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("")
-    n = len(column)
-    if not n:
-        return
-    buffers = column.buffers()
-    offsets = np.frombuffer(buffers[1], np.int64)[column.offset : column.offset + n + 1]
-    data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None else np.zeros(0, np.uint8)
-    at = 0
-    while at < n:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + budget, "right")) - 1)
-        to = min(to, n, at + rows)
-        yield at, to, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
-        at = to
+    for base in range(0, len(column), rows):  # a few rows at a time are copied, never the whole batch
+        part = column.slice(base, rows).cast(pa.large_string()).fill_null("")
+        n, buffers = len(part), part.buffers()
+        offsets = np.frombuffer(buffers[1], np.int64)[part.offset : part.offset + n + 1]
+        data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None else np.zeros(0, np.uint8)
+        at = 0
+        while at < n:
+            to = min(n, max(at + 1, int(np.searchsorted(offsets, offsets[at] + budget, "right")) - 1))
+            yield base + at, base + to, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
+            at = to
 
 
 def words_of(
