@@ -49,8 +49,39 @@ def test_okx(spark, tmp_path):
     body = {"code": "0", "msg": "", "data": [{"instId": "BTC-USDT", "tradeId": "9", "px": "100.5", "sz": "2", "side": "buy", "ts": str(MS)}]}
     put(tmp_path / "a-trades-1.json", body)
     put(tmp_path / "b-trades-1.json", {"code": "51001", "msg": "no such instrument", "data": []})
-    r = one(exchanges.read_exchange_trades(spark, "okx", str(tmp_path)))
+    r = one(exchanges.read_exchange_trades(spark, "okx", str(tmp_path), on_error="skip"))
     assert (r.symbol, r.id, r.price, r.isBuyerMaker) == ("BTC-USDT", 9, 100.5, False)
+    with pytest.raises(Exception, match="51001: no such instrument"):
+        exchanges.read_exchange_trades(spark, "okx", str(tmp_path)).collect()
+    with pytest.raises(ValueError):
+        exchanges.read_exchange_trades(spark, "okx", str(tmp_path), on_error="ignore")
+    (r,) = exchanges.read_rejects(spark, "okx", str(tmp_path)).collect()
+    assert (r.symbol, r.reason) == ("b", "51001: no such instrument")
+
+
+@pytest.mark.parametrize("name, body, reason", [
+    ("kraken", '{"error":["EQuery:Unknown asset pair"]}', "EQuery:Unknown asset pair"), ("kraken", "<html>", "unparsable"),
+    ("coinbase", '{"message":"NotFound"}', "unparsable"), ("okx", "", "unparsable"),
+])
+def test_spoilt_pages_are_named(spark, name, body, reason):
+    raw = spark.createDataFrame([("X", body)], "symbol string, body string")
+    assert [r.reason for r in exchanges.rejected_pages(raw, name).collect()] == [reason]
+
+
+def test_an_empty_range_is_an_error(spark, tmp_path):
+    from tidemark.sources import store
+
+    rows = spark.sql("SELECT 'Binance' AS exchange, 'X' AS symbol, 1L AS id, timestamp'2024-01-02 03:00:00' AS datetime, 1.0D AS price, 2.0D AS qty, "
+                     "2.0D AS quoteQty, true AS isBuyerMaker, date'2024-01-02' AS date")
+    path = str(tmp_path / "store")
+    store.write_trades(rows, path)
+    with pytest.raises(ValueError):
+        store.load_bars(spark, path, "1h", start="2024-02-01", end="2024-02-02")
+    assert store.load_bars(spark, path, "1h", start="2024-02-01", end="2024-02-02", required=False).count() == 0
+    bars, gaps = store.load_bars_and_gaps(spark, path, "1h", start="2024-01-01", end="2024-01-03")
+    assert bars.count() == 1 and [str(r.date) for r in gaps.orderBy("date").collect()] == ["2024-01-01", "2024-01-03"]
+    store.add_missing_days(rows.withColumn("price", rows.price * 2), path)  # the day is there and stays
+    assert store.read_trades(spark, path).first().price == 1.0
 
 
 def test_kraken(spark, tmp_path):
