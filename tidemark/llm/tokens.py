@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_path, written
 from .common import first_rows, named, one_text_per_digest
 
-CACHE_SCHEMA = "digest string, version string, n_tokens long"
+CACHE_SCHEMA = "digest binary, version string, n_tokens long"
 
 
 def tokenizer_version(path: str) -> str:
@@ -109,7 +109,7 @@ def count_tokens(
     own = named(docs, id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
     keyed = own.select(
         "id",
-        F.sha2(normalised(F.col("text"), drops_white_space), 256).alias("digest"),
+        F.unhex(F.sha2(normalised(F.col("text"), drops_white_space), 256)).alias("digest"),
         F.xxhash64("text").alias("mark"),
         F.octet_length("text").cast("long").alias("n_bytes"),
     )
@@ -117,7 +117,7 @@ def count_tokens(
     stored = read_cache(spark, cache_path).where(F.col("version") == version)
     wanted = first_rows(keyed).join(stored, "digest", "left_anti")
     # white space that changes no count needs no removing before the count
-    counted = one_text_per_digest(own, wanted).mapInArrow(_counter(tokenizer_path, drops_white_space), "digest string, n_tokens long")
+    counted = one_text_per_digest(own, wanted).mapInArrow(_counter(tokenizer_path, drops_white_space), "digest binary, n_tokens long")
     counted.select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache_path)
     # a row that a repeated id wrote twice, or that two runs added, counts once
     known = read_cache(spark, cache_path).where(F.col("version") == version)
