@@ -84,7 +84,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def text_slices(
-    column: pa.Array, budget: int = 1 << 20, rows: int = 1024
+    column: pa.Array, budget: int = 1 << 18, rows: int = 1024
 ) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """``(first row, row after the last, bytes, offsets)`` in slices of about ``budget`` bytes and at most ``rows`` texts.
 
