@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds and Smith-Waterman alignment over words.
+"""Benchmark decontamination: n-gram seeds and Smith-Waterman alignment over words.
 
-Every run of three words of a test item (case and ASCII punctuation do not count) is looked for in the
-training texts. Where some are found close to each other, the stretch of text around them is a candidate.
-Of each item's n-grams the rarest in the corpus are its seeds; a candidate without a seed is dropped. The
-others are aligned with the whole item: local alignment, words as letters, so that replaced, dropped and
-added words cost little. The score is the share of the best possible alignment score.
+Every run of three words of a test item (case and ASCII punctuation do not count) is a seed. A text that
+holds a seed, however common, is a candidate for the item. Its stretches that have enough of the item's
+words for the threshold (a bound that no alignment exceeds) are aligned with the whole item: local
+alignment, words as letters, so that replaced, dropped and added words cost little. The score is the share
+of the best possible alignment score. So every pair that shares a seed and reaches the threshold is found.
 
 The test items are taken in blocks of bounded size, each against all texts.
 
@@ -19,26 +19,20 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..session import written
 from .common import grams_of, named, small, text_slices, words_of
 
 SEED_WORDS = 3
-#: The share of an item's n-grams, rarest first, that are seeds.
-SEED_SHARE = 0.75
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Alignment score, as a share of a perfect one, from which a text counts as contaminated.
 THRESHOLD = 0.5
 #: Words of the items of one block: what a task holds of the benchmark at a time.
 BLOCK_WORDS = 500_000
 
-CANDIDATE = "id long, item int, grams array<int>, words binary"
-
 
 def words_in(texts: list[str | None]) -> list[np.ndarray]:
     """Word hashes of each text."""
@@ -50,35 +44,38 @@ def words_in(texts: list[str | None]) -> list[np.ndarray]:
 
 
 class Items:
-    """The items of a block and the n-grams that they consist of."""
+    """The items of a block, the n-grams that they consist of and how often they have each word."""
 
-    def __init__(self, words: list[np.ndarray]):
+    def __init__(self, words: list[np.ndarray], threshold: float):
         self.words = words
-        gram, item, place, size = [], [], [], []
+        gram, item, size = [], [], []
         for i, w in enumerate(words):
             k = min(SEED_WORDS, len(w))
             if k:
-                run, _ = grams_of(w, np.array([0, len(w)]), k)
+                run = np.unique(grams_of(w, np.array([0, len(w)]), k)[0])
                 gram.append(run)
                 item.append(np.full(len(run), i))
-                place.append(np.arange(len(run)))
-                size.append(np.full(len(run), k))
+                size.append(k)
         join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
-        gram, item, place, size = join(gram, np.uint64), join(item, np.int64), join(place, np.int64), join(size, np.int64)
-        order = np.lexsort((place, item, gram))
-        self.gram, self.item, self.place = gram[order], item[order], place[order]
-        self.sizes = sorted(set(size.tolist()))
-        self.number = np.concatenate([[0], np.cumsum(self.gram[1:] != self.gram[:-1])]) if len(gram) else gram.astype(np.int64)
-        self.length = np.array([len(w) for w in words])
-
-    def hits(self, word: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
-        """``(text, word, item, place in the item, gram)`` for every n-gram of the texts that an item has."""
+        gram, item = join(gram, np.uint64), join(item, np.int64)
+        order = np.lexsort((item, gram))
+        self.gram, self.item = gram[order], item[order]
+        self.sizes = sorted(set(size))
+        self.bag = [np.unique(w, return_counts=True) for w in words]
+        length = np.array([len(w) for w in words])
+        # the score that counts, the matches that it takes, and the words of text that an alignment of it spans at most
+        self.least = np.maximum(1, np.ceil(threshold * MATCH * length - 1e-9)).astype(np.int64)
+        self.matches = -(-self.least // MATCH)
+        self.span = length + np.maximum(0, MATCH * length - self.least) // min(-MISMATCH, -GAP)
+
+    def pairs(self, word: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(text, item)`` of every text and item that have an n-gram in common."""
         found = []
         count = np.diff(first)
         row = np.repeat(np.arange(len(count)), count)
         for size in self.sizes:
             m = len(word) - size + 1
-            if m <= 0 or not len(self.gram):
+            if m <= 0:
                 continue
             run, _ = grams_of(word, np.array([0, len(word)]), size)  # texts run on; cuts are left out below
             run = run[:m]
@@ -87,44 +84,38 @@ class Items:
             high = np.searchsorted(self.gram, run[at], "right")
             n = high - low[at]
             entry = np.repeat(low[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            found.append((np.repeat(at, n), entry))
-        if not found:
-            none = np.zeros(0, np.int64)
-            return none, none, none, none, none
-        at, entry = np.concatenate([a for a, _ in found]), np.concatenate([e for _, e in found])
-        return row[at], at - first[row[at]], self.item[entry], self.place[entry], self.number[entry]
-
-
-def _finder(block):
-    """Candidates: for every text and item, stretches of the text around n-grams of the item."""
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(block.value)
-        for batch in batches:
-            ids, item_of, grams, words = [], [], [], []
-            for at, to, data, offsets in text_slices(batch.column(1)):
-                word, _, _, first = words_of(data, offsets, marks=False)
-                row, pos, item, _, gram = items.hits(word, first)
-                order = np.lexsort((pos, item, row))
-                row, pos, item, gram = row[order], pos[order], item[order], gram[order]
-                if not len(row):
-                    continue
-                same = (row[1:] == row[:-1]) & (item[1:] == item[:-1]) & (pos[1:] - pos[:-1] <= 2 * items.length[item[1:]])
-                starts = np.flatnonzero(np.concatenate([[True], ~same]))
-                for s, e in zip(starts, np.append(starts[1:], len(row))):
-                    i, r, reach = int(item[s]), int(row[s]), int(items.length[item[s]])
-                    begin, end = first[r] + max(0, pos[s] - reach), min(first[r + 1], first[r] + pos[e - 1] + SEED_WORDS + reach)
-                    ids.append(at + r)
-                    item_of.append(i)
-                    grams.append(np.unique(gram[s:e]).astype(np.int32))
-                    words.append(word[begin:end].tobytes())
-            if ids:
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(ids)), pa.array(item_of, pa.int32()), pa.array(grams, pa.list_(pa.int32())), pa.array(words, pa.binary())],
-                    names=["id", "item", "grams", "words"],
-                )
-
-    return find
+            found.append(np.unique(np.repeat(row[at], n) * len(self.words) + self.item[entry]))
+        pair = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        return pair // max(1, len(self.words)), pair % max(1, len(self.words))
+
+    def stretches(self, item: int, text: np.ndarray) -> list[tuple[int, int]]:
+        """Stretches of the text that hold every alignment with the item of at least the threshold: those of ``span``
+        words with at least ``matches`` of the item's, each word as often as the item has it at most."""
+        bag, often = self.bag[item]
+        at = np.minimum(np.searchsorted(bag, text), len(bag) - 1)
+        pos = np.flatnonzero(bag[at] == text)
+        need, span = int(self.matches[item]), int(self.span[item])
+        if len(pos) < need:
+            return []
+        kind = at[pos]
+        order = np.argsort(kind, kind="stable")
+        pos, kind = pos[order], kind[order]
+        # a word counts in a stretch that does not have it as often as the item before this place
+        back = np.arange(len(pos)) - often[kind]
+        full = (back >= 0) & (kind[back] == kind)
+        since = np.maximum(pos - span + 1, np.where(full, pos[back] + 1, 0))
+        n = len(text)
+        change = np.bincount(np.maximum(since, 0), minlength=n + 1) - np.bincount(pos + 1, minlength=n + 1)
+        begin = np.flatnonzero(np.cumsum(change)[:n] >= need)
+        if not len(begin):
+            return []
+        new = np.flatnonzero(np.diff(begin) > span) + 1
+        return list(zip(begin[np.concatenate([[0], new])].tolist(), (begin[np.append(new, len(begin)) - 1] + span).tolist()))
+
+    def score(self, item: int, text: np.ndarray) -> float:
+        """Best score of the item in the text if it reaches the threshold, else 0."""
+        best = max((alignment(self.words[item], text[a:b]) for a, b in self.stretches(item, text)), default=0)
+        return best / (MATCH * len(self.words[item])) if best >= self.least[item] else 0.0
 
 
 def alignment(item: np.ndarray, text: np.ndarray) -> int:
@@ -142,16 +133,28 @@ def alignment(item: np.ndarray, text: np.ndarray) -> int:
     return best
 
 
-def _aligner(block):
-    def align(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        items = block.value
-        for f in frames:
-            scores = [
-                alignment(items[i], np.frombuffer(w, np.uint64)) / (MATCH * len(items[i])) for i, w in zip(f["item"], f["words"])
-            ]
-            yield pd.DataFrame({"id": f["id"], "item": f["item"], "score": scores})
+def _finder(block, threshold: float):
+    """Scores of the texts and items of a block that reach the threshold."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = Items(block.value, threshold)
+        for batch in batches:
+            ids, item_of, scores = [], [], []
+            for at, to, data, offsets in text_slices(batch.column(1)):
+                word, _, _, first = words_of(data, offsets, marks=False)
+                for r, i in zip(*(x.tolist() for x in items.pairs(word, first))):
+                    score = items.score(i, word[first[r] : first[r + 1]])
+                    if score:
+                        ids.append(at + r)
+                        item_of.append(i)
+                        scores.append(score)
+            if ids:
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(ids)), pa.array(item_of, pa.int32()), pa.array(scores, pa.float64())],
+                    names=["id", "item", "score"],
+                )
 
-    return align
+    return find
 
 
 def _blocks(items: DataFrame) -> Iterator[tuple[list, list[np.ndarray]]]:
@@ -169,27 +172,6 @@ def _blocks(items: DataFrame) -> Iterator[tuple[list, list[np.ndarray]]]:
         yield ids, words
 
 
-def _matches(docs: DataFrame, words: list[np.ndarray]) -> DataFrame:
-    """``(id, item, score)`` of the texts that hold items of one block."""
-    block = docs.sparkSession.sparkContext.broadcast(words)
-    found = written(docs.mapInArrow(_finder(block), CANDIDATE), "contamination")
-    often = found.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("often"))
-    # an item's n-grams by how often the corpus has them: a table of the block's size
-    known = Items(words)
-    pairs = docs.sparkSession.createDataFrame(
-        pd.DataFrame({"item": known.item.astype(np.int32), "gram": known.number.astype(np.int32)}), "item int, gram int"
-    ).distinct()
-    ranked = pairs.join(often, "gram", "left").withColumns(
-        {
-            "rank": F.row_number().over(Window.partitionBy("item").orderBy(F.coalesce("often", F.lit(0)), "gram")),
-            "of": F.count("*").over(Window.partitionBy("item")),
-        }
-    )
-    seeds = ranked.where(F.col("rank") <= F.ceil(F.col("of") * SEED_SHARE)).groupBy("item").agg(F.collect_set("gram").alias("seeds"))
-    seeded = found.join(written(seeds, "seeds"), "item").where(F.arrays_overlap("grams", "seeds"))
-    return seeded.select("id", "item", "words").mapInPandas(_aligner(block), "id long, item int, score double")
-
-
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
     id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
@@ -200,7 +182,8 @@ def contaminated(
     items = named(benchmark, item=item_col, text=item_text_col)
     parts = []
     for ids, words in _blocks(items):
-        hits = _matches(own, words).where(F.col("score") >= threshold)
+        block = spark.sparkContext.broadcast(words)
+        hits = own.mapInArrow(_finder(block, threshold), "id long, item int, score double").where(F.col("score") >= threshold)
         hits = written(hits.groupBy("id", "item").agg(F.max("score").alias("score")), "contaminated")
         names = spark.createDataFrame(list(enumerate(ids)), "item int, item_name long")
         parts.append(hits.join(F.broadcast(names), "item").select(F.col("id").alias(id_col), F.col("item_name").alias(item_col), "score"))
