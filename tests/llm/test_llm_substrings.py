@@ -79,6 +79,40 @@ def test_passage_within_other_texts(spark):
     assert all(got[i] == f"Own beginning {i} here. Own end {i}." for i in range(1, 5))
 
 
+@pytest.mark.parametrize("mean", [8, 15, 30, 1000])
+def test_passage_in_the_middle_of_a_sentence(spark, tmp_path, mean):
+    """60 words of an earlier document go wherever they begin, but for a few at their ends; other words stay."""
+    r = random.Random(mean)
+    number = iter(range(10**6))
+
+    def say(n):
+        return [f"w{next(number)}" + "." * (r.random() < 1 / mean) for _ in range(n)]
+
+    rows, planted = [], []
+    for i in range(0, 200, 2):
+        first, other = say(160), say(100)
+        passage = first[(at := r.randint(5, 95)) : at + 60]
+        rows += [(i, " ".join(first)), (i + 1, " ".join(other[: (to := r.randint(5, 95))] + passage + other[to:]))]
+        planted.append((i + 1, passage, other))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x["doc_id"]: x["text"] for x in substrings.op2_substring_dedup(spark, str(tmp_path)).collect()}
+    assert all(got[i] == t for i, t in rows[::2])
+    left = []
+    for i, passage, other in planted:
+        words = got[i].split()
+        assert [w for w in words if w not in set(passage)] == other
+        left.append(sum(w in set(passage) for w in words))
+    assert max(left) < 40 and sum(left) / len(left) < 15, left
+
+
+def test_cuts_by_content_of_repeating_words(spark):
+    """Words of a short period are cut alike from any place on, and the pieces are whole."""
+    rows = [(1, "x " + "a b " * 60), (2, "x y z " + "b a " * 60), (3, "c " * 90), (4, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in substrings.without_repeats(docs, by_content=True).collect()}
+    assert got[2].startswith("x y z ") and len(got[2].split()) < 25 and got[4] is None and got[5] == ""
+
+
 def test_odd_rows(spark):
     schema = "doc_id long, text string"
     assert substrings.without_repeats(spark.createDataFrame([], schema)).collect() == []
