@@ -57,6 +57,16 @@ def test_odd_markup():
     assert one("&lt;p&gt; &bogus; &#128512;") == "<p> &bogus; \U0001f600"
 
 
+def test_hidden_is_an_attribute():
+    """Only an attribute named hidden or a style without display hides; the word in a class or style does not."""
+    one = lambda x: pages.text_at(pages.blocks_of(x), None)
+    for shown in ('style="overflow:hidden"', 'class="content overflow-hidden"', "data-state='hidden'", 'aria-hidden="false"', "title='is hidden here'"):
+        assert one(f"<article {shown}><p>text</p></article>") == "text", shown
+        assert one(f"<div {shown}><p>text</p></div>") == "text", shown
+    for unseen in ("hidden", 'hidden=""', 'class="a" hidden', "HIDDEN class=a", 'style="color:red; display : none"', "style=display:none"):
+        assert one(f"<article>x<section {unseen}><p>text</p></section></article>") == "x", unseen
+
+
 @pytest.mark.parametrize("folder", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
 def test_sample_pages(spark, folder):
     import os

@@ -57,6 +57,17 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 SPACES = re.compile(r"\s+")
+ANY_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+
+
+def hidden(rest: str) -> bool:
+    """Whether attributes hide their element: one named ``hidden``, or a style without display. The word in other values does not."""
+    low = rest.lower()
+    if "hidden" not in low and "none" not in low:
+        return False
+    found = ANY_ATTRIBUTE.findall(low)
+    return any(name == "hidden" or (name == "style" and UNSEEN.search(value)) for name, value in found)
 
 
 class Node:
@@ -133,7 +144,7 @@ def blocks_of(page: str) -> list[tuple[Node, str]]:
         holder = stack[-1][1]
         marks = {a.lower(): x or y or z for a, x, y, z in ATTRIBUTE.findall(m["rest"])} if "=" in m["rest"] else {}
         name = " ".join(marks.get(a, "") for a in ("class", "id", "role")).strip()
-        aside = tag in DROPPED or (tag not in KEPT and name != "" and ASIDE.search(name) is not None) or bool(re.search(r"\bhidden\b(?!\s*=)", m["rest"]))
+        aside = tag in DROPPED or (tag not in KEPT and name != "" and ASIDE.search(name) is not None) or hidden(m["rest"])
         if tag in CONTAINERS or aside:
             kind = ".".join([tag, *sorted(re.sub(r"\d+", "N", c) for c in marks.get("class", "").lower().split())])
             holder = Node(tag, f"{holder.path}/{kind}", holder, holder.out or aside)
