@@ -67,6 +67,20 @@ def test_hidden_is_an_attribute():
         assert one(f"<article>x<section {unseen}><p>text</p></section></article>") == "x", unseen
 
 
+def test_article_in_sibling_containers(spark):
+    """A headline and parts beside the longest container belong to the article; links and what all pages have alike do not."""
+    inner = '<div class="post"><h1><a href="/">Title %d</a></h1><div class="intro"><p>%s</p></div><div class="text"><p>%s</p></div></div>'
+    intro, body = "intro %d words " * 20, "body %d words " * 100
+    post = lambda i: inner % (i, (intro % ((i,) * 20)).strip(), (body % ((i,) * 100)).strip())
+    want = lambda i: "\n".join([f"Title {i}", (intro % ((i,) * 20)).strip(), (body % ((i,) * 100)).strip()])
+    linked = "<body><div class=w-1/2>%s<div class=x><p><a href=/1>one</a> <a href=/2>other</a></p></div></div></body>"
+    alike = "<body><div class=wrap>%s<div class=x><p>The same words below every page.</p></div></div></body>"
+    rows = [(i, "http://a.example/", linked % post(i)) for i in range(5)] + [(10 + i, "http://b.example/", alike % post(10 + i)) for i in range(5)]
+    rows += [(20, "http://c.example/", linked % post(20))]
+    got = {r["page_id"]: r["text"] for r in pages.main_texts(frame(spark, rows)).collect()}
+    assert got == {r[0]: want(r[0]) for r in rows}
+
+
 @pytest.mark.parametrize("folder", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
 def test_sample_pages(spark, folder):
     import os

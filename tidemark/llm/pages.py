@@ -4,7 +4,9 @@ Every page's containers are scored by the paragraph text that they hold. Contain
 path of tags and classes from the body down, with numbers generalised, and each page votes for the paths
 of its containers with their shares of its text; Spark adds up the votes by host. The path with most
 votes of its host then tells where the text of each of its pages is; a page without such a container
-falls back on its own best one.
+falls back on its own best one. Outside article and main, the path is widened to its parent, short of the
+body, while by the votes of the host's pages the parent only adds article text (a headline or parts in
+sibling containers): no text of links, and not the same text on every page.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left
 out by their tags and by the words of their class, id and role.
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -48,6 +51,7 @@ ASIDE = re.compile(
 )
 #: Boxes of these tags are whole articles or pages: a word in their class does not make them an aside.
 KEPT = frozenset(("html", "body", "article", "main"))
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
@@ -77,35 +81,45 @@ class Node:
         self.tag, self.path, self.parent, self.out, self.own = tag, path, parent, out, 0.0
 
 
-def blocks_of(page: str) -> list[tuple[Node, str]]:
+class Block(str):
+    """Text of a block; ``linked`` if half of it or more is text of links outside a heading."""
+
+    linked = False
+
+
+def blocks_of(page: str) -> list[tuple[Node, Block]]:
     """The blocks of text of a page in order, each with the innermost container that holds it; those that are no
     article text are left out. One pass over the page; tags that are not closed end with what closes around them."""
     out: list[tuple[Node, str]] = []
     top = Node("html", "", None, False)
     body = Node("body", "body", top, False)
     # open elements: tag, container that they belong to, and for an aside within a line (an advert in a span)
-    # where its text begins
-    stack: list[tuple[str, Node, int | None]] = [("body", body, None)]
+    # where its text begins; and whether its text is a link's (1) or a heading's (2)
+    stack: list[tuple[str, Node, int | None, int]] = [("body", body, None, 0)]
     text: list[str] = []
+    links: list[bool] = []
 
     def flush() -> None:
         if text:
             holder = stack[-1][1]
-            for k, (_, _, mark) in enumerate(stack):
+            for k, (_, _, mark, kind) in enumerate(stack):
                 if mark is not None:
                     holder = stack[k - 1][1]
-                    del text[mark:]
-                    stack[k] = (*stack[k][:2], 0)
+                    del text[mark:], links[mark:]
+                    stack[k] = (*stack[k][:2], 0, kind)
                     break
-            joined = SPACES.sub(" ", entities.unescape("".join(text))).strip(" ")
+            joined = Block(SPACES.sub(" ", entities.unescape("".join(text))).strip(" "))
             if joined and not holder.out:
+                joined.linked = 2 * sum(len(t.strip()) for t, link in zip(text, links) if link) >= sum(len(t.strip()) for t in text) > 0
                 out.append((holder, joined))
             text.clear()
+            links.clear()
 
     at = 0
     for m in TOKEN.finditer(page):
         if m.start() > at:
             text.append(page[at : m.start()])
+            links.append(stack[-1][3] == 1)
         at = m.end()
         tag = m["tag"]
         if tag is None:
@@ -120,9 +134,9 @@ def blocks_of(page: str) -> list[tuple[Node, str]]:
                 continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
-                    for _, _, mark in stack[k:]:
+                    for _, _, mark, _ in stack[k:]:
                         if mark is not None:
-                            del text[mark:]
+                            del text[mark:], links[mark:]
                             break
                     del stack[k:]
                     break
@@ -139,6 +153,7 @@ def blocks_of(page: str) -> list[tuple[Node, str]]:
                     break
         elif tag == "br":
             text.append(" ")
+            links.append(False)
         if tag in VOID or m["rest"].endswith("/"):
             continue
         holder = stack[-1][1]
@@ -146,11 +161,13 @@ def blocks_of(page: str) -> list[tuple[Node, str]]:
         name = " ".join(marks.get(a, "") for a in ("class", "id", "role")).strip()
         aside = tag in DROPPED or (tag not in KEPT and name != "" and ASIDE.search(name) is not None) or hidden(m["rest"])
         if tag in CONTAINERS or aside:
-            kind = ".".join([tag, *sorted(re.sub(r"\d+", "N", c) for c in marks.get("class", "").lower().split())])
+            kind = ".".join([tag, *sorted(re.sub(r"\d+", "N", c) for c in marks.get("class", "").lower().replace("/", "|").split())])
             holder = Node(tag, f"{holder.path}/{kind}", holder, holder.out or aside)
-        stack.append((tag, holder, len(text) if aside and tag not in BLOCKS else None))
+        kind = 2 if tag in HEADINGS else stack[-1][3] or int(tag == "a")
+        stack.append((tag, holder, len(text) if aside and tag not in BLOCKS else None, kind))
     if at < len(page):
         text.append(page[at:])
+        links.append(stack[-1][3] == 1)
     flush()
     return out
 
@@ -172,6 +189,31 @@ def scores_of(blocks: list[tuple[Node, str]]) -> dict[str, float]:
     return score
 
 
+def parts_of(blocks: list[tuple[Node, Block]]) -> dict[str, list[int]]:
+    """``[blocks, blocks of links, sum of their texts' checksums]`` by path of the containers that hold them."""
+    parts: dict[str, list[int]] = {}
+    for node, text in blocks:
+        check = zlib.crc32(text.encode("utf-8", "surrogatepass"))
+        while node is not None and node.path:
+            own = parts.setdefault(node.path, [0, 0, 0])
+            own[0] += 1
+            own[1] += text.linked
+            own[2] += check
+            node = node.parent
+    return parts
+
+
+def parent_of(path: str) -> str:
+    return path.rpartition("/")[0]
+
+
+def widened(path: str | None, wider: list[str] | None) -> str | None:
+    """The path, or the highest of its parents up to which every path is in ``wider``."""
+    while path and wider and path in wider:
+        path = parent_of(path)
+    return path
+
+
 def text_at(blocks: list[tuple[Node, str]], path: str | None) -> str:
     """Text of the containers at ``path``; of the best container where there are none."""
 
@@ -190,21 +232,40 @@ def text_at(blocks: list[tuple[Node, str]], path: str | None) -> str:
     return "\n".join(chosen)
 
 
+VOTES = "host string, path string, votes double, wider long, added_low long, added_high long, own_low long, own_high long"
+
+
 def _vote(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Votes by host and path: for the path itself, and for its parent in its place (a page against it where the parent
+    adds links); with the least and greatest checksums of what the parent adds and of the path's own text."""
     for f in frames:
-        total: dict[tuple[str, str], float] = {}
+        total: dict[tuple[str, str], list] = {}
         for host, page in zip(f["host"], f["html"]):
-            score = scores_of(blocks_of(page))
+            blocks = blocks_of(page)
+            score, parts = scores_of(blocks), parts_of(blocks)
             whole = max(score.values(), default=0.0)
             for path, s in score.items():
-                total[host, path] = total.get((host, path), 0.0) + round(s / whole, 6)
-        yield pd.DataFrame([(h, p, v) for (h, p), v in total.items()], columns=["host", "path", "votes"])
+                row = total.setdefault((host, path), [0.0, 0, None, None, None, None])
+                row[0] += round(s / whole, 6)
+                up = parent_of(path)
+                if up in ("", "body") or path[len(up) + 1 :].split(".")[0] in KEPT:
+                    continue
+                added, links, check = (x - y for x, y in zip(parts[up], parts[path]))
+                if added:
+                    row[1] += -1 if links else 1
+                    for k, c in ((2, check), (4, parts[path][2])):
+                        row[k] = c if row[k] is None else min(row[k], c)
+                        row[k + 1] = c if row[k + 1] is None else max(row[k + 1], c)
+        columns = [x.split()[0] for x in VOTES.split(", ")]
+        rows = pd.DataFrame([(h, p, *v) for (h, p), v in total.items()], columns=columns)
+        yield rows.astype({c: "Int64" for c in columns[3:]})
 
 
 def _extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
-        text = [text_at(blocks_of(page), path) for page, path in zip(f["html"], f["path"])]
-        yield pd.DataFrame({"id": f["id"], "url": f["url"], "text": text})
+        paths = [widened(p, None if w is None else list(w)) for p, w in zip(f["path"], f["wider"])]
+        text = [text_at(blocks_of(page), path) for page, path in zip(f["html"], paths)]
+        yield pd.DataFrame({"id": f["id"], "url": f["url"], "text": [str(t) for t in text]})
 
 
 def host_of(url: Column) -> Column:
@@ -215,10 +276,19 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """``(id, url, text, n_chars)`` per row of ``pages``."""
     own = named(pages, id=id_col, url=url_col, html=html_col)
     own = own.withColumns({"host": host_of(F.col("url")), "html": F.coalesce("html", F.lit(""))})
-    votes = own.select("host", "html").mapInPandas(_vote, "host string, path string, votes double")
-    votes = votes.groupBy("host", "path").agg(F.round(F.sum("votes"), 3).alias("votes"))
-    paths = written(votes.groupBy("host").agg(F.max(F.struct("votes", "path"))["path"].alias("path")), "host-paths")
-    located = own.join(small(paths), "host", "left").select("id", "url", "html", "path")
+    votes = own.select("host", "html").mapInPandas(_vote, VOTES)
+    votes = votes.groupBy("host", "path").agg(
+        F.round(F.sum("votes"), 3).alias("votes"), F.sum("wider").alias("wider"),
+        *[F.min(f"{x}_low").alias(f"{x}_low") for x in ("added", "own")], *[F.max(f"{x}_high").alias(f"{x}_high") for x in ("added", "own")],
+    )
+    votes = written(votes, "path-votes")
+    best = written(votes.groupBy("host").agg(F.max(F.struct("votes", "path"))["path"].alias("best")), "host-paths")
+    # what every page of a host adds alike is no article text, unless the pages are copies
+    varied = (F.col("added_low") < F.col("added_high")) | (F.col("own_low") == F.col("own_high"))
+    above = F.startswith(F.concat("best", F.lit("/")), F.concat("path", F.lit("/")))
+    wider = votes.where((F.col("wider") > 0) & varied).join(small(best), "host").where(above).groupBy("host").agg(F.collect_set("path").alias("wider"))
+    paths = written(best.withColumnRenamed("best", "path").join(wider, "host", "left"), "host-text")
+    located = own.join(small(paths), "host", "left").select("id", "url", "html", "path", "wider")
     kinds = dict(own.dtypes)
     out = located.mapInPandas(_extract, f"id {kinds['id']}, url {kinds['url']}, text string")
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))
