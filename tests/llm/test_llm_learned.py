@@ -62,6 +62,18 @@ def test_quality_without_both_labels(spark):
     assert quality.quality_scores(docs.where("doc_id < 0"), ones).collect() == []
 
 
+def test_training_rows_of_a_shared_id(spark, monkeypatch):
+    """However many rows share a labelled id, one text of it is collected, the same whatever the order of rows."""
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda found: seen.append(found))
+    rows = [(1, f"text number {i}") for i in range(400)] + [(i, f"word{i} other") for i in range(2, 12)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 12)], "id long, label int")
+    for shuffled in (rows, rows[::-1]):
+        quality.train(spark.createDataFrame(shuffled, "id long, text string").repartition(4), labels)
+    assert [len(x) for x in seen] == [11, 11]
+    assert all(y == z and (i == j).all() for (y, i, _), (z, j, _) in zip(*seen))
+
+
 # --- decontamination ---------------------------------------------------------
 
 

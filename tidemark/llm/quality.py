@@ -104,7 +104,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[n
     """Fit on at most ``rows`` labelled documents: ``docs (id, text)``, ``labels (id, label)``."""
     sample = labels.where("id IS NOT NULL AND label IS NOT NULL").groupBy("id").agg(F.max("label").cast("int").alias("label"))
     sample = sample.orderBy(F.xxhash64("id"), "id").limit(rows)
-    texts = docs.join(F.broadcast(sample), "id").select("label", "text")  # `rows` rows of two numbers
+    texts = docs.join(F.broadcast(sample), "id")  # `rows` rows of two numbers
+    # one text per id, combined before the shuffle: however many rows share an id, `rows` are collected
+    one = F.min(F.struct(F.xxhash64("text").alias("mark"), "text"))["text"].alias("text")
+    texts = texts.groupBy("id", "label").agg(one).select("label", "text")
     found = texts.mapInArrow(_counted, "label int, ids binary, share binary").toPandas()
     found = sorted(zip(found["label"], found["ids"], found["share"]), key=lambda r: (r[0], r[1]))
     return fit([(int(y), np.frombuffer(i, np.int32), np.frombuffer(s, np.float32)) for y, i, s in found])
