@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from .decontaminate import op7_decontamination
 from .fingerprints import op3_fingerprints
+from .middle import OP12_SQL, op12_fill_in_middle
 from .mixing import op10_mix
 from .neardup import op6_jaccard_join
+from .packing import op11_packing
 from .pages import op8_main_text
+from .periods import op13_periodic_runs
 from .pii import op5_personal_data
 from .quality import op9_quality
 from .secrets import op4_secret_scan
@@ -24,5 +27,8 @@ QUERIES = {
     "op8_main_text": op8_main_text,
     "op9_quality": op9_quality,
     "op10_mix": op10_mix,
+    "op11_packing": op11_packing,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_periodic_runs": op13_periodic_runs,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op12_fill_in_middle": OP12_SQL}
