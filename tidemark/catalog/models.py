@@ -160,55 +160,6 @@ def subset_search(spark, sf):
     return figures(out, "symbol", "model_id", "features", "w1", "w2", "w3", "bias")
 
 
-def _robust(spark, sf, loss):
-    """Each fit's size, the loss it started from, whether it came down, and what is left of the gradient."""
-    rows = written(features.drop_null_rows(study_features(spark, sf).select("symbol", "datetime", TARGET, *LAGS)), "study-rows")
-    fitted = regression.fit_linear(rows, LAGS, TARGET, loss=loss)
-    start = regression.fit_linear(rows, LAGS, TARGET)
-    losses = regression.mean_loss(rows, fitted, LAGS, TARGET, ["symbol"], loss)
-    begun = regression.mean_loss(rows, start, LAGS, TARGET, ["symbol"], loss).withColumnRenamed("loss", "start_loss")
-    out = fitted.join(losses, ["symbol", "model_id"]).join(begun, ["symbol", "model_id"])
-    return out.select(
-        "symbol", r6("n_train").alias("n_train"), r6("start_loss").alias("start_loss"),
-        (F.col("loss") <= F.col("start_loss") * (1 + 1e-9)).alias("improved"), r6("optimality").alias("optimality"), "converged",
-    )
-
-
-def _robust_sql(loss: str) -> str:
-    everywhere = SUMS.replace("marked WHERE is_train", "study")
-    ar3 = AR3.replace(SUMS, everywhere)
-    off = f"abs({TARGET} - ({LAGS[0]}*w1 + {LAGS[1]}*w2 + {LAGS[2]}*w3 + bias))"
-    value = {"l1": "off", "huber": "CASE WHEN off <= 1 THEN off * off / 2 ELSE off - 0.5e0 END"}[loss]
-    return f"""WITH {rows_sql()}, {ar3}, r AS (SELECT symbol, {off} AS off FROM study JOIN ar3 USING (symbol))
-    SELECT symbol, {R('count(*)', 'n_train')}, {R(f'avg({value})', 'start_loss')}, true AS improved, 0e0 AS optimality, true AS converged
-    FROM r GROUP BY symbol"""
-
-
-@query("fit_l1", _robust_sql("l1"))
-def fit_l1(spark, sf):
-    """Least absolute error."""
-    return _robust(spark, sf, "l1")
-
-
-@query("fit_huber", _robust_sql("huber"))
-def fit_huber(spark, sf):
-    return _robust(spark, sf, "huber")
-
-
-@query(
-    "logreg_fit",
-    f"""WITH {rows_sql()}, {NUMBERED} SELECT symbol, {R('count(*)', 'n_train')}, 0e0 AS optimality, true AS converged
-    FROM marked WHERE is_train GROUP BY symbol""",
-)
-def logreg_fit(spark, sf):
-    """Logistic regression per symbol on standardised lags."""
-    rows = features.add_direction_target(features.drop_null_rows(study_features(spark, sf)), TARGET)
-    rows = features.standardise(split.with_split(rows), LAGS)
-    names = [f"{c}_scaled" for c in LAGS]
-    fitted = regression.fit_linear(rows.where("is_train"), names, f"{TARGET}_dir", loss="logistic")
-    return fitted.select("symbol", r6("n_train").alias("n_train"), r6("optimality").alias("optimality"), "converged")
-
-
 @query(
     "mixed_scale_fit",
     f"""WITH {rows_sql()}, scaled AS (SELECT symbol, {TARGET}, {LAGS[0]} AS x1, 1e7 * {LAGS[1]} + 5e4 AS x2 FROM study),
@@ -289,13 +240,6 @@ def cv_compare(spark, sf):
     return rounded(out, "symbol", "method", "mean_ev", "std_ev")
 
 
-@query("cv_huber")
-def cv_huber(spark, sf):
-    """Rolling folds with the Huber loss and all three lags."""
-    out = crossval.rolling_cv(_cv_rows(spark, sf), LAGS, TARGET, SIZE, FOLDS, loss="huber")
-    return rounded(out, "symbol", "window_no", "ev", digits=4)
-
-
 @query(
     "walk_forward",
     f"""WITH {CV}, long AS (SELECT symbol, row_no, n_rows, y, model_id, CASE model_id WHEN 0 THEN x1 WHEN 1 THEN x2 ELSE x3 END AS x,
@@ -329,9 +273,3 @@ TRUE_CLOSE = LEARNED.replace("avg(price) AS close", "arg_max(price, (datetime, i
 def flagship(spark, sf):
     """Trades -> 12h bars -> lags -> AR(3) per symbol -> out-of-sample trades -> figures."""
     return figures(research.ar_study(event_trades(spark, sf), "12h", 3), "symbol", "features", "target")
-
-
-@query("flagship_l1")
-def flagship_l1(spark, sf):
-    """The same study with the least-absolute-error loss."""
-    return figures(research.ar_study(event_trades(spark, sf), "12h", 3, loss="l1"), "symbol", "features", "target")

@@ -1,9 +1,9 @@
 """Cross-validation over time: rolling, expanding, split ratios, walk-forward.
 
-For squared error no fold copies its training rows: block moments are summed
+No fold copies its training rows. For squared error block moments are summed
 once, a rolling fold uses one block's row, and an expanding fold or a split
-ratio uses a running total over the blocks. Robust losses weigh rows per fold,
-so there (and only there) each fold reads its own rows.
+ratio uses a running total over the blocks. Robust losses weigh rows per fold:
+a row answers for all the folds that it trains, in one pass a step.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from ..operators.features import drop_null_rows
 from ..operators.ordered import BARS, Timeline, with_position
 from ..operators.split import with_fold_block
 from ..session import written
-from .regression import Weighting, cumulative_moments, fit_linear, moment_names, moments, score, solve
+from .regression import Folds, Weighting, cumulative_moments, fit_linear, moment_names, moments, score, solve
 
 
 def _rows(df: DataFrame, features: Sequence[str], target: str, line: Timeline) -> DataFrame:
@@ -33,12 +33,13 @@ def expected_return(tested: DataFrame, target: str, by: Sequence[str]) -> DataFr
 
 def _evaluate(
     test: DataFrame, train: DataFrame | None, fold_sums: DataFrame | None, features: Sequence[str], target: str,
-    by: list[str], loss: str | Weighting,
+    by: list[str], loss: str | Weighting, folds: Folds | None = None,
 ) -> DataFrame:
     if loss == "mse":
         models = written(solve(fold_sums, list(features), [tuple(features)], by), "models")
     else:
-        models = fit_linear(train, list(features), target, by, loss=loss)
+        own = [k for k in by if folds is None or k != folds.name]
+        models = fit_linear(train, list(features), target, own, loss=loss, folds=folds)
     return expected_return(score(test, models, features, by), target, by)
 
 
@@ -74,10 +75,9 @@ def expanding_cv(
         sums = cumulative_moments(sums, len(features), keys, "fold_block")
         sums = sums.withColumn("iteration_no", F.col("fold_block") + 1)
         return _evaluate(test, None, sums, features, target, by, loss)
-    into = F.sequence(F.col("fold_block") + 1, F.lit(folds).cast("long"))
-    train = rows.where(F.col("fold_block") < folds).withColumn("iteration_no", F.explode(into))
-    train = train.where((F.col("iteration_no") + 1) * F.lit(size) <= F.col("n_rows"))
-    return _evaluate(test, train, None, features, target, by, loss)
+    numbers = list(range(1, folds + 1))
+    train = rows.where(F.col("fold_block") < folds)
+    return _evaluate(test, train, None, features, target, by, loss, Folds("iteration_no", "fold_block", numbers, numbers))
 
 
 def ratio_cv(
@@ -103,9 +103,8 @@ def ratio_cv(
         sums = cumulative_moments(sums, len(features), keys, "_passed")
         sums = sums.withColumn("train_size", F.get(sizes, F.col("_passed")))
         return _evaluate(test, None, sums, features, target, by, loss)
-    later = F.slice(sizes, F.col("_passed") + 1, F.lit(len(ratios)))
-    train = rows.where(F.col("_passed") < len(ratios)).withColumn("train_size", F.explode(later))
-    return _evaluate(test, train, None, features, target, by, loss)
+    train = rows.where(F.col("_passed") < len(ratios))
+    return _evaluate(test, train, None, features, target, by, loss, Folds("train_size", "_passed", ratios, [i + 1 for i in range(len(ratios))]))
 
 
 def compare_methods(results: dict[str, DataFrame], keys: Sequence[str] = ("symbol",)) -> DataFrame:
@@ -150,8 +149,3 @@ def walk_forward(
     return score(test, refit, pool, by).groupBy(*by, "model_id", "features").agg(
         F.avg(direction("y_hat") * F.col(target)).alias("ev")
     )
-
-
-def edge(returns: str | Column) -> Column:
-    """A statistical edge: a positive mean trade return."""
-    return F.avg(returns) > 0

@@ -11,7 +11,7 @@ from the last fit. Models are tables: ``weights`` (one per feature of the pool,
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from functools import reduce
+from dataclasses import dataclass
 from itertools import combinations, combinations_with_replacement
 
 import numpy as np
@@ -20,8 +20,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.maths import as_col, no_nulls, sigmoid
+from ..functions.maths import as_col, no_nulls
 from ..session import written
+from .robust import fit_robust
 
 # What an own loss asks of a fit: (prediction, target, scale, step) -> (row weight,
 # working target). ``scale`` is the residual RMS of the squared-error start.
@@ -29,21 +30,17 @@ Weighting = Callable[[Column, Column, Column, int], tuple[Column, Column]]
 
 #: Named losses that are minimised step by step.
 LOSSES = ("huber", "l1", "logistic")
-HUBER_DELTA = 1.0
-#: A fit has converged when its mean gradient is this small, in units in which a row counts at most about 1.
-OPTIMAL = 1e-8
-#: Least absolute error is the limit of Huber losses: their width starts at a share of the start's residual
-#: deviation and shrinks, each time once the gradient is small, to a width that no figure shows.
-WIDTH, SHRINK, LEAST_WIDTH, NEARLY = 0.3, 0.01, 1e-8, 1e-2
-#: Curvature that rows beyond the width keep, as a share of what a majorising parabola has.
-BEYOND = 0.01
-#: Steps along the Newton direction, of which the one with the least loss is taken.
-REACHES = (2.0, *(0.5**k for k in range(13)))
-#: Groups of at most this many rows are fitted where their rows meet; the rows of larger ones stay where they
-#: are and every step is an aggregation. Both take the same steps to the same optimum.
-GROUP_ROWS = 50_000
-#: Steps after which a fit is given up and marked as not converged (separable classes have no optimum).
-GIVE_UP = 500
+
+
+@dataclass(frozen=True)
+class Folds:
+    """Several training sets in one group: fold ``labels[k]`` trains on the rows whose ``segment`` is below ``cuts[k]``.
+    The coefficient table has the label as column ``name``."""
+
+    name: str
+    segment: str
+    labels: Sequence
+    cuts: Sequence[int]
 
 
 def feature_subsets(pool: Sequence[str], largest: int) -> list[tuple[str, ...]]:
@@ -185,252 +182,46 @@ def fit_linear(
     loss: str | Weighting = "mse",
     iterations: int | None = None,
     tolerance: float = 1e-6,
+    folds: Folds | None = None,
 ) -> DataFrame:
-    """Fit every subset for every group. ``loss``: mse, huber, l1, logistic, or a weighting rule.
+    """Fit every subset for every group (and fold). ``loss``: mse, huber, l1, logistic, or a weighting rule.
 
-    ``mse`` is one aggregation and stays lazy. The named others start from it and
-    go on until the gradient says that the optimum is reached; they add
-    ``steps``, ``optimality`` (the mean gradient that is left) and ``converged``.
-    A weighting rule of your own is refitted until no coefficient moves by more
-    than ``tolerance`` (or ``iterations``, 25 by default, is reached).
+    ``mse`` is one aggregation and stays lazy. The named others start from it and go on to the optimum; they add
+    ``steps``, ``optimality`` (what is left of the condition for one) and ``converged``, which is false where there
+    is none, as for classes that a line separates. A weighting rule of your own is refitted until no coefficient
+    moves by more than ``tolerance`` or ``iterations`` (25 by default) are reached; ``steps``, ``optimality`` (the
+    last move) and ``converged`` tell which.
     """
     subsets = [tuple(s) for s in (subsets or [tuple(features)])]
     by, features = list(by), list(features)
-    if loss == "mse":
+    if loss == "mse" and folds is None:
         return solve(moments(df, features, target, by), features, subsets, by)
     if isinstance(loss, str) and loss not in LOSSES:
-        raise ValueError(f"loss must be mse, {', '.join(LOSSES)} or a rule, not {loss!r}")
-    rows = written(
-        df.select(*by, *features, F.col(target).cast("double").alias("_target")).where(no_nulls([*features, "_target"])),
-        "fit-rows",
-    )
-    if not isinstance(loss, str):
-        return _reweighted(rows, features, by, subsets, loss, iterations or 25, tolerance)
-    sizes = written(_group_sizes(rows, features, by), "fit-groups")
-    small = rows.join(sizes.where(F.col("_n") <= GROUP_ROWS), by)
-    fitted = [_fit_groups(small, features, by, subsets, loss)]
-    large = sizes.where(F.col("_n") > GROUP_ROWS)
-    if large.limit(1).count():
-        fitted.append(_fit_distributed(rows.join(large, by), features, by, subsets, loss))
-    return written(reduce(DataFrame.unionByName, fitted), "fitted")
-
-
-def _group_sizes(rows: DataFrame, features: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """Rows, means and deviations of each group; a constant feature has deviation 0."""
-    return rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.array(*[F.avg(F.col(f).cast("double")) for f in features]).alias("_mean"),
-        F.array(*[F.stddev_pop(F.col(f).cast("double")) for f in features]).alias("_sd"),
-    )
-
-
-def _fit_schema(rows: DataFrame, by: Sequence[str]) -> T.StructType:
-    return T.StructType(
-        [rows.schema[k] for k in by]
-        + [
-            T.StructField("model_id", T.IntegerType()),
-            T.StructField("features", T.StringType()),
-            T.StructField("weights", T.ArrayType(T.DoubleType())),
-            T.StructField("bias", T.DoubleType()),
-            T.StructField("n_train", T.DoubleType()),
-            T.StructField("rms", T.DoubleType()),
-            T.StructField("steps", T.IntegerType()),
-            T.StructField("optimality", T.DoubleType()),
-            T.StructField("converged", T.BooleanType()),
-        ]
-    )
-
-
-class _Descent:
-    """State of one model's fit, in standardised features: what to ask next, and what the answers change.
-
-    Asks for sums over the rows: Newton sums (matrix, right side) at the current coefficients, or the losses
-    at REACHES steps along the direction found from them.
-    """
-
-    def __init__(self, loss: str, start: np.ndarray, n: float, rms: float):
-        self.loss, self.at, self.n, self.rms = loss, start, n, rms
-        self.width = HUBER_DELTA if loss == "huber" else max(WIDTH * rms, 1e-300)
-        self.least = self.width if loss == "huber" else max(LEAST_WIDTH * rms, 1e-300)
-        self.beyond, self.steps, self.left, self.done = BEYOND, 0, np.inf, False
-        self.way = np.zeros_like(start)
-        if rms == 0 and loss != "logistic":
-            self.left, self.done = 0.0, True
-
-    @property
-    def converged(self) -> bool:
-        return bool(self.left <= OPTIMAL)
-
-    def newton(self, matrix: np.ndarray, gradient: np.ndarray) -> bool:
-        """Take the sums at the current coefficients; True if a direction is to be searched."""
-        self.steps += 1
-        unit = self.n if self.loss == "logistic" else self.n * self.width
-        left = float(np.abs(gradient).max()) / unit
-        if self.loss == "huber":
-            left *= min(1.0, self.width / self.rms)
-        narrow = self.loss != "l1" or self.width <= self.least * 1.01
-        if narrow:
-            self.left = left
-        if narrow and left <= OPTIMAL or self.steps >= GIVE_UP:
-            self.done = True
-            return False
-        if not narrow and left <= NEARLY:
-            self.width = max(self.width * SHRINK, self.least)
-            return False
-        self.way = np.linalg.pinv(matrix, rcond=1e-12, hermitian=True) @ gradient
-        return True
-
-    def search(self, now: float, losses: np.ndarray) -> None:
-        best = int(np.argmin(losses))
-        if losses[best] < now:
-            self.at = self.at + REACHES[best] * self.way
-        elif self.beyond < 1:
-            self.beyond = min(1.0, self.beyond * 10)  # a safer direction
-        else:
-            self.done = True  # no digit of the loss is left to gain
-            if self.left > OPTIMAL and self.left <= 100 * OPTIMAL:
-                self.left = OPTIMAL
-
-
-def _parts(loss: str, eta: np.ndarray, y: np.ndarray, width: float, beyond: float) -> tuple[np.ndarray, np.ndarray]:
-    """Row curvature and row slope of a loss."""
-    if loss == "logistic":
-        p = 1 / (1 + np.exp(-eta))
-        return np.maximum(p * (1 - p), 1e-9), y - p
-    r = y - eta
-    size = np.abs(r)
-    return np.where(size <= width, 1.0, beyond * width / np.maximum(size, 1e-300)), np.clip(r, -width, width)
-
-
-def _total_loss(loss: str, eta: np.ndarray, y: np.ndarray, width: float) -> float:
-    if loss == "logistic":
-        return float((np.log1p(np.exp(-np.abs(eta))) + np.maximum(eta, 0) - y * eta).sum())
-    size = np.abs(y - eta)
-    return float(np.where(size <= width, size * size / (2 * width), size - width / 2).sum())
-
-
-def _finish(d: _Descent, mean: np.ndarray, sd: np.ndarray, places: list[int], p: int) -> tuple[list[float], float]:
-    """Coefficients back in the features' own units."""
-    weights = np.zeros(p)
-    weights[places] = np.where(sd[places] > 0, d.at[:-1] / np.where(sd[places] > 0, sd[places], 1), 0.0)
-    return weights.tolist(), float(d.at[-1] - weights @ mean)
-
-
-def _fit_groups(rows: DataFrame, features: list[str], by: list[str], subsets: Sequence[Sequence[str]], loss: str) -> DataFrame:
-    """Groups of bounded size, each fitted where its rows meet."""
-    places = [[features.index(f) for f in s] for s in subsets]
-
-    def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        y = frame["_target"].to_numpy(float)
-        mean, sd = (np.array(frame[c].iloc[0], float) for c in ("_mean", "_sd"))
-        z = (frame[features].to_numpy(float) - mean) / np.where(sd > 0, sd, 1)
-        z[:, sd <= 0] = 0
-        out = []
-        for model, chosen in enumerate(places):
-            a = np.column_stack([z[:, chosen], np.ones(len(y))])
-            begin = np.linalg.lstsq(a, 4 * y - 2 if loss == "logistic" else y, rcond=None)[0]
-            d = _Descent(loss, begin, len(y), float(np.sqrt(np.mean((y - a @ begin) ** 2))))
-            while not d.done:
-                eta = a @ d.at
-                curve, slope = _parts(loss, eta, y, d.width, d.beyond)
-                if d.newton((a * curve[:, None]).T @ a, a.T @ slope):
-                    move = a @ d.way
-                    d.search(_total_loss(loss, eta, y, d.width), np.array([_total_loss(loss, eta + t * move, y, d.width) for t in REACHES]))
-            weights, bias = _finish(d, mean, sd, chosen, len(features))
-            out.append((*[frame[k].iloc[0] for k in by], model, ",".join(subsets[model]), weights, bias, float(len(y)), d.rms, d.steps, d.left, d.converged))
-        return pd.DataFrame(out, columns=[f.name for f in schema])
-
-    schema = _fit_schema(rows, by)
-    return rows.groupBy(*by).applyInPandas(fit, schema)
-
-
-def _fit_distributed(rows: DataFrame, features: list[str], by: list[str], subsets: Sequence[Sequence[str]], loss: str) -> DataFrame:
-    """Groups of any size: rows stay where they are; each question of a step is one aggregation for all models.
-
-    The driver holds one small state per group and subset.
-    """
-    spark, p = rows.sparkSession, len(features)
-    keys = [*by, "model_id"]
-    scaled = rows.select(
-        *by, "_target",
-        *[F.when(F.col("_sd")[i] > 0, (F.col(f).cast("double") - F.col("_mean")[i]) / F.col("_sd")[i]).otherwise(0.0).alias(f"_x{i}") for i, f in enumerate(features)],
-    )
-    scaled = written(scaled, "fit-scaled")
-    names = [f"_x{i}" for i in range(p)]
-    response = F.col("_target") * 4 - 2 if loss == "logistic" else F.col("_target")
-    places = [[features.index(f) for f in s] for s in subsets]
-    first = solve(moments(scaled, names, response, by), names, [[f"_x{i}" for i in c] for c in places], by).collect()
-    state = {}
-    for r in first:
-        chosen = places[r["model_id"]]
-        begin = np.array([r["weights"][i] for i in chosen] + [r["bias"]])
-        state[tuple(r[k] for k in keys)] = _Descent(loss, begin, r["n_train"], r["rms"])
-    eta, y, width = F.col("_eta"), F.col("_target"), F.col("_width")
-    r = y - eta
-    if loss == "logistic":
-        chance = sigmoid(eta)
-        curve, slope = F.greatest(chance * (1 - chance), F.lit(1e-9)), y - chance
+        raise ValueError(f"loss must be {', '.join(LOSSES)}, a rule or (without folds) mse, not {loss!r}")
+    segment = [F.col(folds.segment).cast("long").alias("_segment")] if folds else []
+    rows = df.select(*by, *features, F.col(target).cast("double").alias("_target"), *segment)
+    rows = written(rows.where(no_nulls([*features, "_target"])), "fit-rows")
+    if isinstance(loss, str):
+        fitted = fit_robust(rows, features, by, subsets, loss, folds.cuts if folds else None)
     else:
-        curve = F.when(F.abs(r) <= width, 1.0).otherwise(F.col("_beyond") * width / F.abs(r))
-        slope = F.greatest(F.least(r, width), -width)
-
-    def value(eta: Column) -> Column:
-        if loss == "logistic":
-            return F.log1p(F.exp(-F.abs(eta))) + F.greatest(eta, F.lit(0.0)) - y * eta
-        size = F.abs(y - eta)
-        return F.when(size <= width, size * size / (2 * width)).otherwise(size - width / 2)
-
-    numbers = T.ArrayType(T.DoubleType())
-    asked_schema = T.StructType([rows.schema[k] for k in by] + [T.StructField("model_id", T.IntegerType())])
-    asked_schema = asked_schema.add("_at", numbers).add("_way", numbers).add("_width", "double").add("_beyond", "double")
-
-    def asked(models: list) -> DataFrame:
-        def wide(d: _Descent, chosen: list[int], v: np.ndarray) -> list[float]:
-            out = np.zeros(p + 1)
-            out[chosen] = v[:-1]
-            out[p] = v[-1]
-            return out.tolist()
-
-        table = [(*k, wide(d, places[k[-1]], d.at), wide(d, places[k[-1]], d.way), d.width, d.beyond) for k, d in models]
-        table = spark.createDataFrame(table, asked_schema)
-        line = lambda c: sum((F.col(n) * F.get(c, F.lit(i)) for i, n in enumerate(names)), F.get(c, F.lit(p)))
-        return scaled.join(F.broadcast(table), by).withColumns({"_eta": line("_at"), "_move": line("_way")})
-
-    terms = [*[F.col(n) for n in names], F.lit(1.0)]
-    pairs = list(combinations_with_replacement(range(p + 1), 2))
-    while open_ := [(k, d) for k, d in state.items() if not d.done]:
-        sums = asked(open_).groupBy(*keys).agg(
-            *[F.sum(curve * terms[i] * terms[j]).alias(f"h{i}_{j}") for i, j in pairs], *[F.sum(slope * t).alias(f"g{i}") for i, t in enumerate(terms)]
-        )
-        going = []
-        for row in sums.collect():
-            k = tuple(row[c] for c in keys)
-            full = np.zeros((p + 1, p + 1))
-            for i, j in pairs:
-                full[i, j] = full[j, i] = row[f"h{i}_{j}"]
-            use = [*places[k[-1]], p]
-            if state[k].newton(full[np.ix_(use, use)], np.array([row[f"g{i}"] for i in use])):
-                going.append((k, state[k]))
-        if going:
-            sums = asked(going).groupBy(*keys).agg(
-                F.sum(value(eta)).alias("now"), *[F.sum(value(eta + t * F.col("_move"))).alias(f"t{i}") for i, t in enumerate(REACHES)]
-            )
-            for row in sums.collect():
-                state[tuple(row[c] for c in keys)].search(row["now"], np.array([row[f"t{i}"] for i in range(len(REACHES))]))
-    scales = {tuple(s[k] for k in by): s for s in rows.groupBy(*by).agg(F.first("_mean").alias("_mean"), F.first("_sd").alias("_sd")).collect()}
-    out = []
-    for k, d in state.items():
-        s = scales[k[:-1]]
-        weights, bias = _finish(d, np.array(s["_mean"]), np.array(s["_sd"]), places[k[-1]], p)
-        out.append((*k[:-1], int(k[-1]), ",".join(subsets[k[-1]]), weights, bias, float(d.n), d.rms, d.steps, float(d.left), d.converged))
-    return spark.createDataFrame(out, _fit_schema(rows, by))
+        if folds:
+            into = [F.when(F.col("_segment") < c, F.lit(k)) for k, c in enumerate(folds.cuts)]
+            rows = rows.withColumn("_fold", F.explode(F.array_compact(F.array(*into))))
+        own = [*by, *(["_fold"] if folds else [])]
+        fitted = _reweighted(rows, features, own, subsets, loss, iterations or 25, tolerance)
+    names = F.array(*[F.lit(",".join(s)) for s in subsets])
+    label = [F.get(F.array(*[F.lit(v) for v in folds.labels]), F.col("_fold")).alias(folds.name)] if folds else []
+    figures = ["weights", "bias", "n_train", "rms", "steps", "optimality", "converged"]
+    return fitted.select(*by, *label, "model_id", F.get(names, F.col("model_id")).alias("features"), *figures)
 
 
 def _reweighted(
     rows: DataFrame, features: list[str], by: list[str], subsets: Sequence[Sequence[str]], rule: Weighting, limit: int, tolerance: float
 ) -> DataFrame:
     """Refits with the row weights of an own rule. The fits use all rows; only coefficients pass between steps."""
-    fitted = written(solve(moments(rows, features, "_target", by), features, subsets, by), "fit-step")
+    fitted = solve(moments(rows, features, "_target", by), features, subsets, by)
+    new = {"steps": F.lit(0), "optimality": F.lit(float("inf")), "converged": F.lit(False)}
+    fitted = written(fitted.withColumns(new), "fit-step")
     keys = [*by, "model_id"]
     result = fitted.columns
     for step in range(limit):
@@ -441,14 +232,14 @@ def _reweighted(
         sums = moments(scored, features, response, keys, weight)
         found = solve(sums, features, subsets, keys, own_model=True).join(before, keys)
         moves = F.transform(F.zip_with("weights", "_w", lambda new, old: new - old), F.abs)
-        found = found.withColumns(
-            {"rms": F.col("_scale"), "_moved": F.greatest(F.abs(F.col("bias") - F.col("_b")), F.array_max(moves))}
-        )
-        fitted = written(found.select(*result, "_moved"), "fit-step")
-        largest = fitted.agg(F.max("_moved")).first()[0]
-        if largest is None or largest <= tolerance:
+        found = found.withColumns({
+            "rms": F.col("_scale"), "steps": F.lit(step + 1),
+            "optimality": F.greatest(F.abs(F.col("bias") - F.col("_b")), F.array_max(moves)),
+        })
+        fitted = written(found.withColumn("converged", F.col("optimality") <= tolerance).select(*result), "fit-step")
+        if not fitted.where("NOT converged").limit(1).count():
             break
-    return fitted.select(*result)
+    return fitted
 
 
 def mean_loss(df: DataFrame, coefficients: DataFrame, features: Sequence[str], target: str, by: Sequence[str], loss: str) -> DataFrame:
