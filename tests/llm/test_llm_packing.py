@@ -76,10 +76,11 @@ def test_ids_are_the_library_s(library):
 
 def test_memory_forgets():
     asked = []
-    memory = Memory(lambda new: asked.append(new) or [len(s) for s in new], limit=50)
+    memory = Memory(lambda new: asked.extend(new) or [s.upper().encode() for s in new], limit=50)
     for i in range(100):
-        assert memory.recall([[f"w{i}", "x" * 100], ["x" * 100, "y"]]) == [[len(f"w{i}"), 100], [100, 1]]
+        assert memory.recall([[f"w{i}", "x" * 100], [], ["x" * 100, "y", "y"]]) == [f"W{i}".encode() + b"X" * 100, b"", b"X" * 100 + b"YY"]
         assert "x" * 100 not in memory and memory.held <= 60
+    assert asked.count("x" * 100) == 100 and asked.count("y") < 20
     assert list(portions("ab cd ef", 3)) == ["ab cd", " ef"] and "".join(portions("a" * 50, 3)) == "a" * 50
     assert STRETCH.findall(" a\n\nb c  ") == [" a", "\n\nb", " c", "  "]
 

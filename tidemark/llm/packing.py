@@ -80,7 +80,7 @@ def encoded(texts: list[str | None], path: str, end_id: int, size: int = 1 << 18
 
     def flush() -> None:
         for owner, ids in zip(owners, memory.recall(rows)):
-            parts[owner].append(b"".join(ids))
+            parts[owner].append(ids)
         owners.clear()
         rows.clear()
 

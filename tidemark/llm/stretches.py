@@ -24,29 +24,33 @@ def portions(text: str, size: int = 1 << 17) -> Iterator[str]:
 
 
 class Memory(dict):
-    """What ``compute`` gave for each stretch. Long stretches are not kept, and all are forgotten once the kept ones
-    have ``limit`` code points, so that a worker's memory does not follow its input."""
+    """The bytes that ``compute`` gives for each stretch. Long stretches are not kept, and all are forgotten once the
+    kept ones have ``limit`` code points, so that a worker's memory does not follow its input."""
 
     LONG = 64
 
-    def __init__(self, compute: Callable[[list[str]], list], limit: int = 1 << 23):
+    def __init__(self, compute: Callable[[list[str]], list[bytes]], limit: int = 1 << 23):
         super().__init__()
-        self.compute, self.limit, self.held = compute, limit, 0
-
-    def recall(self, rows: list[list[str]]) -> list[list]:
-        """The values of the stretches of ``rows``; those not known are computed together."""
-        out = [list(map(self.get, row)) for row in rows]
-        holes = [i for i, values in enumerate(out) if None in values]
-        new = list({s for i in holes for s, value in zip(rows[i], out[i]) if value is None})
-        if not new:
-            return out
-        now = dict(zip(new, self.compute(new)))
-        for i in holes:
-            out[i] = [now[s] if value is None else value for s, value in zip(rows[i], out[i])]
+        self.compute, self.limit, self.held, self.new = compute, limit, 0, []
+
+    def __missing__(self, stretch: str) -> bytearray:
+        """A new stretch has an empty place, which is filled before it is read."""
+        self.new.append(stretch)
+        self[stretch] = place = bytearray()
+        return place
+
+    def recall(self, rows: list[list[str]]) -> list[bytes]:
+        """The bytes of the stretches of each row, in turn; those not known are computed together."""
         if self.held > self.limit:
             self.clear()
             self.held = 0
-        short = [s for s in new if len(s) <= self.LONG]
-        self.update((s, now[s]) for s in short)
-        self.held += sum(map(len, short))
-        return out
+        values = [list(map(self.__getitem__, row)) for row in rows]
+        new, self.new = self.new, []
+        for stretch, found in zip(new, self.compute(new) if new else ()):
+            self[stretch].extend(found)  # where it was already taken
+            self[stretch] = found
+            if len(stretch) > self.LONG:
+                del self[stretch]
+            else:
+                self.held += len(stretch)
+        return [b"".join(row) for row in values]
