@@ -34,7 +34,7 @@ HUBER_DELTA = 1.0
 #: A fit has converged when its mean gradient is this small, in units in which a row counts at most about 1.
 OPTIMAL = 1e-8
 #: Width of the Huber losses that lead to a least-absolute fit: its start as a share of the start's residual
-#: deviation, how it shrinks once the gradient is small, and its end.
+#: deviation, how it shrinks once the gradient is small, and its end, or where a tenth of a row lies within it.
 WIDTH, SHRINK, LEAST_WIDTH, NEARLY = 0.3, 0.01, 1e-8, 1e-2
 #: Curvature that rows beyond the width keep, as a share of what a majorising parabola has.
 BEYOND = 0.01
@@ -107,7 +107,7 @@ class Fit:
         """Sums at ``at``; ``margin`` is the least of the rows' margins (logistic)."""
         self.steps += 1
         gradient = gradient * self.used
-        left, least = self._left(gradient), max(LEAST_WIDTH * self.rms, 1e-300)
+        left, least = self._left(gradient), max(min(max(LEAST_WIDTH, 0.1 / self.n), WIDTH) * self.rms, 1e-300)
         narrow = self.loss != "l1" or self.width <= least * 1.01
         if narrow:
             self.left = left
