@@ -115,3 +115,42 @@ def test_ledger_balance_is_the_sum_of_pnl(trades, block):
     last = out.where("symbol = 'a'").orderBy(F.desc("datetime"), F.desc("seq")).first()
     assert float(last.balance) == pytest.approx(want)
     assert sum(float(v) for v in a(out, "pnl")) == pytest.approx(want - 7)
+
+
+def average_cost(orders, balance):
+    """Balances after each (quantity, price), one order at a time."""
+    held = cost = 0.0
+    out = []
+    for q, p in orders:
+        new = round(held + q, 8)
+        if held and held * q < 0:
+            closed = -q if abs(q) <= abs(held) else held
+            balance += closed * (p - cost / held)
+            cost = 0.0 if not new else new * p if new * held < 0 else cost * new / held
+        else:
+            cost += q * p
+        held = new
+        out.append(balance)
+    return out
+
+
+@pytest.mark.parametrize("block", [None, "1m", "10m", "2h"])
+def test_partial_closes_under_blocks(spark, block):
+    import random
+
+    rng = random.Random(11)
+    rows, want = [], {}
+    for symbol, n in (("HOT", 400), ("b", 30), ("one", 1)):
+        orders, held = [], 0
+        for i in range(n):
+            q = rng.choice([-held, rng.randint(-9, 9), 1, -1]) or 2
+            orders.append((float(q), float(rng.randint(5, 30))))
+            held += q
+        want[symbol] = average_cost(orders, 50.0)
+        rows += [("m", symbol, i * 20 + rng.randint(0, 19), i, *o) for i, o in enumerate(orders)]
+    table = spark.createDataFrame(rows, "account string, symbol string, t int, seq int, q double, price double").repartition(4)
+    table = table.select("account", "symbol", F.timestamp_seconds("t").alias("datetime"), "seq", F.col("q").cast(ledger.QTY).alias("signed_qty"), F.col("price").cast(ledger.QTY).alias("price"))
+    out = ledger.fills(table, 50.0, Timeline(("account", "symbol"), ("datetime", "seq"), block))
+    for symbol, balances in want.items():
+        got = [float(r.balance) for r in out.where(F.col("symbol") == symbol).orderBy("datetime", "seq").collect()]
+        assert got == pytest.approx(balances, abs=1e-6)

@@ -89,17 +89,26 @@ def test_open_and_close_a_position(spark):
     assert ledger.open_positions(ledger.fills(orders)).count() == 0
 
 
-def test_partial_fills_book_at_the_flat_row(spark):
+def test_partial_closes_book_at_average_cost(spark):
     rows = [(1, 4, 10), (2, 2, 11), (3, -3, 12), (4, -3, 13), (5, -1, 20), (6, 1, 18)]
     orders = spark.createDataFrame(rows, "t int, q int, p int").select(
         F.lit("me").alias("account"), F.lit("X").alias("symbol"), F.timestamp_seconds("t").alias("datetime"),
         F.lit(0).alias("seq"), F.col("q").cast("decimal(18,8)").alias("signed_qty"), F.col("p").cast("decimal(18,8)").alias("price"),
     )
     out = ledger.fills(orders, 0.0).orderBy("datetime").collect()
-    assert [float(r.pnl) for r in out] == [0, 0, 0, 13, 0, 2]
+    assert [float(r.pnl) for r in out] == [0, 0, 5, 8, 0, 2]
     assert float(ledger.account_summary(ledger.fills(orders), 1.0).first().balance) == 16
 
 
+def test_a_position_sold_in_parts(spark):
+    orders = spark.createDataFrame([(1, 10, 10), (2, -4, 15), (3, -6, 12)], "t int, q int, p int").select(
+        F.lit("me").alias("account"), F.lit("X").alias("symbol"), F.timestamp_seconds("t").alias("datetime"),
+        F.lit(0).alias("seq"), F.col("q").cast("decimal(18,8)").alias("signed_qty"), F.col("p").cast("decimal(18,8)").alias("price"),
+    )
+    out = ledger.fills(orders, 100.0).orderBy("datetime").collect()
+    assert [float(r.balance) for r in out] == [100, 120, 132]
+
+
 def test_a_turned_position_books_its_first_half(spark):
     rows = [(1, 5, 10), (2, -10, 15), (3, 5, 12), (4, -2, 20), (5, 6, 10), (6, -4, 11)]
     orders = spark.createDataFrame(rows, "t int, q int, p int").select(

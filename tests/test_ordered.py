@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.classify import roc_auc, roc_points
 from tidemark.operators.features import add_log_return_features
 from tidemark.operators.metrics import trade_results
-from tidemark.operators.ordered import Timeline, even_blocks, in_blocks, with_lags, with_last_values, with_position, with_running
+from tidemark.operators.ordered import Timeline, even_blocks, in_blocks, with_lags, with_last_values, with_position, with_recurrence, with_running
 from tidemark.operators.split import with_split
 
 ORDER = ("datetime", "id")
@@ -55,6 +55,26 @@ def test_every_operator_under_blocks(ticks, block):
     assert (got["peak"] >= got["total"] - 1e-9).all()
 
 
+@pytest.mark.parametrize("block", [None, "1s", "10m", "30d"])
+def test_recurrence_under_blocks(ticks, block):
+    """Halving and doubling without end neither vanishes nor overflows; NULLs change nothing."""
+    factor = F.when(F.col("id") % 3 == 0, F.lit(0.5)).when(F.col("id") % 97 == 0, F.lit(0.0)).otherwise(F.lit(1.0))
+    got = with_recurrence(ticks, Timeline(("symbol",), ORDER, block), "x", factor, "price").toPandas().sort_values(["symbol", *ORDER])
+    for _, part in got.groupby("symbol"):
+        x = 0.0
+        for row in part.itertuples():
+            if row.price == row.price:
+                x = x * (0.5 if row.id % 3 == 0 else 0.0 if row.id % 97 == 0 else 1.0) + row.price
+            assert row.x == pytest.approx(x, rel=1e-12)
+    assert list(got.columns) == ["symbol", "datetime", "id", "price", "x"]
+
+
+def test_recurrence_of_nothing(spark):
+    none = spark.createDataFrame([], "symbol string, datetime timestamp, id long, price double")
+    for block in (None, "1h"):
+        assert with_recurrence(none, Timeline(("symbol",), ORDER, block), "x", F.lit(1.0), "price").count() == 0
+
+
 def test_windows_and_splits_under_blocks(ticks):
     line = Timeline(("symbol",), ORDER, "20m")
     same(with_split(ticks, 0.3, PLAIN), with_split(ticks, 0.3, line))

@@ -532,24 +532,49 @@ def fills_ledger(spark, sf):
     )
 
 
-@query(
-    "fills_reversal",
-    f"""WITH {PAIRED}, net AS (SELECT symbol, datetime, price, sum(signed_qty) AS signed_qty FROM orders_out GROUP BY symbol, datetime, price),
-    run AS (SELECT *, sum(signed_qty) OVER w AS position, -sum(CAST(signed_qty AS DECIMAL(19,8)) * price) OVER w AS cash
-      FROM net WHERE signed_qty <> 0 WINDOW w AS (PARTITION BY symbol ORDER BY datetime ROWS UNBOUNDED PRECEDING)),
-    booked AS (SELECT *, coalesce(last_value(CASE WHEN position = 0 THEN cash WHEN sign(position) * sign(position - signed_qty) < 0
-        THEN cash + CAST(position AS DECIMAL(19,8)) * price END IGNORE NULLS)
-      OVER (PARTITION BY symbol ORDER BY datetime ROWS UNBOUNDED PRECEDING), 0) AS done FROM run)
-    SELECT symbol, datetime, {R('position')}, {R('done - coalesce(lag(done) OVER (PARTITION BY symbol ORDER BY datetime), 0)', 'pnl', 3)},
-      {R('1000 + done', 'balance', 3)} FROM booked""",
-)
-def fills_reversal(spark, sf):
-    """The same targets reached with one order each, which often turns the position around."""
-    net = _orders(spark, sf).groupBy("account", "symbol", "datetime", "price").agg(F.sum("signed_qty").cast(ledger.QTY).alias("signed_qty"))
+def _average_cost(orders: str) -> str:
+    """Position, profit and balance of ``orders (symbol, n, datetime, s, p)`` at average cost, order after order."""
+    closing = "f.position <> 0 AND sign(f.position) * sign(o.s) < 0"
+    left = "f.position + o.s"
+    cost = f"""CASE WHEN {left} = 0 THEN 0e0 WHEN sign({left}) * sign(f.position) < 0 THEN ({left}) * o.p
+        WHEN {closing} THEN f.cost * CAST({left} AS DOUBLE) / CAST(f.position AS DOUBLE) ELSE f.cost + o.s * o.p END"""
+    return f"""filled AS (
+      SELECT symbol, n, datetime, s AS position, CAST(s * p AS DOUBLE) AS cost, 0e0 AS pnl, 1000e0 AS balance FROM {orders} WHERE n = 1
+      UNION ALL
+      SELECT symbol, n, datetime, position, cost, earned, balance + earned FROM (
+        SELECT o.symbol, o.n, o.datetime, {left} AS position, {cost} AS cost, f.balance, CAST(-o.s * o.p AS DOUBLE) + ({cost}) - f.cost AS earned
+        FROM filled f JOIN {orders} o ON o.symbol = f.symbol AND o.n = f.n + 1))"""
+
+
+def _net_sql(target: str) -> str:
+    """One order from each target quantity to the next."""
+    return f"""{SIGNALS}, sized AS (SELECT symbol, datetime, CAST(open AS DECIMAL(18,8)) AS price, CAST({target} AS DECIMAL(18,8)) AS new_qty FROM signals),
+    net AS (SELECT symbol, datetime, price, new_qty - coalesce(lag(new_qty) OVER (PARTITION BY symbol ORDER BY datetime), 0) AS signed_qty FROM sized),
+    o AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY datetime) AS n, datetime, CAST(signed_qty AS DECIMAL(19,8)) AS s, price AS p
+      FROM net WHERE signed_qty <> 0), {_average_cost('o')}
+    SELECT symbol, datetime, {R('position')}, {R('pnl', digits=3)}, {R('balance', digits=3)} FROM filled"""
+
+
+def _filled(orders):
+    net = orders.groupBy("account", "symbol", "datetime", "price").agg(F.sum("signed_qty").cast(ledger.QTY).alias("signed_qty"))
     out = ledger.fills(net.where("signed_qty <> 0").withColumn("seq", F.lit(0)), 1000.0)
     return out.select("symbol", "datetime", r6("position").alias("position"), r6("pnl", 3).alias("pnl"), r6("balance", 3).alias("balance"))
 
 
+@query("fills_reversal", "WITH RECURSIVE " + _net_sql("100e0 / open * dir_signal"))
+def fills_reversal(spark, sf):
+    """The same targets reached with one order each, which often turns the position around or closes a part of it."""
+    return _filled(_orders(spark, sf))
+
+
+@query("fills_partial", "WITH RECURSIVE " + _net_sql("100e0 / open * dir_signal * (1 + day(datetime) % 3)"))
+def fills_partial(spark, sf):
+    """One, two or three hundred of capital behind a signal, by the day: positions are added to and partly closed."""
+    rows = study_trades(spark, sf).withColumns({"account": F.lit("main"), "equity": F.lit(100.0)})
+    qty = ledger.compound_order_size("y_hat", "equity", "open", 1 + F.dayofmonth("datetime") % 3)
+    return _filled(ledger.order_pairs(rows.withColumn("qty", qty), "qty", "open"))
+
+
 # --- nets of known weights -----------------------------------------------------------
 
 NET = {"w1": [[0.5, -0.2, 0.1], [-0.3, 0.4, 0.2]], "b1": [0.01, -0.02], "w2": [[1.5, -0.7]], "b2": [0.003]}

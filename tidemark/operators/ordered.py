@@ -20,8 +20,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.intervals import bar_start, interval_micros
 from ..functions.maths import as_col
@@ -232,6 +236,56 @@ def with_running(
     return line.without_block(joined.withColumns(result)).drop(*scratch)
 
 
+def _composed(factor: np.ndarray, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maps ``x -> factor * x + shift`` one after the other: entry ``i`` is what the first ``i + 1`` of them do together."""
+    step = 1
+    while step < len(factor):
+        shift = np.concatenate([shift[:step], factor[step:] * shift[:-step] + shift[step:]])
+        factor = np.concatenate([factor[:step], factor[step:] * factor[:-step]])
+        step *= 2
+    return factor, shift
+
+
+def with_recurrence(df: DataFrame, line: Timeline, name: str, factor: str | Column, shift: str | Column) -> DataFrame:
+    """Add ``name``: what ``x = factor * x + shift`` makes of 0, row after row.
+
+    A NULL factor or shift leaves ``x`` as it is. Such maps can be joined before ``x`` is known, so a block
+    composes its own, the blocks' maps are composed per series in a table with one row per block, and the value
+    at a row is its block's map applied to what the blocks before it left.
+    """
+    keys = line.block_keys() if line.blocked else list(line.keys)
+    local = line.with_block(df) if line.blocked else df
+    idle = as_col(factor).isNull() | as_col(shift).isNull()
+    local = local.withColumns({
+        "_f": F.when(idle, 1.0).otherwise(as_col(factor).cast("double")), "_g": F.when(idle, 0.0).otherwise(as_col(shift).cast("double")),
+    })
+    sorting = [(o.removeprefix("-"), "descending" if o.startswith("-") else "ascending") for o in line.order]
+
+    def composed(table: pa.Table, last: bool = False) -> pa.Table:
+        table = table.take(pc.sort_indices(table, sort_keys=sorting))
+        maps = _composed(table.column("_f").to_numpy(), table.column("_g").to_numpy())
+        for column, values in zip(("_f", "_g"), maps):
+            table = table.set_column(table.column_names.index(column), column, pa.array(values))
+        return table.slice(len(table) - 1) if last else table
+
+    scanned = local.groupBy(*keys).applyInArrow(lambda table: composed(table), local.schema)
+    if not line.blocked:
+        return scanned.withColumn(name, F.col("_g")).drop("_f", "_g")
+    narrow = local.select(*keys, *[o for o in line.order_names() if o not in keys], "_f", "_g")
+    ends = narrow.groupBy(*keys).applyInArrow(lambda table: composed(table, True), narrow.schema).select(*keys, "_f", "_g")
+    block = line.block_name
+
+    def carried(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, sort_keys=[(block, "ascending")]))
+        _, left = _composed(table.column("_f").to_numpy(), table.column("_g").to_numpy())
+        return table.drop_columns(["_f", "_g"]).append_column("_before", pa.array(np.append(0.0, left[:-1])))
+
+    schema = T.StructType([*[ends.schema[k] for k in keys], T.StructField("_before", T.DoubleType())])
+    before = ends.groupBy(*line.keys).applyInArrow(carried, schema)
+    joined = scanned.join(before, keys, "left")
+    return line.without_block(joined.withColumn(name, F.col("_f") * F.col("_before") + F.col("_g"))).drop("_f", "_g", "_before")
+
+
 def with_position(df: DataFrame, line: Timeline, index: str = "row_no", count: str | None = "n_rows") -> DataFrame:
     """Add the row's position in its series (from 0) and, if named, the series length."""
     if not line.blocked:
