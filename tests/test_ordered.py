@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from tidemark.operators.classify import roc_auc, roc_points
 from tidemark.operators.features import add_log_return_features
 from tidemark.operators.metrics import trade_results
-from tidemark.operators.ordered import Timeline, even_blocks, in_blocks, with_lags, with_last_values, with_position, with_recurrence, with_running
+from tidemark.operators import ordered
+from tidemark.operators.ordered import Timeline, even_blocks, with_lags, with_last_values, with_position, with_recurrence, with_running, with_scan
 from tidemark.operators.split import with_split
+from tidemark.session import written
 
 ORDER = ("datetime", "id")
 PLAIN = Timeline(("symbol",), ORDER)
@@ -97,30 +99,47 @@ def test_features_and_trades_under_blocks(ticks):
     assert (got["drawdown_log_return"] <= 1e-9).all()
 
 
-def test_blocks_given_once_are_shuffled_once(spark, ticks):
-    line = Timeline(("symbol",), ORDER, "1h")
+@pytest.fixture()
+def plans(monkeypatch):
+    """Plans of the tables that scans write, by name."""
+    seen = []
 
-    def run(rows, which):
-        out = with_lags(rows, which, {"one": ("price", 1), "three": ("price", 3)})
-        out = with_running(out, which, {"total": F.coalesce("price", F.lit(0.0))}, {"peak": "total"})
-        return with_position(out, which)
+    def watched(df, label="table"):
+        seen.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return written(df, label)
+
+    monkeypatch.setattr(ordered, "written", watched)
+    return seen
+
+
+def exchanges(plan):
+    return plan.split("== Initial Plan ==")[0].count("Exchange hashpartitioning")
+
+
+def test_a_scan_moves_the_rows_once(ticks, plans):
+    """Lags, a total with its peak, a maximum and places: one exchange, and none when the table is read."""
+    line = Timeline(("symbol",), ORDER, "10m")
+    more = {"one": ("price", 1), "three": ("price", 3)}, {"total": F.coalesce("price", F.lit(0.0))}, {"peak": "total"}, {"top": "price"}
+
+    def run(which):
+        return with_scan(ticks, which, *more, index="row_no", count="n_rows")
+
+    got = run(line)
+    same(run(PLAIN), got)
+    assert [label for label, _ in plans] == ["scan", "scan-carry"]
+    assert exchanges(plans[0][1]) == 1 and "scan-" in plans[1][1] and "Join" not in plans[1][1]
+    read = got._jdf.queryExecution().executedPlan().toString()
+    assert exchanges(read) == 0 and "BroadcastHashJoin" in read and "Window" not in read
 
-    rows, laid = in_blocks(ticks, line)
-    got = run(rows, laid)
-    same(run(ticks, line), got.drop("_block"))
 
-    def shuffles(df):
-        spark.conf.set("spark.sql.adaptive.enabled", "false")
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-        try:
-            plan = df._jdf.queryExecution().executedPlan().toString().split("\n")
-        finally:
-            spark.conf.unset("spark.sql.adaptive.enabled")
-            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        return sum("Exchange hashpartitioning" in step and "_block" in step for step in plan)
+@pytest.mark.parametrize("name", ["ordered_scan_equity", "rolling_last_n", "tick_log_returns"])
+def test_tick_queries_move_their_rows_once(spark, plans, monkeypatch, name):
+    from tidemark.catalog import QUERIES
 
-    asked = ["symbol", "one", "total", "peak", "row_no"]
-    assert shuffles(got.select(*asked)) < shuffles(run(ticks, line).select(*asked))
+    monkeypatch.setattr(ordered.even_blocks, "__defaults__", (None, 500, 100, 17))
+    out = QUERIES[name](spark, "/root/testdata/sf0.001")
+    scans = [plan for label, plan in plans if label == "scan"]
+    assert len(scans) == 1 and exchanges(scans[0]) == 1 and exchanges(out._jdf.queryExecution().executedPlan().toString()) == 0
 
 
 def test_partitioning_does_not_matter(ticks):
@@ -161,9 +180,10 @@ def test_bar_lines_are_blocked_only_when_long():
     assert Timeline.of_bars("1s").blocked
 
 
-def test_blocks_need_no_single_window_over_a_series(ticks):
+def test_blocks_need_no_single_window_over_a_series(ticks, plans):
     line = Timeline(("symbol",), ORDER, "1h")
-    plan = with_running(ticks, line, {"total": "price"})._jdf.queryExecution().executedPlan().toString()
+    with_running(ticks, line, {"total": "price"})
+    plan = plans[0][1]
     rows = [s for s in plan.split("\n") if "Window [" in s and "(_stotal" in s]
     assert rows and all("_block" in s.split("windowspecdefinition")[1] for s in rows)
 

@@ -9,8 +9,8 @@ Two ways of running the same operators follow from it:
   series is cut into blocks along its order; windows run inside a block, and
   what a block needs from earlier ones (a total, a maximum, a few last rows) is
   carried over through a table with one row per block. No task sees a whole
-  series, and the rows are shuffled once, on ``(series, block)``; the carry is
-  joined on those same keys, so it needs no second shuffle of the rows.
+  series, and the rows are shuffled once, on ``(series, block)``, and written
+  as they lie then (:func:`with_scan`).
 
 Both give the same answer (up to floating-point rounding of sums).
 """
@@ -118,17 +118,51 @@ BARS = Timeline()
 TICKS = Timeline.of_ticks()
 
 
-def with_lags(df: DataFrame, line: Timeline, lags: Mapping[str, tuple[str | Column, int]]) -> DataFrame:
-    """Add ``{name: (value, steps)}`` as the value ``steps`` rows back, NULL at the head."""
-    if not lags:
+def with_scan(
+    df: DataFrame,
+    line: Timeline,
+    lags: Mapping[str, tuple[str | Column, int]] | None = None,
+    sums: Mapping[str, str | Column] | None = None,
+    peaks: Mapping[str, str] | None = None,
+    maxima: Mapping[str, str | Column] | None = None,
+    latest: Mapping[str, str | Column] | None = None,
+    index: str | None = None,
+    count: str | None = None,
+) -> DataFrame:
+    """Add lags, running aggregates and positions in one pass over the series.
+
+    lags:   new column -> (value, steps); the value that many rows back, NULL at the head
+    sums:   new column -> value to add up, from the series' first row to the current one
+    peaks:  new column -> name of one of ``sums``; its highest value so far
+    maxima: new column -> value whose highest so far is wanted
+    latest: new column -> value whose most recent non-NULL is wanted
+    index:  the row's place in its series (from 0); count: the rows of the series
+
+    Under blocks the rows are shuffled once, on ``(series, block)``. All windows of a block run there, and the
+    rows are written with what they found; the last rows of each block, read back from that table, say what its
+    later blocks carry. The carry has one row per block and is a written table too, so that it is broadcast while
+    it is small.
+    """
+    lags, sums, peaks = dict(lags or {}), dict(sums or {}), dict(peaks or {})
+    maxima, latest = dict(maxima or {}), dict(latest or {})
+    if not (lags or sums or maxima or latest or index or count):
         return df
     if not line.blocked:
         w = line.window()
-        return df.withColumns({name: F.lag(as_col(value), n).over(w) for name, (value, n) in lags.items()})
+        run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        added = {name: F.lag(as_col(value), n).over(w) for name, (value, n) in lags.items()}
+        added |= {n: F.sum(as_col(v)).over(run) for n, v in sums.items()}
+        added |= {n: F.max(as_col(v)).over(run) for n, v in maxima.items()}
+        added |= {n: F.last(as_col(v), ignorenulls=True).over(run) for n, v in latest.items()}
+        added |= {index: F.row_number().over(w).cast("long") - 1} if index else {}
+        added |= {count: F.count(F.lit(1)).over(Window.partitionBy(*line.keys))} if count else {}
+        out = df.withColumns(added)
+        return out.withColumns({n: F.max(of).over(run) for n, of in peaks.items()}) if peaks else out
 
-    depth = max(n for _, n in lags.values())
     keys = line.block_keys()
     w = line.window(blocked=True)
+    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    depth = max((n for _, n in lags.values()), default=0)
     # Each distinct value is carried once, however many lags it has.
     seen: dict[object, str] = {}
     values: dict[str, Column] = {}
@@ -139,34 +173,58 @@ def with_lags(df: DataFrame, line: Timeline, lags: Mapping[str, tuple[str | Colu
             seen[token] = f"_v{len(seen)}"
             values[seen[token]] = as_col(value)
         source[name] = seen[token]
-    local = line.with_block(df).withColumns(values)
-    numbered = local.withColumns(
-        {
-            "_rn": F.row_number().over(w),
-            **{f"_l{i}": F.lag(source[name], n).over(w) for i, (name, (_, n)) in enumerate(lags.items())},
-        }
-    )
-    # The last `depth` rows of each block, then of all blocks before it. Every
-    # block has at least one row, so `depth` earlier blocks always suffice. The
-    # rank filter is applied before the shuffle (a window group limit), so each
-    # task sends at most `depth` rows per block.
-    tails = (
-        local.select(*dict.fromkeys([*keys, *line.order_names(), *values]))
-        .withColumn("_rank", F.row_number().over(line.window(blocked=True, reverse=True)))
-        .where(F.col("_rank") <= depth)
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct((-F.col("_rank")).alias("_rank"), *values))).alias("_tail"))
+    local = line.with_block(df)
+    given = local.columns
+    taken = {f"_s{n}": as_col(v) for n, v in sums.items()} | {f"_m{n}": as_col(v) for n, v in maxima.items()}
+    taken |= {f"_k{n}": as_col(v) for n, v in latest.items()}
+    local = local.withColumns(values | taken)
+    within = {f"_l{i}": F.lag(source[name], n).over(w) for i, (name, (_, n)) in enumerate(lags.items())}
+    within |= {f"_r{n}": F.sum(f"_s{n}").over(run) for n in sums} | {f"_q{n}": F.max(f"_m{n}").over(run) for n in maxima}
+    within |= {f"_w{n}": F.last(f"_k{n}", ignorenulls=True).over(run) for n in latest}
+    within |= {"_rn": F.row_number().over(w).cast("long"), "_n": F.count(F.lit(1)).over(Window.partitionBy(*keys))}
+    scanned = local.withColumns(within)
+    tops = {f"_p{n}": F.max(f"_r{of}").over(run) for n, of in peaks.items()}
+    scanned = scanned.withColumns(tops) if tops else scanned
+    laid = written(scanned.select(*given, *values, *within, *tops), "scan")
+
+    left = F.col("_n") - F.col("_rn")
+    ends = [f"_r{n}" for n in sums] + [f"_p{n}" for n in peaks] + [f"_q{n}" for n in maxima] + [f"_w{n}" for n in latest] + ["_n"]
+    kept = [F.max(F.when(left == 0, F.col(f"`{c}`"))).alias(c) for c in ends]
+    if lags:
+        kept.append(F.array_sort(F.collect_list(F.struct("_rn", *values))).alias("_tail"))
+    blocks = laid.where(left < max(depth, 1)).groupBy(*keys).agg(*kept)
+    earlier = line.carry_window()
+    carry = blocks.withColumns(
+        {f"_b{n}": F.coalesce(F.sum(f"_r{n}").over(earlier), F.lit(0)) for n in sums}
+        | {f"_c{n}": F.max(f"_q{n}").over(earlier) for n in maxima}
+        | {f"_e{n}": F.last(f"_w{n}", ignorenulls=True).over(earlier) for n in latest}
+        | {"_before": F.coalesce(F.sum("_n").over(earlier), F.lit(0)), "_all": F.sum("_n").over(Window.partitionBy(*line.keys))}
     )
-    before = Window.partitionBy(*line.keys).orderBy(line.block_name).rowsBetween(-depth, -1)
-    carry = tails.select(*keys, F.flatten(F.collect_list("_tail").over(before)).alias("_halo"))
-    joined = numbered.join(carry, keys, "left")
-    added = {}
+    if peaks:
+        carry = carry.withColumns({f"_g{n}": F.max(F.col(f"_b{of}") + F.col(f"_p{n}")).over(earlier) for n, of in peaks.items()})
+    if lags:  # every block has at least one row, so as many blocks as the deepest lag has steps suffice
+        before = Window.partitionBy(*line.keys).orderBy(line.block_name).rowsBetween(-depth, -1)
+        carry = carry.withColumn("_halo", F.flatten(F.collect_list("_tail").over(before)))
+    carried = [f"_b{n}" for n in sums] + [f"_g{n}" for n in peaks] + [f"_c{n}" for n in maxima] + [f"_e{n}" for n in latest]
+    carried += ["_before", "_all", *(["_halo"] if lags else [])]
+    joined = laid.join(written(carry.select(*keys, *carried), "scan-carry"), keys, "left")
+
+    result = {}
     for i, (name, (_, n)) in enumerate(lags.items()):
-        reach_back = F.try_element_at("_halo", (F.col("_rn") - F.lit(n + 1)).cast("int"))
-        added[name] = F.when(F.col("_rn") > n, F.col(f"_l{i}")).otherwise(reach_back[source[name]])
-    return line.without_block(joined.withColumns(added)).drop(
-        "_rn", "_halo", *values, *(f"_l{i}" for i in range(len(lags)))
-    )
+        back = F.try_element_at("_halo", (F.col("_rn") - F.lit(n + 1)).cast("int"))
+        result[name] = F.when(F.col("_rn") > n, F.col(f"_l{i}")).otherwise(back[source[name]])
+    result |= {n: F.col(f"_b{n}") + F.col(f"_r{n}") for n in sums}
+    result |= {n: F.greatest(f"_g{n}", F.col(f"_b{of}") + F.col(f"_p{n}")) for n, of in peaks.items()}
+    result |= {n: F.greatest(f"_c{n}", f"_q{n}") for n in maxima}
+    result |= {n: F.coalesce(f"_w{n}", f"_e{n}") for n in latest}
+    result |= {index: F.col("_before") + F.col("_rn") - 1} if index else {}
+    result |= {count: F.col("_all")} if count else {}
+    return line.without_block(joined.withColumns(result)).drop(*values, *within, *tops, *carried)
+
+
+def with_lags(df: DataFrame, line: Timeline, lags: Mapping[str, tuple[str | Column, int]]) -> DataFrame:
+    """Add ``{name: (value, steps)}`` as the value ``steps`` rows back, NULL at the head."""
+    return with_scan(df, line, lags)
 
 
 def with_running(
@@ -177,63 +235,8 @@ def with_running(
     maxima: Mapping[str, str | Column] | None = None,
     latest: Mapping[str, str | Column] | None = None,
 ) -> DataFrame:
-    """Add running aggregates, each from the series' first row to the current one.
-
-    sums:   new column -> value to add up
-    peaks:  new column -> name of one of ``sums``; its highest value so far
-    maxima: new column -> value whose highest so far is wanted
-    latest: new column -> value whose most recent non-NULL is wanted
-    """
-    sums, peaks = dict(sums or {}), dict(peaks or {})
-    maxima, latest = dict(maxima or {}), dict(latest or {})
-    if not line.blocked:
-        w = line.window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        df = df.withColumns({n: F.sum(as_col(v)).over(w) for n, v in sums.items()}) if sums else df
-        tops = {n: F.max(as_col(v)).over(w) for n, v in {**peaks, **maxima}.items()}
-        tops |= {n: F.last(as_col(v), ignorenulls=True).over(w) for n, v in latest.items()}
-        return df.withColumns(tops) if tops else df
-
-    keys = line.block_keys()
-    w = line.window(blocked=True).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = line.with_block(df)
-    values = {f"_s{n}": as_col(v) for n, v in sums.items()} | {f"_m{n}": as_col(v) for n, v in maxima.items()}
-    values |= {f"_k{n}": as_col(v) for n, v in latest.items()}
-    local = local.withColumns(values)
-
-    def inside(frame: DataFrame) -> DataFrame:
-        frame = frame.withColumns({f"_r{n}": F.sum(f"_s{n}").over(w) for n in sums}) if sums else frame
-        tops = {f"_p{n}": F.max(f"_r{of}").over(w) for n, of in peaks.items()}
-        tops |= {f"_q{n}": F.max(f"_m{n}").over(w) for n in maxima}
-        tops |= {f"_w{n}": F.last(f"_k{n}", ignorenulls=True).over(w) for n in latest}
-        return frame.withColumns(tops) if tops else frame
-
-    # Per-block totals need no ordering unless a peak of a running sum is asked for.
-    base = inside(local) if peaks else local
-    totals = base.groupBy(*keys).agg(
-        *[F.sum(f"_s{n}").alias(f"_t{n}") for n in sums],
-        *[F.max(f"_r{of}").alias(f"_h{n}") for n, of in peaks.items()],
-        *[F.max(f"_m{n}").alias(f"_x{n}") for n in maxima],
-        *[F.max_by(f"_k{n}", F.when(F.col(f"_k{n}").isNotNull(), line.rank())).alias(f"_y{n}") for n in latest],
-    )
-    earlier = line.carry_window()
-    carry = totals.withColumns(
-        {f"_b{n}": F.coalesce(F.sum(f"_t{n}").over(earlier), F.lit(0)) for n in sums}
-        | {f"_c{n}": F.max(f"_x{n}").over(earlier) for n in maxima}
-        | {f"_e{n}": F.last(f"_y{n}", ignorenulls=True).over(earlier) for n in latest}
-    )
-    carry = carry.withColumns(
-        {f"_g{n}": F.max(F.col(f"_b{of}") + F.col(f"_h{n}")).over(earlier) for n, of in peaks.items()}
-    ) if peaks else carry
-    carried = [f"_b{n}" for n in sums] + [f"_g{n}" for n in peaks] + [f"_c{n}" for n in maxima]
-    carried += [f"_e{n}" for n in latest]
-    joined = inside(local).join(carry.select(*keys, *carried), keys, "left")
-    result = {n: F.col(f"_b{n}") + F.col(f"_r{n}") for n in sums}
-    result |= {n: F.greatest(f"_g{n}", F.col(f"_b{of}") + F.col(f"_p{n}")) for n, of in peaks.items()}
-    result |= {n: F.greatest(f"_c{n}", f"_q{n}") for n in maxima}
-    result |= {n: F.coalesce(f"_w{n}", f"_e{n}") for n in latest}
-    scratch = [*values, *carried, *(f"_r{n}" for n in sums)]
-    scratch += [f"_p{n}" for n in peaks] + [f"_q{n}" for n in maxima] + [f"_w{n}" for n in latest]
-    return line.without_block(joined.withColumns(result)).drop(*scratch)
+    """Add running aggregates, each from the series' first row to the current one (see :func:`with_scan`)."""
+    return with_scan(df, line, None, sums, peaks, maxima, latest)
 
 
 def _composed(factor: np.ndarray, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -288,24 +291,7 @@ def with_recurrence(df: DataFrame, line: Timeline, name: str, factor: str | Colu
 
 def with_position(df: DataFrame, line: Timeline, index: str = "row_no", count: str | None = "n_rows") -> DataFrame:
     """Add the row's position in its series (from 0) and, if named, the series length."""
-    if not line.blocked:
-        added = {index: F.row_number().over(line.window()).cast("long") - 1}
-        if count:
-            added[count] = F.count(F.lit(1)).over(Window.partitionBy(*line.keys))
-        return df.withColumns(added)
-    keys = line.block_keys()
-    local = line.with_block(df)
-    totals = local.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    carry = totals.select(
-        *keys,
-        F.coalesce(F.sum("_n").over(line.carry_window()), F.lit(0)).alias("_before"),
-        F.sum("_n").over(Window.partitionBy(*line.keys)).alias("_all"),
-    )
-    joined = local.withColumn("_rn", F.row_number().over(line.window(blocked=True))).join(carry, keys, "left")
-    added = {index: F.col("_before") + F.col("_rn") - 1}
-    if count:
-        added[count] = F.col("_all")
-    return line.without_block(joined.withColumns(added)).drop("_rn", "_before", "_all")
+    return with_scan(df, line, index=index, count=count)
 
 
 def with_last_values(df: DataFrame, line: Timeline, value: str | Column, n: int) -> DataFrame:
@@ -318,8 +304,7 @@ def with_last_values(df: DataFrame, line: Timeline, value: str | Column, n: int)
     if n <= 0:
         raise ValueError("the window needs a positive size")
     df = df.withColumn("_now", as_col(value))
-    df = with_lags(df, line, {f"_lag{i}": ("_now", i) for i in range(1, n + 1)})
-    df = with_position(df, line, "_at", None)
+    df = with_scan(df, line, {f"_lag{i}": ("_now", i) for i in range(1, n + 1)}, index="_at")
     newest_last = [f"_lag{i}" for i in range(n - 1, 0, -1)] + ["_now"]
     return df.withColumns(
         {
@@ -330,17 +315,6 @@ def with_last_values(df: DataFrame, line: Timeline, value: str | Column, n: int)
     ).drop("_now", "_at", *(f"_lag{i}" for i in range(1, n + 1)))
 
 
-def in_blocks(df: DataFrame, line: Timeline) -> tuple[DataFrame, Timeline]:
-    """Give the rows their time block once, for several operators in a row.
-
-    Each operator on the returned line finds the rows already laid out by
-    ``(series, block)``, so together they shuffle them once.
-    """
-    if line.block_column is not None or not line.blocked:
-        return df, line
-    return line.with_block(df), replace(line, block=None, block_column=BLOCK)
-
-
 #: Rows of a series that one block is meant to hold, and sampled rows per block that place the cuts. Neither
 #: changes a result.
 ROWS_PER_BLOCK = 250_000
