@@ -2,7 +2,6 @@ from __future__ import annotations
 
 import datetime as dt
 import math
-from decimal import Decimal
 
 import pandas as pd
 import pytest
@@ -141,44 +140,41 @@ def test_last_values(spark, landed):
     assert {r.symbol: r.price for r in got.collect()} == want
 
 
-# --- processors, called the way a stream calls them --------------------------------
-
-def frame(values, start=0):
-    times = [dt.datetime(2024, 1, 1) + dt.timedelta(hours=12 * (start + i)) for i in range(len(values))]
-    return pd.DataFrame({"symbol": "X", "datetime": times, "close": [float(v) for v in values]})
-
-
-def test_sliding_window_processor():
-    p = state.SlidingWindow(3)
-    out, memory = p.on_events(("X",), frame([1, 2]), p.first_state())
-    more, memory = p.on_events(("X",), frame([3, 4], 2), memory)
-    assert [None if pd.isna(v) else v for v in [*out.dropped, *more.dropped]] == [None, None, None, 1.0]
-    assert memory == ([2.0, 3.0, 4.0],)
-    with pytest.raises(ValueError):
-        state.SlidingWindow(0)
-
-
-def test_log_return_processor_keeps_its_price():
-    p = state.LogReturn()
-    out, memory = p.on_events(("X",), frame([100]), p.first_state())
-    assert len(out) == 0
-    out, memory = p.on_events(("X",), frame([120, 100], 1), memory)
-    assert list(out.log_return) == pytest.approx([math.log(1.2), -math.log(1.2)])
-    out, memory = p.on_events(("X",), frame([0, 50, 100], 3), memory)
-    assert list(out.log_return[:2]) == [None, None] and out.log_return[2] == pytest.approx(math.log(2))
-
-
-def test_strategy_trades_after_three_returns():
-    p = state.TakerStrategy([-1.0, 0.0, 0.0], 0.0, 100)
-    out, memory = p.on_events(("X",), frame([10, 120, 90]), p.first_state())
-    assert len(out) == 0
-    out, memory = p.on_events(("X",), frame([100], 3), memory)
-    assert list(out.signed_qty) == [Decimal("-1.00000000")]
-    out, memory = p.on_events(("X",), frame([115], 4), memory)
-    assert list(out.seq) == [0, 1] and list(out.pnl) == [Decimal(-15), Decimal(0)]
-    assert list(out.balance) == [Decimal(85)] * 2 and float(out.signed_qty[1]) == pytest.approx(-85 / 115)
-    out, memory = p.on_events(("X",), frame([100], 5), memory)
-    assert float(out.pnl[0]) == pytest.approx(15 * 85 / 115, abs=1e-6) and out.signed_qty[1] > 0
+LINE = Timeline(("symbol",), ("datetime", "id"))
+
+
+def changes(rows):
+    return ticks.lag_vector(rows, 1, line=LINE)
+
+
+def equity(rows):
+    """Batch form of the running stream below."""
+    return with_running(changes(rows), LINE, {"total": "log_return_lag_1"}, {"peak": "total"})
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2), (0, 1, 1, 2, 2), (0, 0, 1, 2)])
+def test_running_totals_over_batches_and_retries(spark, landed, order):
+    df, _ = landed
+    step = ticks.RunningStream(spark, 1, changes, {"total": "log_return_lag_1"}, {"peak": "total"}, LINE)
+    parts = [df.where(F.floor(F.col("id") / 80) == p).where("symbol <> 'b' OR id < 80") for p in range(3)]
+    for n in order:
+        step(parts[n], n)
+    got = spark.read.parquet(step.result)
+    want = equity(df.where("symbol <> 'b' OR id < 80"))  # one symbol falls silent, and its totals are kept
+    assert rows(got, "symbol", "id", "total", "peak") == rows(want, "symbol", "id", "total", "peak")
+    totals = {r.symbol for r in spark.read.parquet(f"{step.path}/totals/batch_id=2").collect()}
+    assert totals == {"HOT", "a", "b"}
+
+
+def test_running_totals_after_a_restart(spark, landed, tmp_path):
+    df, _ = landed
+    folder = str(tmp_path / "first")
+    for part in ("id < 100", "id >= 100"):
+        df.where(part).coalesce(1).write.mode("append").parquet(folder)
+        source = read_stream(spark, folder, spark.read.schema(SCHEMA).parquet(folder).schema)
+        out = ticks.run_running_stream(source, 1, changes, {"total": "log_return_lag_1"}, {"peak": "total"}, LINE, str(tmp_path / "c"))
+    assert rows(out, "symbol", "id", "total", "peak") == rows(equity(df), "symbol", "id", "total", "peak")
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
 
 
 def test_own_processor_on_a_stream(spark, landed):

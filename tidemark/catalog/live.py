@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.features import add_log_return, lag_names
+from ..functions.maths import direction, dot, log_ratio
+from ..operators.features import add_log_return, add_log_return_features, lag_names
 from ..operators.ordered import BARS as CLOSES
-from ..operators.ordered import with_last_values
+from ..operators.ordered import with_lags, with_last_values
 from ..sources.sample_tables import as_trades, table
 from ..streaming import bars as live_bars
-from ..streaming import state, ticks
+from ..streaming import ticks
 from ..streaming.run import latest_rows, read_stream, run_to_table
-from .base import BIAS, R, RS, SAFE_LOG, TRADES, WEIGHTS, bucket, ohlc_sql, query, r6, rounded
+from .base import BIAS, LAGS, R, RS, SAFE_LOG, TRADES, WEIGHTS, bucket, ohlc_sql, query, r6, rounded
 
 DELAY = "10 minutes"
 
@@ -99,25 +100,66 @@ def stream_window(spark, sf):
     return out.select("symbol", "datetime", r6("dropped").alias("dropped"), F.size("window").alias("n_values"), "is_full")
 
 
+RETURNS = f"""{MEANS}, p AS (SELECT *, lag(close) OVER w AS before, ln(close / lag(close) OVER w) AS r FROM closed
+    WINDOW w AS (PARTITION BY symbol ORDER BY datetime))"""
+RUN = "OVER (PARTITION BY symbol ORDER BY datetime ROWS UNBOUNDED PRECEDING)"
+
+
+@query(
+    "stream_equity",
+    f"""WITH {RETURNS}, y AS (SELECT *, lag(r, 1) OVER w * -0.5e0 + lag(r, 2) OVER w * -0.1e0 + lag(r, 3) OVER w * 0.05e0 + 0.001e0 AS y_hat FROM p
+      WINDOW w AS (PARTITION BY symbol ORDER BY datetime)),
+    t AS (SELECT symbol, datetime, sign(y_hat) * r AS trade_log_return FROM y WHERE y_hat IS NOT NULL AND r IS NOT NULL),
+    c AS (SELECT *, sum(trade_log_return) {RUN} AS equity_curve FROM t)
+    SELECT symbol, datetime, {RS('trade_log_return', 'equity_curve')}, {R(f'equity_curve - max(equity_curve) {RUN}', 'drawdown_log_return')} FROM c""",
+)
+def stream_equity(spark, sf):
+    """Trades of a fixed model on closed bars, their equity curve and its drawdown, batch after batch."""
+
+    def step(rows):
+        out = add_log_return_features(rows, "close", 1, 3, CLOSES)
+        return out.withColumn("trade_log_return", direction(dot(LAGS, WEIGHTS, BIAS)) * F.col("close_log_return"))
+
+    out = ticks.run_running_stream(_closed_means(spark, sf), 4, step, {"equity_curve": "trade_log_return"}, {"peak": "equity_curve"}, CLOSES)
+    out = out.where("trade_log_return IS NOT NULL").withColumn("drawdown_log_return", F.col("equity_curve") - F.col("peak"))
+    return rounded(out, "symbol", "datetime", "trade_log_return", "equity_curve", "drawdown_log_return")
+
+
+CAPITAL, SHARE = 100.0, 0.1
+
+
 @query(
     "stream_ledger",
-    f"""WITH RECURSIVE {MEANS}, r AS (SELECT symbol, datetime, close, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY datetime)) AS r FROM closed),
-    y AS (SELECT symbol, datetime, close, r * -0.5e0 + lag(r, 1) OVER w * -0.1e0 + lag(r, 2) OVER w * 0.05e0 + 0.001e0 AS y_hat FROM r
+    f"""WITH {RETURNS}, y AS (SELECT *, r * -0.5e0 + lag(r, 1) OVER w * -0.1e0 + lag(r, 2) OVER w * 0.05e0 + 0.001e0 AS y_hat FROM p
       WINDOW w AS (PARTITION BY symbol ORDER BY datetime)),
-    steps AS (SELECT symbol, datetime, CAST(close AS DECIMAL(18,8)) AS price, CAST(sign(y_hat) AS INTEGER) AS side,
-      row_number() OVER (PARTITION BY symbol ORDER BY datetime) AS n FROM y WHERE y_hat IS NOT NULL),
-    acc AS (SELECT symbol, datetime, n, price, CAST(0 AS DECIMAL(18,8)) AS old_qty, CAST(0 AS DECIMAL(38,16)) AS pnl, CAST(100 AS DECIMAL(38,16)) AS balance,
-        CAST(side * 100e0 / CAST(price AS DOUBLE) * 0.1e0 AS DECIMAL(18,8)) AS qty FROM steps WHERE n = 1
-      UNION ALL
-      SELECT s.symbol, s.datetime, s.n, s.price, a.qty, CAST(a.qty * (s.price - a.price) AS DECIMAL(38,16)),
-        CAST(a.balance + a.qty * (s.price - a.price) AS DECIMAL(38,16)),
-        CAST(s.side * CAST(a.balance + a.qty * (s.price - a.price) AS DOUBLE) / CAST(s.price AS DOUBLE) * 0.1e0 AS DECIMAL(18,8))
-      FROM acc a JOIN steps s ON s.symbol = a.symbol AND s.n = a.n + 1)
-    SELECT symbol, datetime, 0 AS seq, {R('-old_qty', 'signed_qty')}, {R('pnl')}, {R('balance')} FROM acc WHERE old_qty <> 0
-    UNION ALL SELECT symbol, datetime, 1, {R('qty', 'signed_qty')}, 0e0 AS pnl, {R('balance')} FROM acc WHERE qty <> 0""",
+    s AS (SELECT symbol, datetime, close, before, sign(y_hat) AS side, lag(sign(y_hat)) OVER (PARTITION BY symbol ORDER BY datetime) AS held FROM y),
+    g AS (SELECT *, 1 + {SHARE}e0 * coalesce(held, 0) * (close / before - 1) AS growth FROM s),
+    b AS (SELECT *, {CAPITAL}e0 * exp(sum(ln(coalesce(growth, 1))) {RUN}) AS balance FROM g),
+    q AS (SELECT *, {SHARE}e0 * held * balance / growth / before AS old_qty, {SHARE}e0 * side * balance / close AS qty FROM b)
+    SELECT symbol, datetime, 0 AS seq, {R('-old_qty', 'signed_qty')}, {R('old_qty * (close - before)', 'pnl')}, {R('balance')} FROM q WHERE old_qty <> 0
+    UNION ALL SELECT symbol, datetime, 1, {R('qty', 'signed_qty')}, 0e0 AS pnl, {R('balance')} FROM q WHERE qty <> 0""",
 )
 def stream_ledger(spark, sf):
-    """Lags, prediction, close-and-open orders and a compounding balance, bar close by bar close."""
-    strategy = state.TakerStrategy(WEIGHTS, BIAS, 100, 0.1)
-    path = run_to_table(state.apply(_closed_means(spark, sf), strategy))
-    return rounded(spark.read.parquet(path), "symbol", "datetime", "seq", "signed_qty", "pnl", "balance")
+    """Lags, prediction, close-and-open orders and a compounding balance, bar close by bar close.
+
+    A position is worth a share of the balance, so a bar multiplies the balance by what follows from two prices
+    and the side taken at the first: the balance is a running sum of logarithms.
+    """
+
+    def step(rows):
+        back = {f"_p{i}": ("close", i) for i in range(1, 5)}
+        out = with_lags(rows, CLOSES, back)
+        returns = [log_ratio(a, b) for a, b in zip(["close", *back], back)]
+        side = lambda r: direction(sum(w * x for w, x in zip(WEIGHTS, r)) + BIAS)
+        growth = 1 + F.lit(SHARE) * F.coalesce(side(returns[1:]), F.lit(0.0)) * (F.col("close") / F.col("_p1") - 1)
+        return out.withColumns({"side": side(returns[:3]), "held": side(returns[1:]), "before": F.col("_p1"), "growth": growth, "log_growth": F.ln(growth)}).drop(*back)
+
+    out = ticks.run_running_stream(_closed_means(spark, sf), 5, step, {"log_balance": "log_growth"}, line=CLOSES)
+    out = out.withColumn("balance", F.lit(CAPITAL) * F.exp(F.coalesce("log_balance", F.lit(0.0))))
+    old = F.lit(SHARE) * F.col("held") * F.col("balance") / F.col("growth") / F.col("before")
+    orders = F.array(
+        F.struct(F.lit(0).alias("seq"), (-old).alias("signed_qty"), (old * (F.col("close") - F.col("before"))).alias("pnl")),
+        F.struct(F.lit(1).alias("seq"), (F.lit(SHARE) * F.col("side") * F.col("balance") / F.col("close")).alias("signed_qty"), F.lit(0.0).alias("pnl")),
+    )
+    out = out.select("symbol", "datetime", "balance", F.explode(orders).alias("_o")).select("symbol", "datetime", "balance", "_o.*")
+    return rounded(out.where("signed_qty <> 0"), "symbol", "datetime", "seq", "signed_qty", "pnl", "balance")

@@ -1,23 +1,20 @@
-"""Operators with private state per series, for logic that must go event by event.
+"""Stream operators of your own with private state per series.
 
-Meant for bar closes and other thinned-out series, where one decision depends on
-the outcome of the last one. A subclass says what it remembers and what it does
-with the next events, which arrive in order. (Look-back features of raw ticks
-are better served by :mod:`tidemark.streaming.ticks`.)
+For bar closes and other thinned-out series whose logic no batch operator has. A
+subclass says what it remembers and what it does with the next events, which
+arrive in order. Look-back features, running totals and peaks need none of this:
+see :mod:`tidemark.streaming.ticks`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from decimal import ROUND_HALF_UP, Decimal
 from typing import Any
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-MONEY = Decimal("0.00000001")
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -62,91 +59,3 @@ def apply(stream: DataFrame, processor: SeriesProcessor, keys: Sequence[str] = (
     return stream.groupBy(*keys).transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=processor.output, outputMode=mode, timeMode="None"
     )
-
-
-class LogReturn(SeriesProcessor):
-    """Log return per event, NULL where a price is zero or negative; no row for the first."""
-
-    output = "symbol string, datetime timestamp, log_return double"
-    remember = "price double"
-
-    def first_state(self) -> tuple:
-        return (None,)
-
-    def on_events(self, key, events, state):
-        prices = events["close"].to_numpy(dtype=float)
-        before = np.concatenate([[np.nan if state[0] is None else state[0]], prices[:-1]])
-        known = (prices > 0) & (before > 0)
-        returns = np.full(len(prices), np.nan)
-        returns[known] = np.log(prices[known] / before[known])
-        out = pd.DataFrame({"symbol": key[0], "datetime": events["datetime"], "log_return": pd.Series(returns, dtype=object).where(known, None)})
-        return out.iloc[1 if state[0] is None else 0 :], (float(prices[-1]),)
-
-
-class SlidingWindow(SeriesProcessor):
-    """The last ``n`` values: what each event dropped, and the window after it."""
-
-    output = "symbol string, datetime timestamp, dropped double, window array<double>, is_full boolean"
-    remember = "values array<double>"
-
-    def __init__(self, n: int):
-        if n <= 0:
-            raise ValueError("the window needs a positive size")
-        self.n = n
-
-    def first_state(self) -> tuple:
-        return ([],)
-
-    def on_events(self, key, events, state):
-        values = [float(v) for v in state[0]]
-        made = []
-        for when, value in zip(events["datetime"], events["close"], strict=True):
-            dropped = values.pop(0) if len(values) == self.n else None
-            values.append(float(value))
-            made.append((key[0], when, dropped, list(values), len(values) == self.n))
-        return pd.DataFrame(made, columns=["symbol", "datetime", "dropped", "window", "is_full"]), (values,)
-
-
-class TakerStrategy(SeriesProcessor):
-    """Predict from the last lags, close the old position, open the new one.
-
-    One account per series, compounding: each position is worth the account's
-    equity times ``scale``. Emits every fill with its booked profit and the
-    balance after it.
-    """
-
-    output = (
-        "symbol string, datetime timestamp, seq int, signed_qty decimal(18,8), price decimal(18,8),"
-        " pnl decimal(38,16), balance decimal(38,16)"
-    )
-    remember = "prices array<double>, balance decimal(38,16), qty decimal(18,8), entry decimal(18,8)"
-
-    def __init__(self, weights: Sequence[float], bias: float, capital: float, scale: float = 1.0):
-        self.weights, self.bias = [float(w) for w in weights], float(bias)
-        self.capital, self.scale = Decimal(str(capital)), Decimal(str(scale))
-
-    def first_state(self) -> tuple:
-        return ([], self.capital, Decimal(0), Decimal(0))
-
-    def on_events(self, key, events, state):
-        prices, balance, qty, entry = list(state[0]), state[1], state[2], state[3]
-        fills = []
-        for when, close in zip(events["datetime"], events["close"], strict=True):
-            if not close > 0:  # neither a return nor a fill exists at such a price
-                continue
-            prices = [*prices, float(close)][-(len(self.weights) + 1):]
-            if len(prices) <= len(self.weights):
-                continue
-            returns = np.diff(np.log(prices))[::-1]
-            y_hat = float(np.dot(returns, self.weights)) + self.bias
-            price = Decimal(repr(float(close))).quantize(MONEY, ROUND_HALF_UP)
-            if qty:
-                pnl = qty * (price - entry)
-                balance += pnl
-                fills.append((key[0], when, 0, -qty, price, pnl, balance))
-            side = Decimal(int(np.sign(y_hat)))
-            qty, entry = (side * balance / price * self.scale).quantize(MONEY, ROUND_HALF_UP), price
-            if qty:
-                fills.append((key[0], when, 1, qty, price, Decimal(0), balance))
-        names = ["symbol", "datetime", "seq", "signed_qty", "price", "pnl", "balance"]
-        return pd.DataFrame(fills, columns=names), (prices, balance, qty, entry)

@@ -9,14 +9,14 @@ memory and writes the same rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.maths import dot, log_ratio
 from ..operators.features import lag_names
-from ..operators.ordered import TICKS, Timeline, with_lags
+from ..operators.ordered import TICKS, Timeline, with_lags, with_running
 from ..session import remove_table, scratch_path
 from .run import run_to_table, table_path
 
@@ -65,22 +65,76 @@ class RememberedStream:
         # Batch ids are consecutive, so the memory before batch N is that of N - 1.
         return spark.read.schema(schema).parquet(f"{self.path}/memory/batch_id={batch_id - 1}")
 
+    def _finished(self, out: DataFrame, batch_id: int) -> DataFrame:
+        """What is written of the batch's own rows."""
+        return out
+
+    def _written(self, out: DataFrame, batch_id: int) -> None:
+        """Called with the batch's written rows."""
+
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rows = batch.withColumn("_old", F.lit(False))
         memory = self._memory(spark, batch_id, batch.schema)
         if memory is not None:
             rows = rows.unionByName(memory.withColumn("_old", F.lit(True)))
-        out = self.step(rows).where(~F.col("_old")).drop("_old")
+        out = self._finished(self.step(rows).where(~F.col("_old")).drop("_old"), batch_id)
         out.write.mode("overwrite").parquet(f"{self.result}/batch_id={batch_id}")
+        written = spark.read.schema(out.schema).parquet(f"{self.result}/batch_id={batch_id}")
+        self._written(written, batch_id)
         new = batch
         if set(batch.columns) <= set(out.columns):  # what was written has the rows: the batch is not computed again
-            new = spark.read.schema(out.schema).parquet(f"{self.result}/batch_id={batch_id}").select(batch.columns)
+            new = written.select(batch.columns)
         keep = newest(new if memory is None else new.unionByName(memory), self.depth, self.line)
         keep.write.mode("overwrite").parquet(f"{self.path}/memory/batch_id={batch_id}")
         remove_table(spark, f"{self.path}/memory/batch_id={batch_id - 2}")  # no retry goes back that far
 
 
+class RunningStream(RememberedStream):
+    """A step with running totals and peaks that go on from batch to batch.
+
+    ``sums`` and ``peaks`` are as in :func:`with_running`, over columns of the step's result. Within a batch they
+    run like batch data; a second memory holds one row per series, its totals and peaks so far
+    (``totals/batch_id=N``). A retried batch starts from the same totals. The step keeps the batch's rows: a row
+    without a value has a NULL one.
+    """
+
+    def __init__(
+        self, spark: SparkSession, depth: int, step: Step, sums: Mapping[str, str | Column], peaks: Mapping[str, str] | None = None,
+        line: Timeline = TICKS, path: str | None = None,
+    ):
+        super().__init__(spark, depth, step, line, path)
+        self.sums, self.peaks = dict(sums), dict(peaks or {})
+
+    def _totals(self, spark: SparkSession, batch_id: int, out: DataFrame) -> DataFrame | None:
+        if batch_id == 0:
+            return None
+        schema = out.select(*self.line.keys, *self.sums, *self.peaks).schema
+        return spark.read.schema(schema).parquet(f"{self.path}/totals/batch_id={batch_id - 1}")
+
+    def _finished(self, out: DataFrame, batch_id: int) -> DataFrame:
+        out = with_running(out, self.line, self.sums, self.peaks)
+        before = self._totals(out.sparkSession, batch_id, out)
+        if before is None:
+            return out
+        names = [*self.sums, *self.peaks]
+        before = before.select(*self.line.keys, *[F.col(n).alias(f"_{n}") for n in names])
+        base = {n: F.coalesce(F.col(f"_{n}"), F.lit(0)) for n in self.sums}
+        later = {n: F.when(F.col(f"_{n}").isNull(), F.col(n)).otherwise(base[n] + F.coalesce(F.col(n), F.lit(0))) for n in self.sums}
+        later |= {n: F.greatest(f"_{n}", base[of] + F.col(n)) for n, of in self.peaks.items()}
+        kept = [later[c].cast(out.schema[c].dataType).alias(c) if c in later else F.col(c) for c in out.columns]
+        return out.join(before, list(self.line.keys), "left").select(*kept)
+
+    def _written(self, out: DataFrame, batch_id: int) -> None:
+        last = [F.max_by(n, F.when(F.col(n).isNotNull(), self.line.rank())).alias(n) for n in self.sums]
+        new = out.groupBy(*self.line.keys).agg(*last, *[F.max(n).alias(n) for n in self.peaks])
+        before = self._totals(out.sparkSession, batch_id, out)
+        if before is not None:
+            new = new.unionByName(before.join(new.select(*self.line.keys), list(self.line.keys), "left_anti"))
+        new.write.mode("overwrite").parquet(f"{self.path}/totals/batch_id={batch_id}")
+        remove_table(out.sparkSession, f"{self.path}/totals/batch_id={batch_id - 2}")
+
+
 def run_lag_stream(
     ticks: DataFrame, lags: int = 3, weights: Sequence[float] | None = None, bias: float = 0.0,
     line: Timeline = TICKS, checkpoint: str | None = None, path: str | None = None,
@@ -110,3 +164,14 @@ def run_step_stream(
     run_to_table(ticks, writer=stream, checkpoint=checkpoint)
     return ticks.sparkSession.read.parquet(stream.result)
 
+
+
+def run_running_stream(
+    ticks: DataFrame, depth: int, step: Step, sums: Mapping[str, str | Column], peaks: Mapping[str, str] | None = None,
+    line: Timeline = TICKS, checkpoint: str | None = None, path: str | None = None,
+) -> DataFrame:
+    """A batch operator that looks back at most ``depth`` rows, and running totals and peaks of what it gives."""
+    path = path or table_path(ticks.sparkSession, checkpoint, "running-stream")
+    stream = RunningStream(ticks.sparkSession, depth, step, sums, peaks, line, path)
+    run_to_table(ticks, writer=stream, checkpoint=checkpoint)
+    return ticks.sparkSession.read.parquet(stream.result)
