@@ -67,6 +67,85 @@ def test_hidden_is_an_attribute():
         assert one(f"<article>x<section {unseen}><p>text</p></section></article>") == "x", unseen
 
 
+ARTICLE = "<p>" + "words of the article " * 9 + "</p>"
+KEPT = [
+    '<div class="content-sidebar-wrap"><main><article>%s</article></main></div>', '<div id="page" class="site header-fixed"><article>%s</article></div>',
+    '<div class="layout sidebar-right"><div class="post">%s</div></div>', '<article><div class="side-by-side">%s</div></article>',
+    '<article><section id="discussion">%s</section></article>', '<article><section id="related-work">%s</section></article>',
+    '<article><div class="notice-board">%s</div></article>', '<div class="page-header"><article>%s</article></div>',
+    '<article><div class="side">%s</div></article>', '<article class="post comments-open">%s</article>', '<div class="post-header">%s</div>',
+]
+LEFT_OUT = [
+    '<article>%s<article class="comment"><p>First!</p></article></article>', '<article>%s</article><article class="comment depth-1"><p>First!</p></article>',
+    '<article>%s<div id="postComments"><p>First!</p></div></article>', '<article>%s<div class="commentlist2"><p>First!</p></div></article>',
+    '<article>%s<ins class="adsbygoogle">Buy</ins></article>', '<article>%s<div class="cookieBanner"><p>Accept</p></div></article>',
+    '<article>%s<div class="sidebarLeft"><p>More</p></div></article>', '<article>%s<div class="related-posts"><p>More</p></div></article>',
+    '<div class="post">%s</div><div class="widget-area"><p>More</p></div>', '<article>%s<div role="navigation"><p>More</p></div></article>',
+    '<article>%s</article><div class="comments"><article><p>First!</p></article></div>',
+]
+
+
+@pytest.mark.parametrize("box", KEPT + LEFT_OUT)
+def test_words_in_names(spark, box):
+    """A name marks an aside word by word, and not what holds the article."""
+    rows = [(i, f"http://h{i % 2}.example/", "<body><div class=menu>Menu</div>" + box % ARTICLE.replace("words", f"words {i}") + "</body>") for i in range(4)]
+    got = {r["page_id"]: r["text"] for r in pages.main_texts(frame(spark, rows)).collect()}
+    assert got == {i: " ".join([f"words {i} of the article"] * 9) for i in range(4)}
+
+
+def test_a_host_says_which_box_is_no_aside(spark):
+    """Where most pages have most of their text in a box that is marked, it is lifted on all of them; a long sidebar is not."""
+    rows, want = [], {}
+    for i in range(9):
+        article = " ".join(f"own{i} words" for _ in range(3 if i == 8 else 60))
+        extra = " ".join(f"side{i}" for _ in range(400 if i == 7 else 9))
+        rows.append((i, "http://a.example/", f'<body><div class="sidebar">{article}</div><p>{"x " * 20}</p></body>'))
+        rows.append((100 + i, "http://b.example/", f'<body><div class="post">{article}</div><div class="sidebar">{extra}</div></body>'))
+        want[i] = want[100 + i] = article
+    got = {r["page_id"]: r["text"] for r in pages.main_texts(frame(spark, rows)).collect()}
+    assert got == want
+
+
+def test_ids_stay_exact(spark):
+    rows = [(9007199254740993, "u", "<p>a"), (None, "u", "<p>b"), (-1, None, "<p>c")]
+    got = {r["page_id"]: r["text"] for r in pages.main_texts(frame(spark, rows)).collect()}
+    assert got == {9007199254740993: "a", None: "b", -1: "c"}
+    text = spark.createDataFrame([("k-1", "u", "<p>a")], "page_id string, url string, html string")
+    assert pages.main_texts(text).first()["page_id"] == "k-1"
+
+
+def test_votes_and_widening_against_plain(spark):
+    """Paths, lifted boxes and parents per host, counted page by page, on pages in wrapper classes."""
+    import random
+
+    rng = random.Random(4)
+    rows = []
+    for i in range(60):
+        host = rng.choice("abc")
+        wrap = {"a": "layout sidebar-right", "b": "site header-fixed", "c": "content-sidebar-wrap"}[host]
+        main = " ".join(f"w{rng.randint(0, 999)}" for _ in range(rng.randint(30, 90)))
+        head = f"<h1>Title {i}</h1>"
+        rows.append((i, f"http://{host}.example/{i}", f'<body><div class="menu">Home</div><div class="{wrap}">{head}<div class="text"><p>{main}</p></div></div><div class="footer">end</div></body>'))
+    got = {r["page_id"]: r["text"] for r in pages.main_texts(frame(spark, rows)).collect()}
+    hosts = {}
+    for _, url, page in rows:
+        hosts.setdefault(url.split("/")[2], []).append(pages.blocks_of(page))
+    for i, url, page in rows:
+        own = hosts[url.split("/")[2]]
+        shares = [pages.asides_of(b) for b in own]
+        lifted = {p for s in shares for p in s if sum(1 if t[p] >= 0.5 else -1 for t in shares if p in t) > 0}
+        score = {}
+        for b in own:
+            mine = pages.scores_of(pages.without_asides(b, lifted))
+            for path, s in mine.items():
+                score[path] = score.get(path, 0) + round(s / max(mine.values()), 6)
+        best = max(score, key=lambda p: (round(score[p], 3), p))
+        blocks = pages.without_asides(pages.blocks_of(page), lifted)
+        inside = [[t for n, t in blocks if any(x.path == p for x in n.around())] for p in (best, pages.parent_of(best))]
+        assert got[i] == "\n".join(inside[1] if len(inside[0]) < len(inside[1]) else inside[0])
+        assert got[i].startswith(f"Title {i}\nw")
+
+
 def test_article_in_sibling_containers(spark):
     """A headline and parts beside the longest container belong to the article; links and what all pages have alike do not."""
     inner = '<div class="post"><h1><a href="/">Title %d</a></h1><div class="intro"><p>%s</p></div><div class="text"><p>%s</p></div></div>'
