@@ -181,44 +181,44 @@ def with_scan(
     within = {f"_l{i}": F.lag(source[name], n).over(w) for i, (name, (_, n)) in enumerate(lags.items())}
     within |= {f"_r{n}": F.sum(f"_s{n}").over(run) for n in sums} | {f"_q{n}": F.max(f"_m{n}").over(run) for n in maxima}
     within |= {f"_w{n}": F.last(f"_k{n}", ignorenulls=True).over(run) for n in latest}
-    within |= {"_rn": F.row_number().over(w).cast("long"), "_n": F.count(F.lit(1)).over(Window.partitionBy(*keys))}
+    within |= {"_scan_no": F.row_number().over(w).cast("long"), "_scan_rows": F.count(F.lit(1)).over(Window.partitionBy(*keys))}
     scanned = local.withColumns(within)
     tops = {f"_p{n}": F.max(f"_r{of}").over(run) for n, of in peaks.items()}
     scanned = scanned.withColumns(tops) if tops else scanned
     laid = written(scanned.select(*given, *values, *within, *tops), "scan")
 
-    left = F.col("_n") - F.col("_rn")
-    ends = [f"_r{n}" for n in sums] + [f"_p{n}" for n in peaks] + [f"_q{n}" for n in maxima] + [f"_w{n}" for n in latest] + ["_n"]
+    left = F.col("_scan_rows") - F.col("_scan_no")
+    ends = [f"_r{n}" for n in sums] + [f"_p{n}" for n in peaks] + [f"_q{n}" for n in maxima] + [f"_w{n}" for n in latest] + ["_scan_rows"]
     kept = [F.max(F.when(left == 0, F.col(f"`{c}`"))).alias(c) for c in ends]
     if lags:
-        kept.append(F.array_sort(F.collect_list(F.struct("_rn", *values))).alias("_tail"))
+        kept.append(F.array_sort(F.collect_list(F.struct("_scan_no", *values))).alias("_scan_tail"))
     blocks = laid.where(left < max(depth, 1)).groupBy(*keys).agg(*kept)
     earlier = line.carry_window()
     carry = blocks.withColumns(
         {f"_b{n}": F.coalesce(F.sum(f"_r{n}").over(earlier), F.lit(0)) for n in sums}
         | {f"_c{n}": F.max(f"_q{n}").over(earlier) for n in maxima}
         | {f"_e{n}": F.last(f"_w{n}", ignorenulls=True).over(earlier) for n in latest}
-        | {"_before": F.coalesce(F.sum("_n").over(earlier), F.lit(0)), "_all": F.sum("_n").over(Window.partitionBy(*line.keys))}
+        | {"_scan_before": F.coalesce(F.sum("_scan_rows").over(earlier), F.lit(0)), "_scan_all": F.sum("_scan_rows").over(Window.partitionBy(*line.keys))}
     )
     if peaks:
         carry = carry.withColumns({f"_g{n}": F.max(F.col(f"_b{of}") + F.col(f"_p{n}")).over(earlier) for n, of in peaks.items()})
     if lags:  # every block has at least one row, so as many blocks as the deepest lag has steps suffice
         before = Window.partitionBy(*line.keys).orderBy(line.block_name).rowsBetween(-depth, -1)
-        carry = carry.withColumn("_halo", F.flatten(F.collect_list("_tail").over(before)))
+        carry = carry.withColumn("_scan_halo", F.flatten(F.collect_list("_scan_tail").over(before)))
     carried = [f"_b{n}" for n in sums] + [f"_g{n}" for n in peaks] + [f"_c{n}" for n in maxima] + [f"_e{n}" for n in latest]
-    carried += ["_before", "_all", *(["_halo"] if lags else [])]
+    carried += ["_scan_before", "_scan_all", *(["_scan_halo"] if lags else [])]
     joined = laid.join(written(carry.select(*keys, *carried), "scan-carry"), keys, "left")
 
     result = {}
     for i, (name, (_, n)) in enumerate(lags.items()):
-        back = F.try_element_at("_halo", (F.col("_rn") - F.lit(n + 1)).cast("int"))
-        result[name] = F.when(F.col("_rn") > n, F.col(f"_l{i}")).otherwise(back[source[name]])
+        back = F.try_element_at("_scan_halo", (F.col("_scan_no") - F.lit(n + 1)).cast("int"))
+        result[name] = F.when(F.col("_scan_no") > n, F.col(f"_l{i}")).otherwise(back[source[name]])
     result |= {n: F.col(f"_b{n}") + F.col(f"_r{n}") for n in sums}
     result |= {n: F.greatest(f"_g{n}", F.col(f"_b{of}") + F.col(f"_p{n}")) for n, of in peaks.items()}
     result |= {n: F.greatest(f"_c{n}", f"_q{n}") for n in maxima}
     result |= {n: F.coalesce(f"_w{n}", f"_e{n}") for n in latest}
-    result |= {index: F.col("_before") + F.col("_rn") - 1} if index else {}
-    result |= {count: F.col("_all")} if count else {}
+    result |= {index: F.col("_scan_before") + F.col("_scan_no") - 1} if index else {}
+    result |= {count: F.col("_scan_all")} if count else {}
     return line.without_block(joined.withColumns(result)).drop(*values, *within, *tops, *carried)
 
 
