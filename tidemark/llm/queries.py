@@ -7,6 +7,7 @@ from .fingerprints import op3_fingerprints
 from .middle import OP12_SQL, op12_fill_in_middle
 from .mixing import op10_mix
 from .neardup import op6_jaccard_join
+from .oracles import OP6_SQL
 from .packing import op11_packing
 from .pages import op8_main_text
 from .periods import op13_periodic_runs
@@ -31,4 +32,4 @@ QUERIES = {
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_periodic_runs": op13_periodic_runs,
 }
-ORACLES: dict[str, str] = {"op12_fill_in_middle": OP12_SQL}
+ORACLES: dict[str, str] = {"op6_jaccard_join": OP6_SQL, "op12_fill_in_middle": OP12_SQL}
