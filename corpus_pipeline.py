@@ -9,7 +9,7 @@ read again as the next stage's ``docs``. All stages but the last return the colu
 4. personal data: confirmed spans are replaced by the name of their kind;
 5. mixing: how often each remaining document is taken, so that sources meet their target weights.
 
-NULL ids cannot be told apart and pass stages 2 and 3; NULL texts are empty texts; columns beyond those
+NULL ids cannot be told apart and pass stage 2; NULL texts are empty texts; columns beyond those
 of ``documents`` pass through stages 1 to 4.
 """
 
