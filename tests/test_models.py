@@ -282,6 +282,7 @@ def test_net_columns_equal_their_numpy_forms(data):
         "one_hidden": {"w1": r((4, 3)), "b1": r(4), "w2": r((1, 4)), "b2": r(1)},
         "deep": {f"{k}{i}": v for i, (n, m) in enumerate(((4, 3), (3, 4))) for k, v in (
             ("w", r((n, m))), ("b", r(n)), ("gamma", r(n)), ("beta", r(n)), ("mean", r(n)), ("var", rng.uniform(0.5, 2, n)))} | {"w": r((1, 3)), "b": r(1)},
+        "lstm": {"wx0": r((16, 1)), "wh0": r((16, 4)), "b0": r(16), "wx1": r((8, 4)), "wh1": r((8, 2)), "b1": r(8), "w": r((1, 2)), "b": r(1)},
         "attention": {f"w{n}": r((3, 3)) for n in "qkv"} | {f"b{n}": r(3) for n in "qkv"} | {"w": r((1, 3)), "b": r(1)},
     }
     assert set(kinds) == set(nets.COLUMNS)

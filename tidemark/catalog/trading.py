@@ -626,3 +626,24 @@ def nn_deep(spark, sf):
     rows = research.add_model_predictions(rows, nets.net_model("deep", DEEP), LAGS, name="y_deep")
     rows = research.add_model_predictions(rows, nets.net_model("attention", ATTENTION), LAGS[:2], name="y_attention")
     return rounded(rows, "symbol", "datetime", "y_deep", "y_attention")
+
+
+LSTM = {"wx0": [[0.5], [0.4], [1.3], [0.2]], "wh0": [[0.1], [0.2], [-0.7], [0.4]], "b0": [0.0, 1.0, 0.1, 0.2], "w": [[2.0]], "b": [0.5]}
+
+
+def _lstm_sql() -> str:
+    """One unit over the three lags, oldest first, step by step."""
+    steps, source = [], f"s0 AS (SELECT symbol, datetime, {', '.join(LAGS)}, 0e0 AS h, 0e0 AS c FROM study)"
+    for n, x in enumerate(reversed(LAGS)):
+        gates = [f"{LSTM['wx0'][k][0]}e0 * {x} + ({LSTM['wh0'][k][0]}e0) * h + {LSTM['b0'][k]}e0 AS {g}" for k, g in enumerate("zfgo")]
+        cell = "c / (1 + exp(-f)) + tanh(g) / (1 + exp(-z))"
+        steps.append(f"""s{n + 1} AS (SELECT symbol, datetime, {', '.join(LAGS)}, tanh({cell}) / (1 + exp(-o)) AS h, {cell} AS c
+      FROM (SELECT *, {', '.join(gates)} FROM s{n}))""")
+    return ", ".join([source, *steps])
+
+
+@query("nn_lstm", f"WITH {rows_sql()}, {_lstm_sql()} SELECT symbol, datetime, {R('2e0 * h + 0.5e0', 'y_lstm')} FROM s3")
+def nn_lstm(spark, sf):
+    rows = features.drop_null_rows(study_features(spark, sf))
+    rows = research.add_model_predictions(rows, nets.net_model("lstm", LSTM), list(reversed(LAGS)), name="y_lstm")
+    return rounded(rows, "symbol", "datetime", "y_lstm")

@@ -1,9 +1,8 @@
 """Scoring neural nets of known weights.
 
 Inference only, in evaluation mode (no dropout, stored batch statistics). All
-nets but the LSTM are column expressions and never leave the JVM; the LSTM is
-one vectorised numpy pass per Arrow batch. The numpy forms of the others are
-what the expressions are tested against.
+nets are column expressions and never leave the JVM. Their numpy forms are what
+the expressions are tested against.
 """
 
 from __future__ import annotations
@@ -11,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.maths import sigmoid
+
 Weights = Mapping[str, np.ndarray]
 
 
@@ -135,37 +135,55 @@ def _attention_columns(xs: list[Column], p: Weights) -> Column:
     return _once([*q, *k, *v], mixed)
 
 
+def _lstm_layer(sequence: Column, steps: int, wx: np.ndarray, wh: np.ndarray, b: np.ndarray) -> Column:
+    """Hidden states of every step: the recurrence as an aggregate over the array of steps."""
+    size, both = wh.shape[1], np.hstack([wx, wh])
+
+    def moved(cells: list[Column]) -> Column:
+        gates, c = cells[: 4 * size], cells[4 * size :]
+        i, f, g, o = (gates[k * size : (k + 1) * size] for k in range(4))
+        held = [sigmoid(f[k]) * c[k] + sigmoid(i[k]) * F.tanh(g[k]) for k in range(size)]
+        return _once([*held, *map(sigmoid, o)], lambda v: F.array(*[v[size + k] * F.tanh(v[k]) for k in range(size)], *v[:size]))
+
+    def step(states: Column, x: Column) -> Column:
+        before = F.element_at(states, -1)  # hidden states, then cells
+        values = [F.get(x, F.lit(k)) for k in range(wx.shape[1])] + [F.get(before, F.lit(k)) for k in range(2 * size)]
+
+        def cell(v: list[Column]) -> Column:
+            known, c = v[: both.shape[1]], v[both.shape[1] :]
+            return _once([*_affine(known, both, b), *c], moved)
+
+        return F.concat(states, F.array(_once(values, cell)))
+
+    states = F.aggregate(sequence, F.array(F.array(*[F.lit(0.0)] * (2 * size))), step)
+    return F.transform(F.slice(states, 2, steps), lambda s: F.slice(s, 1, size))
+
+
+def _lstm_columns(xs: list[Column], p: Weights) -> Column:
+    inputs, layer = p["wx0"].shape[1], 0
+    steps = [F.array(*xs[k : k + inputs]) for k in range(0, len(xs), inputs)]
+    sequence = F.array(*steps)
+    while f"wx{layer}" in p:
+        sequence = _lstm_layer(sequence, len(steps), p[f"wx{layer}"], p[f"wh{layer}"], p[f"b{layer}"])
+        layer += 1
+    size = p[f"wh{layer - 1}"].shape[1]
+    last = F.transform(F.slice(sequence, -1, 1), lambda h: _affine([F.get(h, F.lit(k)) for k in range(size)], p["w"], p["b"])[0])
+    return last[0]
+
+
 COLUMNS: dict[str, Callable[[list[Column], Weights], Column]] = {
-    "tanh_unit": _tanh_columns, "one_hidden": _hidden_columns, "deep": _deep_columns, "attention": _attention_columns,
+    "tanh_unit": _tanh_columns, "one_hidden": _hidden_columns, "deep": _deep_columns, "lstm": _lstm_columns, "attention": _attention_columns,
 }
 
 
 def net_model(kind: str, weights: Weights) -> Callable[[Sequence[str]], Column]:
     """A model for :func:`~tidemark.plans.research.add_model_predictions`. A row with a NULL feature scores NULL."""
     frozen = {k: np.asarray(v, dtype=float) for k, v in weights.items()}
-    if kind in COLUMNS:
-
-        def expression(features: Sequence[str]) -> Column:
-            known = F.lit(True)
-            for f in features:
-                known = known & F.col(f).isNotNull()
-            return F.when(known, COLUMNS[kind]([F.col(f).cast("double") for f in features], frozen))
-
-        return expression
-    forward = NETS[kind]
-
-    @F.pandas_udf("double")
-    def run(rows: pd.Series) -> pd.Series:
-        out = np.full(len(rows), np.nan)
-        known = rows.notna().to_numpy()
-        if known.any():
-            out[known] = forward(np.stack(rows[known].to_list()).astype(float), frozen)
-        return pd.Series(out).where(known, None)
 
     def model(features: Sequence[str]) -> Column:
-        known = F.col(features[0]).isNotNull()
-        for f in features[1:]:
+        known = F.lit(True)
+        for f in features:
             known = known & F.col(f).isNotNull()
-        return run(F.when(known, F.array(*[F.col(f).cast("double") for f in features])))
+        return F.when(known, COLUMNS[kind]([F.col(f).cast("double") for f in features], frozen))
 
     return model
