@@ -80,6 +80,8 @@ def test_an_empty_range_is_an_error(spark, tmp_path):
     assert store.load_bars(spark, path, "1h", start="2024-02-01", end="2024-02-02", required=False).count() == 0
     bars, gaps = store.load_bars_and_gaps(spark, path, "1h", start="2024-01-01", end="2024-01-03")
     assert bars.count() == 1 and [str(r.date) for r in gaps.orderBy("date").collect()] == ["2024-01-01", "2024-01-03"]
+    _, gaps = store.load_bars_and_gaps(spark, path, "1h", start="2024-01-01", end="2024-01-03", symbols=["X", "Y"])
+    assert sorted((r.symbol, r.date.day) for r in gaps.collect()) == [("X", 1), ("X", 3), ("Y", 1), ("Y", 2), ("Y", 3)]
     store.add_missing_days(rows.withColumn("price", rows.price * 2), path)  # the day is there and stays
     assert store.read_trades(spark, path).first().price == 1.0
 

@@ -77,6 +77,20 @@ def store_gaps(spark, sf):
     return missing
 
 
+@query(
+    "store_asked_gaps",
+    """WITH d AS (SELECT DISTINCT event_type AS symbol, CAST(ts AS DATE) AS date FROM events),
+    wanted AS (SELECT CAST(unnest(generate_series(TIMESTAMP '2023-12-30', TIMESTAMP '2024-01-11', INTERVAL 1 DAY)) AS DATE) AS date),
+    asked AS (SELECT unnest(['click', 'view', 'absent']) AS symbol)
+    SELECT symbol, date FROM asked CROSS JOIN wanted WHERE (symbol, date) NOT IN (SELECT symbol, date FROM d)""",
+)
+def store_asked_gaps(spark, sf):
+    """Days that symbols lack which were asked for, one of them without any trade."""
+    asked = ["click", "view", "absent"]
+    _, missing = store.load_bars_and_gaps(spark, _store(spark, sf), "6h", start="2023-12-30", end="2024-01-11", symbols=asked)
+    return missing
+
+
 @query("flat_files", EVENTS + " WHERE symbol = 'click'")
 def flat_files(spark, sf):
     """Plain Parquet files of one symbol, without a symbol column."""

@@ -107,9 +107,10 @@ def load_bars(
 def load_bars_and_gaps(
     spark: SparkSession, path: str, every: str, *aggs: Column, start: Day, end: Day, symbols: str | Sequence[str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """The bars of an inclusive range of days, and the days of it that each symbol lacks."""
+    """The bars of an inclusive range of days, and the days of it that each symbol lacks. A symbol that was asked
+    for and has no trade at all lacks every day."""
     bars = load_bars(spark, path, every, *aggs, symbols=symbols, start=start, end=end)
-    return bars, missing_days(read_trades(spark, path, symbols, start, end), start, end)
+    return bars, missing_days(read_trades(spark, path, symbols, start, end), start, end, asked=symbols)
 
 
 def dense_days(spark: SparkSession, start: Day, end: Day, name: str = "date") -> DataFrame:
@@ -119,13 +120,17 @@ def dense_days(spark: SparkSession, start: Day, end: Day, name: str = "date") ->
     )
 
 
-def missing_days(trades: DataFrame, start: Day, end: Day, key: str = "symbol") -> DataFrame:
-    """Days of an inclusive range without a trade, per symbol that has any in it.
+def missing_days(trades: DataFrame, start: Day, end: Day, key: str = "symbol", asked: str | Sequence[str] | None = None) -> DataFrame:
+    """Days of an inclusive range without a trade, per symbol that has any in it or is ``asked`` for.
 
     Each symbol's present days are one row per day, compared with the calendar
     as arrays: at most one array of the range's length per symbol.
     """
     inside = only(trades, start=start, end=end).select(key, "date").distinct()
+    if asked is not None:
+        names = F.array(*[F.lit(s) for s in ([asked] if isinstance(asked, str) else asked)])
+        every = trades.sparkSession.range(1).select(F.explode(names).alias(key), F.lit(None).cast("date").alias("date"))
+        inside = inside.unionByName(every)  # no day of theirs is present yet; a NULL day is collected by none
     present = inside.groupBy(key).agg(F.collect_set("date").alias("_present"))
     calendar = F.sequence(F.lit(as_day(start)), F.lit(as_day(end)))
     return present.select(key, F.explode(F.array_except(calendar, "_present")).alias("date"))
