@@ -184,6 +184,18 @@ def test_flat_files_of_a_symbol(spark, tmp_path, trades):
     out = store.read_symbol_files(spark, str(tmp_path), "BTC")
     assert out.count() == 2 and {r.symbol for r in out.collect()} == {"BTC"}
     assert bars.ohlc(out, "1d").count() == 2
+    assert store.read_symbol_files(spark, str(tmp_path), "BTC", start="2024-01-02").count() == 1
+    (tmp_path / "BTC-trades-2024-01-03.parquet").write_text("no parquet")
+    spark.range(2).coalesce(1).write.parquet(str(tmp_path / "odd"))
+    os.link(next(p for p in (tmp_path / "odd").iterdir() if p.name.endswith(".parquet")), tmp_path / "BTC-trades-2024-01-04.parquet")
+    with pytest.raises(ValueError, match="2024-01-0[34]"):
+        store.read_symbol_files(spark, str(tmp_path), "BTC")
+    assert store.read_symbol_files(spark, str(tmp_path), "BTC", on_error="skip").count() == 2
+    assert store.read_symbol_files(spark, str(tmp_path), "BTC", end="2024-01-02").count() == 2
+    checked = {str(r.day): (r.rows, r.reason) for r in store.check_symbol_files(spark, str(tmp_path), "BTC").collect()}
+    assert checked == {"2024-01-01": (1, None), "2024-01-02": (1, None), "2024-01-03": (0, "unreadable or empty"), "2024-01-04": (2, "no datetime")}
+    with pytest.raises(ValueError, match="no files"):
+        store.read_symbol_files(spark, str(tmp_path), "ETH")
 
 
 def test_ohlc_csv(spark, tmp_path):

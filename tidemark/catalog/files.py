@@ -91,12 +91,48 @@ def store_asked_gaps(spark, sf):
     return missing
 
 
-@query("flat_files", EVENTS + " WHERE symbol = 'click'")
+def _symbol_day_files(spark, sf) -> str:
+    """One file per day of a symbol; the first day's has another name for its time, the last day's is no Parquet."""
+    path, staged = scratch_path(spark, "flat-files"), scratch_path(spark, "flat-staged")
+    rows = event_trades(spark, sf).where("symbol = 'click'").drop("symbol").withColumn("day", F.col("date"))
+    ends = rows.agg(F.min("day").alias("low"), F.max("day").alias("high")).first()
+    rows = rows.where(F.col("day") < ends.high).repartition("day")
+    rows.where(F.col("day") > ends.low).write.partitionBy("day").parquet(f"{staged}/good")
+    rows.where(F.col("day") == ends.low).withColumnRenamed("datetime", "moment").write.partitionBy("day").parquet(f"{staged}/odd")
+    spark.createDataFrame([("no parquet", ends.high)], "value string, day date").coalesce(1).write.partitionBy("day").text(f"{staged}/text")
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    fs = place(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(place(path))
+    for file in fs.globStatus(place(f"{staged}/*/day=*/part-*")):
+        day = file.getPath().getParent().getName().removeprefix("day=")
+        fs.rename(file.getPath(), place(f"{path}/click-trades-{day}.parquet"))
+    return path
+
+
+DAYS = f"""WITH {TRADES_SQL}, clicks AS (SELECT * FROM trades WHERE symbol = 'click'),
+  ends AS (SELECT min(date) AS low, max(date) AS high FROM clicks)"""
+
+
+@query(
+    "flat_files",
+    f"""{DAYS} SELECT symbol, datetime, {RS('price', 'qty', 'quoteQty')}, isBuyerMaker, id FROM clicks, ends
+    WHERE date > low AND date < high AND date >= DATE '2024-01-03'""",
+)
 def flat_files(spark, sf):
-    """Plain Parquet files of one symbol, without a symbol column."""
-    path = scratch_path(spark, "flat-files")
-    event_trades(spark, sf).where("symbol = 'click'").drop("symbol").write.parquet(path)
-    return _shown(store.only(spark.read.parquet(path).withColumn("symbol", F.lit("click")), "click"), "id")
+    """One symbol's day files from a day on, without those that cannot be read."""
+    out = store.read_symbol_files(spark, _symbol_day_files(spark, sf), "click", start="2024-01-03", on_error="skip")
+    return _shown(out, "id")
+
+
+@query(
+    "bad_files",
+    f"""{DAYS} SELECT 'click-trades-' || low || '.parquet' AS file, low AS day, count(*) AS rows, 'no datetime' AS reason FROM clicks, ends WHERE date = low GROUP BY low
+    UNION ALL SELECT 'click-trades-' || high || '.parquet', high, 0, 'unreadable or empty' FROM ends""",
+)
+def bad_files(spark, sf):
+    """Which of a symbol's day files cannot be used, and why."""
+    checked = store.check_symbol_files(spark, _symbol_day_files(spark, sf), "click")
+    return checked.where("reason IS NOT NULL").withColumn("file", F.regexp_extract("file", "[^/]*$", 0))
 
 
 @query("normalise_binance", MILLIS)

@@ -77,15 +77,52 @@ def only(
     return trades
 
 
-def read_symbol_files(spark: SparkSession, directory: str, symbol: str, schema: T.StructType | None = None) -> DataFrame:
-    """Flat layout: one Parquet file per symbol and day, named ``{symbol}-trades-*.parquet``."""
+def symbol_files(spark: SparkSession, directory: str, symbol: str, start: Day | None = None, end: Day | None = None) -> DataFrame:
+    """Flat layout: ``(file, day, bytes)`` of the files named ``{symbol}-trades*.parquet``, in an inclusive range of the
+    days in their names. They are listed by Spark's reader, wherever they are; none is opened. A name without a day
+    (``yyyy-mm-dd``) has a NULL one and is in every range."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"{symbol}-trades*.parquet").load(directory)
+    day = F.try_to_date(F.regexp_extract("path", r"(\d{4}-\d{2}-\d{2})[^/]*$", 1))
+    out = files.select(F.col("path").alias("file"), day.alias("day"), F.col("length").alias("bytes"))
+    for bound, ok in ((start, lambda d: F.col("day") >= d), (end, lambda d: F.col("day") <= d)):
+        if bound is not None:
+            out = out.where(F.col("day").isNull() | ok(F.lit(as_day(bound))))
+    return out
+
+
+def check_symbol_files(spark: SparkSession, directory: str, symbol: str, start: Day | None = None, end: Day | None = None) -> DataFrame:
+    """``(file, day, rows, reason)`` per file: why it cannot be used, or a NULL reason. Reads one column of each."""
+    files = symbol_files(spark, directory, symbol, start, end)
+    paths = [r.file for r in files.select("file").collect()]  # names, as Spark's own file index holds them
+    if not paths:
+        return files.select("file", "day", F.lit(0).cast("long").alias("rows"), F.lit(None).cast("string").alias("reason"))
+    one = spark.read.schema("datetime timestamp").option("ignoreCorruptFiles", True).parquet(*paths)
+    found = one.groupBy(F.col("_metadata.file_path").alias("_path")).agg(F.count(F.lit(1)).alias("rows"), F.count("datetime").alias("_times"))
+    # the two readers write the scheme of a path differently
+    key = lambda c: F.regexp_replace(c, "^([a-z0-9]+:)/*", "$1/")
+    joined = files.withColumn("_key", key("file")).join(found.withColumn("_key", key("_path")), "_key", "left")
+    reason = F.when(F.col("rows").isNull(), "unreadable or empty").when(F.col("_times") == 0, "no datetime")
+    return joined.select("file", "day", F.coalesce("rows", F.lit(0)).alias("rows"), reason.alias("reason"))
+
+
+def read_symbol_files(
+    spark: SparkSession, directory: str, symbol: str, schema: T.StructType | None = None, start: Day | None = None, end: Day | None = None,
+    on_error: str = "fail",
+) -> DataFrame:
+    """Trades of the flat layout in an inclusive range of days. A file that cannot be used is an error; with
+    ``on_error="skip"`` it is left out, and :func:`check_symbol_files` says why."""
     use_utc(spark)
-    reader = spark.read.option("pathGlobFilter", f"{symbol}-trades*.parquet")
-    out = (reader.schema(schema) if schema else reader).parquet(directory)
-    if "datetime" not in out.columns:
-        raise ValueError("column 'datetime' not found")
+    checked = check_symbol_files(spark, directory, symbol, start, end).collect()
+    bad = [r for r in checked if r.reason]
+    if bad and on_error == "fail":
+        raise ValueError(f"column 'datetime' not found or file not readable: {bad[0].file} ({bad[0].reason}), {len(bad)} in all")
+    paths = [r.file for r in checked if not r.reason]
+    if not paths:
+        raise ValueError(f"no files of {symbol} found in {directory}")
+    out = (spark.read.schema(schema) if schema else spark.read.option("mergeSchema", True)).parquet(*paths)
     out = out.withColumn("datetime", F.col("datetime").cast("timestamp"))
-    return out if "symbol" in out.columns else out.withColumn("symbol", F.lit(symbol))
+    out = out if "symbol" in out.columns else out.withColumn("symbol", F.lit(symbol))
+    return only(out.withColumn("date", F.to_date("datetime")), start=start, end=end)
 
 
 def last_days(trades: DataFrame, days: int, today: Day | Column | None = None) -> DataFrame:
