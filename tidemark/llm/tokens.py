@@ -49,27 +49,38 @@ def _tokenizer(path: str):
     return t
 
 
-#: Stretches whose counts a task remembers; the memory starts anew when it is full.
-REMEMBERED = 400_000
+#: Code points of the stretches whose counts a task remembers; the memory starts anew when it is full. Stretches
+#: longer than LONG are counted each time.
+REMEMBERED, LONG = 1 << 22, 64
 _SPACES = re.compile(r"[\x20\x09-\x0D]+")
 
 
 def _counter(path: str, drops_white_space: bool, step: int = 64):
+    held = 0
+
     def lengths(tokenizer, texts: list[str]) -> list[int]:
         return [len(e) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def by_stretch(tokenizer, texts: list[str], memory: dict[str, int]) -> list[int]:
         """No token reaches over white space, so a text's count is the sum over its stretches between it."""
+        nonlocal held
         rows = [_SPACES.split(t) for t in texts]
-        if len(memory) > REMEMBERED:
+        if held > REMEMBERED:
             memory.clear()
+            held = 0
         new = list({w for row in rows for w in row}.difference(memory))
         memory.update(zip(new, lengths(tokenizer, new)))
-        return [sum(map(memory.__getitem__, row)) for row in rows]
+        counts = [sum(map(memory.__getitem__, row)) for row in rows]
+        for w in new:
+            if len(w) > LONG:
+                del memory[w]
+            else:
+                held += len(w)
+        return counts
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
-        tokenizer, memory = _tokenizer(path), {"": 0}
+        tokenizer, memory = _tokenizer(path), {}
         for batch in batches:
             counts: list[int] = []
             for at in range(0, len(batch), step):  # few texts at a time: their encodings are large
