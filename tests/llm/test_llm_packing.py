@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from tidemark.llm import packing
-from tidemark.llm.stretches import STRETCH, Memory, portions
+from tidemark.llm.stretches import STRETCH, Memory, portions, stretch_starts
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -85,6 +85,31 @@ def test_memory_forgets():
     assert STRETCH.findall(" a\n\nb c  ") == [" a", "\n\nb", " c", "  "]
 
 
+def test_memory_keeps_frequent_stretches_and_few_others():
+    asked = []
+    memory = Memory(lambda new: asked.extend(new) or [b"1234"] * len(new), limit=800)
+    for i in range(1000):
+        assert memory.recall([["often", f"w{i}"]]) == [b"12341234"]
+        assert len(memory) + len(memory.old) <= 210
+    assert asked.count("often") == 1 and len(asked) == 1001
+    memory = Memory(lambda new: [b"1234"] * len(new))
+    for i in range(0, 1_200_000, 10_000):
+        memory.recall([[f" {j:x}" for j in range(i, i + 10_000)]])
+    assert len(memory) + len(memory.old) < 600_000
+
+
+def test_stretches_end_before_white_space_only():
+    rng = random.Random(4)
+    texts = ["".join(rng.choice([*ODD, "\u1680", "\u2000", "\u200a\u2028", "\u3000", "\xa0", "à", "\u2085"]) for _ in range(rng.randint(0, 40))) for _ in range(500)]
+    raw = [t.encode() for t in texts]
+    begins = np.cumsum([0, *map(len, raw[:-1])])
+    data = b"".join(raw)
+    starts = stretch_starts(np.frombuffer(data, np.uint8), begins).tolist()
+    finest = {b + len(t[: m.start()].encode()) for b, t in zip(begins.tolist(), texts) for m in STRETCH.finditer(t)}
+    assert set(starts) <= finest | {b for b, r in zip(begins.tolist(), raw) if r}
+    assert finest - set(starts) <= {x for x in finest if data[x : x + 1] not in b" \t\n\r\x0b\x0c"}
+
+
 def rows_of(packed):
     return [r.asDict() for r in packed.collect()]
 

@@ -25,10 +25,12 @@ import zlib
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,10 +38,12 @@ from pyspark.sql.window import Window
 
 from ..session import written
 from .common import named
-from .stretches import STRETCH, WHITE_CHARS, Memory, portions
+from .stretches import WHITE_CHARS, Memory, portions, stretch_starts
 
 #: Ids of a sequence.
 WINDOW = 1024
+#: New stretches that are encoded as one text: longer texts take the library more time for each.
+TOGETHER = 100
 
 
 # --- texts to pieces ---------------------------------------------------------
@@ -57,14 +61,17 @@ def _memory(path: str) -> Memory:
     t.no_truncation()
     n_bytes = np.array([len(t.id_to_token(i) or "") for i in range(t.get_vocab_size())])  # a letter is a byte
 
-    def ids(stretches: list[str]) -> list[bytes]:
-        # stretches from white space to white space are encoded as one text, and their ids told apart by bytes
+    def ids(new: list[bytes]) -> list[bytes]:
+        # stretches from white space to white space are encoded as texts of some each, and their ids told apart by bytes
+        stretches = [s.decode() for s in new]
         inner = [s[0] in WHITE_CHARS and s[-1] not in WHITE_CHARS for s in stretches]
-        joined = "".join(s for s, some in zip(stretches, inner) if some)
+        among = [s for s, some in zip(stretches, inner) if some]
+        joined = ["".join(among[at : at + TOGETHER]) for at in range(0, len(among), TOGETHER)]
         alone = [s for s, some in zip(stretches, inner) if not some]
-        together, *others = t.encode_batch_fast([joined, *alone], add_special_tokens=False)
-        own = np.array(together.ids, "<u4")
-        stops = np.cumsum([len(s.encode()) for s, some in zip(stretches, inner) if some])
+        encodings = t.encode_batch_fast([*joined, *alone], add_special_tokens=False)
+        together, others = encodings[: len(joined)], encodings[len(joined) :]
+        own = np.fromiter(chain.from_iterable(e.ids for e in together), "<u4")
+        stops = np.cumsum([len(s) for s, some in zip(new, inner) if some])
         cuts = [0, *(4 * (np.searchsorted(np.cumsum(n_bytes[own]), stops) + 1)).tolist()]
         raw = own.tobytes()
         of_inner, of_others = (raw[a:b] for a, b in zip(cuts, cuts[1:])), (np.array(e.ids, "<u4").tobytes() for e in others)
@@ -73,21 +80,40 @@ def _memory(path: str) -> Memory:
     return Memory(ids)
 
 
-def encoded(texts: list[str | None], path: str, end_id: int, size: int = 1 << 18) -> list[bytes]:
+def _ids_of(rows: list[bytes], memory: Memory) -> list[memoryview]:
+    """The ids of each row of UTF-8: of its different stretches, put where these are."""
+    ends = np.cumsum([len(r) for r in rows])
+    begins = np.append(0, ends[:-1])
+    data = b"".join(rows)
+    if not data:
+        return [memoryview(b"")] * len(rows)
+    starts = stretch_starts(np.frombuffer(data, np.uint8), begins)
+    offsets = pa.array(np.append(starts, len(data)), pa.int32()).buffers()[1]
+    met = pa.Array.from_buffers(pa.binary(), len(starts), [None, offsets, pa.py_buffer(data)]).dictionary_encode()
+    (found,) = memory.each([met.dictionary.to_pylist()])
+    ids = pa.array(found, pa.large_binary()).take(met.indices)
+    _, where, raw = ids.buffers()
+    where = np.frombuffer(where, np.int64, len(ids) + 1)
+    low, high = where[np.searchsorted(starts, begins)].tolist(), where[np.searchsorted(starts, ends)].tolist()
+    view = memoryview(raw)
+    return [view[a:b] for a, b in zip(low, high)]
+
+
+def encoded(texts: list[str | None], path: str, end_id: int, size: int = 1 << 21) -> list[bytes]:
     """The ids of each text with the end id, four bytes an id. About ``size`` code points are encoded together."""
     memory, parts = _memory(path), [[] for _ in texts]
     owners, rows, held = [], [], 0
 
     def flush() -> None:
-        for owner, ids in zip(owners, memory.recall(rows)):
-            parts[owner].append(ids)
+        for owner, ids in zip(owners, _ids_of(rows, memory)):
+            parts[owner].append(bytes(ids))
         owners.clear()
         rows.clear()
 
     for i, text in enumerate(texts):
         for portion in portions(text or ""):
             owners.append(i)
-            rows.append(STRETCH.findall(portion))
+            rows.append(portion.encode())
             held += len(portion)
             if held > size:
                 flush()
@@ -97,13 +123,23 @@ def encoded(texts: list[str | None], path: str, end_id: int, size: int = 1 << 18
     return [b"".join([*p, end]) for p in parts]
 
 
+def _parts(batch: pa.RecordBatch, rows: int = 1 << 10, size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most ``rows`` rows and about ``size`` bytes of text."""
+    n_bytes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(batch):
+        before = n_bytes[at - 1] if at else 0
+        to = min(at + rows, max(at + 1, int(np.searchsorted(n_bytes, before + size))))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def _cutter(path: str, window: int, end_id: int, keep_ids: bool):
-    def pieces(batches: Iterator[pa.RecordBatch], step: int = 64) -> Iterator[pa.RecordBatch]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         seen = np.zeros(window + 1, np.int64)  # pieces of each length that this task has written
         for batch in batches:
-            for at in range(0, len(batch), step):
-                part = batch.slice(at, step)
+            for part in _parts(batch):
                 ids = encoded(part.column(1).to_pylist(), path, end_id)
                 tokens = np.array([len(x) // 4 for x in ids], np.int64)
                 many = -(-tokens // window)
