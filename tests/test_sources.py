@@ -206,3 +206,17 @@ def test_ohlc_csv(spark, tmp_path):
 
 def test_dense_days(spark):
     assert [r.date.day for r in store.dense_days(spark, "2024-02-27", "2024-03-01").collect()] == [27, 28, 29, 1]
+
+
+def test_okx_responses_share_a_folder_per_symbol(spark, tmp_path):
+    from tidemark.catalog import QUERIES
+
+    rows = [(250 * i, "ab"[i % 2], dt.datetime(2024, 1, 1, 0, 0, i), 1.5 + i, '{"k": 2}', i) for i in range(40)]
+    rows += [rows[0], (9, None, dt.datetime(2024, 1, 2), 3.0, '{"k": 1}', 1)]
+    events = spark.createDataFrame(rows, "event_id long, event_type string, ts timestamp_ntz, value double, props string, user_id long")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    got = QUERIES["normalise_okx"](spark, str(tmp_path))
+    files = got.inputFiles()
+    assert len(files) == 41  # a file per response: one per symbol and page
+    assert len({f.rsplit("/", 1)[0] for f in files}) == 3  # a folder per symbol, none per response
+    assert sorted((r.id, r.price, r.qty, r.isBuyerMaker) for r in got.collect()) == sorted((i, v, float(p[6]), u % 2 == 0) for i, _, _, v, p, u in rows)

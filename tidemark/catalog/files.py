@@ -170,9 +170,9 @@ def _okx_pages(spark, sf):
 def normalise_okx(spark, sf):
     """JSON responses, landed as one file each and read with the check for error pages."""
     path = scratch_path(spark, "okx-json")
-    pages = _okx_pages(spark, sf).withColumn("page", F.xxhash64("body"))
-    pages.select("body", "symbol", "page").write.partitionBy("symbol", "page").option("lineSep", " ").text(path)
-    return _shown(exchanges.read_exchange_trades(spark, "OKX", f"{path}/*/*"), "id")
+    # a file per response, in a folder per symbol: a folder per response would take most of the time
+    _okx_pages(spark, sf).select("body", "symbol").write.partitionBy("symbol").option("maxRecordsPerFile", 1).option("lineSep", " ").text(path)
+    return _shown(exchanges.read_exchange_trades(spark, "OKX", f"{path}/*"), "id")
 
 
 @query("normalise_kraken", EVENTS)
