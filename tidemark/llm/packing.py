@@ -44,6 +44,8 @@ from .stretches import WHITE_CHARS, Memory, portions, stretch_starts
 WINDOW = 1024
 #: New stretches that are encoded as one text: longer texts take the library more time for each.
 TOGETHER = 100
+#: The setting of how many rows Spark hands to Python at once: of whole texts, fewer than usual.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 # --- texts to pieces ---------------------------------------------------------
@@ -279,7 +281,13 @@ def pack(
     own = named(docs, id=id_col, text=text_col)
     schema = f"id {dict(own.dtypes)['id']}, start long, length long, ids_crc32 long, doc_tokens long, task int, rank long"
     cut = own.mapInArrow(_cutter(tokenizer_path, window, end_id, keep_ids), schema + (", ids array<int>" if keep_ids else ""))
-    pieces = written(cut, "pieces")
+    spark = docs.sparkSession
+    rows = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, min(int(rows), 1024) if int(rows) > 0 else 1024)
+    try:
+        pieces = written(cut, "pieces")
+    finally:
+        spark.conf.set(BATCH, rows)
     per_task = pieces.groupBy("task", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # a row per task
     base = written(per_task.select("task", "length", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "piece-counts")

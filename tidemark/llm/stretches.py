@@ -52,6 +52,8 @@ class Memory(dict):
     LONG = 64
     #: What a stretch counts for at least: its place takes memory, however short it is.
     LEAST = 8
+    #: Stretches that are computed together: their encodings are large.
+    AT_ONCE = 1 << 12
 
     def __init__(self, compute: Callable[[list], list[bytes]], limit: int = 1 << 21):
         super().__init__()
@@ -69,14 +71,15 @@ class Memory(dict):
         return place
 
     def each(self, rows: list[list]) -> list[list]:
-        """The bytes of the stretches of each row; those not known are computed together."""
+        """The bytes of the stretches of each row; those not known are computed, many together."""
         if max(self.held, self.LEAST * len(self)) > self.limit:
             self.old = dict(self)
             self.clear()
             self.held = 0
         values = [list(map(self.__getitem__, row)) for row in rows]
         new, self.new = self.new, []
-        for stretch, found in zip(new, self.compute(new) if new else ()):
+        computed = (x for at in range(0, len(new), self.AT_ONCE) for x in self.compute(new[at : at + self.AT_ONCE]))
+        for stretch, found in zip(new, computed):
             self[stretch].extend(found)  # where it was already taken
             self[stretch] = found
             if len(stretch) > self.LONG:
